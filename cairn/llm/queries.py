@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, mixing, simhash
 from ._store import read
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), cycle=(1, 2, 3), max_copies=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op7_simhash_pivots": op7_simhash_pivots,
+    "op9_pivotal_mixing": op9_pivotal_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -83,6 +83,11 @@ class Polynomial:
         self._sums = np.zeros(n + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * _powers(_BASE, n), out=self._sums[1:])
 
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of the k bytes from each place on."""
+        n = len(self._sums) - k
+        return mix((self._sums[k:] - self._sums[:-k]) * self._down[:n])
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, suffix_dedup
 from ._store import read
 
 
@@ -12,6 +12,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"), length=200)
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, max_bits=3)
 
@@ -23,6 +27,7 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op5_bwt_merge": op5_bwt_merge,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op9_pivotal_mixing": op9_pivotal_mixing,
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, suffix_dedup
+from . import decontaminate, langid, mixing, quality, simhash, suffix_dedup
+from ._sample import crc_mod
 from ._store import read
 
 
@@ -12,10 +14,24 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    found = langid.predict(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"), length=200)
 
 
+def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    found = quality.scores(docs, quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, max_bits=3)
 
@@ -27,7 +43,9 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op3_hierarchical_langid": op3_hierarchical_langid,
     "op5_bwt_merge": op5_bwt_merge,
+    "op6_attention_mil": op6_attention_mil,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op9_pivotal_mixing": op9_pivotal_mixing,
 }

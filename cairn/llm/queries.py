@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, simhash, suffix_dedup
+from . import decontaminate, htmltext, langid, mixing, quality, simhash, suffix_dedup, warc
 from ._sample import crc_mod
 from ._store import read
 
@@ -14,6 +14,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -36,6 +40,10 @@ def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), cycle=(1, 2, 3), max_copies=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -43,10 +51,12 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_page_differencing": op2_page_differencing,
     "op3_hierarchical_langid": op3_hierarchical_langid,
     "op5_bwt_merge": op5_bwt_merge,
     "op6_attention_mil": op6_attention_mil,
     "op7_simhash_pivots": op7_simhash_pivots,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_pivotal_mixing": op9_pivotal_mixing,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, mixing, quality, simhash, suffix_dedup, warc
+from . import decontaminate, htmltext, langid, linkgraph, mixing, quality, simhash, spotsigs, suffix_dedup, warc
 from ._sample import crc_mod
 from ._store import read
 
@@ -25,6 +25,20 @@ def op3_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"), length=200)
 
@@ -49,15 +63,23 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_edited(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_page_differencing": op2_page_differencing,
     "op3_hierarchical_langid": op3_hierarchical_langid,
+    "op4_link_graph": op4_link_graph,
     "op5_bwt_merge": op5_bwt_merge,
     "op6_attention_mil": op6_attention_mil,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_pivotal_mixing": op9_pivotal_mixing,
+    "op10_spotsigs": op10_spotsigs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_link_graph": linkgraph.judge_sql(URL_RULES),
+}

@@ -82,18 +82,19 @@ def fingerprints_of(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long: the fingerprint's bits) of every row."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
+    """(doc_id, key, fp long: the fingerprint's bits) of every row; key is the long column ``extra`` or the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             fp = [np.zeros(0, U64)]
             for _, _, d, o in chunks(data, offsets):
                 fp.append(fingerprints_of(*shingle_hashes(d, o, width)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(fp).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp).view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    ids = F.col(id_col).cast("long")
+    return docs.select(ids, F.col(extra) if extra else ids.alias("key"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _quarters(mask: int) -> list[int]:
@@ -186,8 +187,25 @@ def near_links(classes: DataFrame, max_bits: int = 3, key_rows: int = 4096) -> D
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``; see the module's notes."""
-    fps = durable(fingerprints(docs, width, id_col, text_col))
+    fps = durable(fingerprints(docs, width, id_col, text_col).drop("key"))
     classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = connected_components(near_links(classes.where("rep IS NOT NULL"), max_bits, key_rows))
     labels = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: the one with the smallest id (null last), then the smallest hash of
+    its text. Of rows with equal id and text one stays, whichever their other columns are."""
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    fps = durable(fingerprints(docs.withColumn("__key", key), width, id_col, text_col, extra="__key"))
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "key")).alias("first")))
+    joined = connected_components(near_links(classes.select("fp", F.col("first").alias("rep")), max_bits, key_rows))
+    # Components are of the classes' first rows; the row to stay is the component's least by id.
+    group = classes.join(joined, classes["first"] == joined.node, "left").select(F.coalesce("component", "first").alias("group"), F.struct(F.coalesce("rep", F.lit(2**63 - 1)), F.col("first").alias("key")).alias("row"))
+    stay = durable(group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key")))
+    twice = durable(fps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("__key")))
+    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "__key", "left_anti").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)

@@ -105,28 +105,49 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
 # ---- 2. windows
 
 
-def _fetch(rows: DataFrame, length: int) -> DataFrame:
-    """(key, at, g, w): the bytes of every listed window of rows (key, text, places array<struct<m, at>>)."""
+def _places(batch: pa.RecordBatch, column: int, data_offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, place, begin, end, the list's other fields) of every listed window of a batch."""
+    listed = batch.column(column)
+    cuts = np.asarray(listed.offsets).astype(np.int64)
+    part = slice(cuts[0], cuts[-1])
+    fields = {f.name: np.asarray(listed.values.field(f.name))[part] for f in listed.type.value_type}
+    row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
+    begin = data_offsets[row] + (fields["at"] >> 24)
+    end = np.minimum(begin + (fields["at"] >> 12 & 4095) + length - 1, data_offsets[row + 1])
+    return row, begin, end, fields
+
+
+def _hashed(shared: DataFrame, length: int) -> DataFrame:
+    """(key, at, g, h): every listed window of rows (key, text, places array<struct<m, at>>), h a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, ends = utf8(batch.column(1))
+            for first, to, data, offsets in chunks(text, ends):
+                part = batch.slice(first, to - first)
+                row, begin, end, fields = _places(part, 2, offsets, length)
+                h = Polynomial(data).of(begin, end)
+                key = np.asarray(part.column(0))[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fields["at"]), pa.array(fields["m"]), pa.array(h.view(np.int64))], ["key", "at", "g", "h"])
+
+    return shared.select("key", "text", "places").mapInArrow(run, "key long, at long, g long, h long")
+
+
+def _fetched(rows: DataFrame, length: int) -> DataFrame:
+    """(g, h, c, anchor, w): the bytes of the windows of rows (key, text, wanted array<struct<g, h, c, at>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(0))
             whole = data.tobytes()
-            listed = batch.column(2)
-            cuts = np.asarray(listed.offsets).astype(np.int64)
-            flat = listed.values
-            m, at = np.asarray(flat.field("m")), np.asarray(flat.field("at"))
-            at, m = at[cuts[0]: cuts[-1]], m[cuts[0]: cuts[-1]]
-            row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
-            begin = offsets[row] + (at >> 24)
-            end = np.minimum(begin + (at >> 12 & 4095) + length - 1, offsets[row + 1])
-            key = np.asarray(batch.column(0))[row]
-            for a in range(0, len(at), 20_000):
+            _, begin, end, fields = _places(batch, 1, offsets, length)
+            for a in range(0, len(begin), 20_000):
                 cut = slice(a, a + 20_000)
                 w = pa.array([whole[x:y] for x, y in zip(begin[cut].tolist(), end[cut].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(at[cut]), pa.array(m[cut]), w], ["key", "at", "g", "w"])
+                columns = [pa.array(fields[k][cut]) for k in ("g", "h", "c")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array((fields["at"][cut] & 4095).astype(np.int32)), w], ["g", "h", "c", "anchor", "w"])
 
-    return rows.select("key", "text", "places").mapInArrow(run, "key long, at long, g long, w binary")
+    return rows.select("text", "wanted").mapInArrow(run, "g long, h long, c long, anchor int, w binary")
 
 
 # ---- 3. one bucket
@@ -276,21 +297,19 @@ def _merged(rows: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "sid long, spans array<int>")
 
 
-def _resolve(places: DataFrame, length: int, level: int, bucket_bytes: int, cap_bytes: int) -> DataFrame:
-    """``places``: (id, off, g, w, anchor, c). Returns (id, off, spans) of those with repeated starts."""
-    distinct = places.groupBy("g", "w").agg(F.sum("c").alias("c"), F.max("anchor").alias("anchor"))
-    distinct = durable(distinct.withColumns({"sid": F.monotonically_increasing_id(), "h": F.xxhash64("w")}))
+def _resolve(distinct: DataFrame, length: int, level: int, bucket_bytes: int, cap_bytes: int) -> DataFrame:
+    """``distinct``: a stored table of distinct windows (sid, g, w, c, anchor). Returns (sid, spans)."""
     groups = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("w")).alias("bytes"))
-    groups = durable(groups.where((F.col("n") > 1) & (F.col("bytes") > cap_bytes)).select("g")) if level + 1 < len(WIDTHS) else None
-    hot = groups is not None and not groups.isEmpty()
-    found = _merged(distinct.join(groups, "g", "left_anti") if hot else distinct, length, bucket_bytes)
-    if hot:
-        narrow = durable(_split(distinct.join(groups, "g", "left_semi"), WIDTHS[level + 1], length).withColumnRenamed("sid", "id"))
-        below = _resolve(narrow, length, level + 1, bucket_bytes, cap_bytes)
-        moved = below.select(F.col("id").alias("sid"), F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
-        found = found.unionByName(moved)
-    found = durable(found.join(distinct.select("sid", "g", "h"), "sid").select("g", "h", "spans"))
-    return places.select("id", "off", "g", F.xxhash64("w").alias("h")).join(found, ["g", "h"]).select("id", "off", "spans")
+    hot = durable(groups.where((F.col("n") > 1) & (F.col("bytes") > cap_bytes)).select("g")) if level + 1 < len(WIDTHS) else None
+    if hot is None or hot.isEmpty():
+        return durable(_merged(distinct, length, bucket_bytes))
+    found = _merged(distinct.join(hot, "g", "left_anti"), length, bucket_bytes)
+    narrow = durable(_split(distinct.join(hot, "g", "left_semi"), WIDTHS[level + 1], length).withColumn("h", F.xxhash64("w")))
+    fewer = narrow.groupBy("g", "h", "w").agg(F.sum("c").alias("c"), F.max("anchor").alias("anchor"))
+    fewer = durable(fewer.withColumn("sid", F.monotonically_increasing_id()))
+    below = _resolve(fewer, length, level + 1, bucket_bytes, cap_bytes).join(fewer.select("sid", "g", "h"), "sid").select("g", "h", "spans")
+    moved = narrow.select("sid", "off", "g", "h").join(below, ["g", "h"]).select("sid", F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
+    return durable(found.unionByName(moved))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 512 << 10, cap_bytes: int = 512 << 10,
@@ -302,15 +321,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 512 <
     listed = anchors.join(again, "m").groupBy("key").agg(F.collect_list(F.struct("m", "at")).alias("places"))
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     shared = durable(texts.join(listed, "key"))
-    placed = durable(_fetch(shared, length))
-    anchor = F.col("at").bitwiseAND(F.lit(4095)).cast("int")
-    places = placed.select(F.struct("key", "at").alias("id"), F.lit(0).alias("off"), "g", "w", anchor.alias("anchor"), F.lit(1).cast("long").alias("c"))
-    found = _resolve(places, length, 0, bucket_bytes, cap_bytes)
-    start = F.shiftright("id.at", 24)
+    # Windows are told apart by 128 bits, anchor and content; their bytes are read where an anchor has several.
+    counted = durable(_hashed(shared, length).groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")))
+    several = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    wanted = counted.join(several, "g").groupBy("first.key").agg(F.collect_list(F.struct("g", "h", "c", F.col("first.at").alias("at"))).alias("wanted"))
+    distinct = durable(_fetched(shared.select("key", "text").join(wanted, "key"), length).withColumn("sid", F.monotonically_increasing_id()))
+    found = _resolve(distinct, length, 0, bucket_bytes, cap_bytes)
+    found = found.join(distinct.select("sid", "g", "h"), "sid").select("g", "h", "spans")
+    # An anchor with one window only: it occurs more than once as a whole.
+    alone = counted.join(several, "g", "left_anti").where("c > 1")
+    whole = alone.select("g", "h", F.array(F.lit(0), F.shiftright("first.at", 12).bitwiseAND(F.lit(4095)).cast("int")).alias("spans"))
+    at = _hashed(shared, length).join(durable(found.unionByName(whole)), ["g", "h"])
+    start = F.shiftright("at", 24)
     pairs = F.expr("transform(sequence(0, size(spans) - 1, 2), i -> struct(spans[i] as b, spans[i + 1] as e))")
-    ranges = found.select(F.col("id.key").alias("key"), start.alias("s"), pairs.alias("p"))
+    ranges = at.select("key", start.alias("s"), pairs.alias("p"))
     span = F.transform("p", lambda x: F.struct((F.col("s") + x["b"]).alias("b"), (F.col("s") + x["e"] + (length - 1)).alias("e")))
-    return shared.select("key", "text"), ranges.groupBy("key").agg(F.flatten(F.collect_list(span)).alias("spans"))
+    return shared.select("key", "text"), durable(ranges.groupBy("key").agg(F.flatten(F.collect_list(span)).alias("spans")))
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:

@@ -1,0 +1,26 @@
+"""Four quantile rules that must not be mixed up, as aggregate expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def linear(x: Column, fraction: float) -> Column:
+    """Interpolated at fraction * (n - 1); for one half the mean of the middle two."""
+    return F.percentile(x, fraction)
+
+
+def nearest_rank(x: Column, percent: int) -> Column:
+    """The value of rank ceil(percent * n / 100), at least 1; 0 for no values. A counted histogram, not a list."""
+    return F.coalesce(F.expr("percentile_disc({}) WITHIN GROUP (ORDER BY {})".format(percent / 100, _name(x))), F.lit(0.0))
+
+
+def upper_median(x: Column) -> Column:
+    """The value at n / 2 of the sorted values: the larger of the middle two; 0 for no values."""
+    negative = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -({}))".format(_name(x)))
+    return F.coalesce(-negative, F.lit(0.0))
+
+
+def _name(x: Column) -> str:
+    return f"`{x}`" if isinstance(x, str) else str(x._jc.toString())

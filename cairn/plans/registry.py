@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-CATALOGUES: tuple = ()
+from . import aggregates, windows
+
+CATALOGUES = (aggregates.cat, windows.cat)
 
 
 def queries() -> dict:

@@ -12,8 +12,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``links``: (a long, b long). Returns (node, component), component the smallest node reachable, for every
     node that has a link to another one.
 
-    Each step is a grouped minimum (combined before the shuffle) and a join on the node, which adaptive execution
-    splits where one node has very many links; links shrink towards one star per component. Each step is written
+    Each step is a grouped minimum (combined before the shuffle) and a join on the node. Minima are stored before they
+    are joined, so that adaptive execution can split the join where one node has very many links; links shrink towards one star per component. Each step is written
     to the shared folder, so plans stay short and lost executors cost one step.
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
@@ -23,9 +23,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
-        down = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = durable(both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct())
+        down = durable(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
         small = (
             large.join(down, large.hi == down.u)
             .select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))

@@ -317,13 +317,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 512 <
     """The texts that share an anchor, (key, text), and their repeated starts, (key, spans array<struct<b, e>>):
     byte ranges to remove, unordered and overlapping. ``key`` is a hash of id and text."""
     anchors = _anchors(docs, id_col, text_col, length)
-    again = anchors.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    # Stored, so that the join below reads both its sides from shuffles, which adaptive execution can split by rows.
+    again = durable(anchors.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"))
     listed = anchors.join(again, "m").groupBy("key").agg(F.collect_list(F.struct("m", "at")).alias("places"))
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
     shared = durable(texts.join(listed, "key"))
     # Windows are told apart by 128 bits, anchor and content; their bytes are read where an anchor has several.
     counted = durable(_hashed(shared, length).groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")))
-    several = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    several = durable(counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
     wanted = counted.join(several, "g").groupBy("first.key").agg(F.collect_list(F.struct("g", "h", "c", F.col("first.at").alias("at"))).alias("wanted"))
     distinct = durable(_fetched(shared.select("key", "text").join(wanted, "key"), length).withColumn("sid", F.monotonically_increasing_id()))
     found = _resolve(distinct, length, 0, bucket_bytes, cap_bytes)

@@ -1,0 +1,17 @@
+"""Array kernels for what column expressions can't say: batches of matrices and dense volumes as numpy arrays."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("array<double>")
+def inverse_affine(matrices: pd.Series) -> pd.Series:
+    """Inverses of 4 x 4 matrices in row order; null for a degenerate one."""
+    stack = np.array([np.asarray(m, float) for m in matrices]).reshape(-1, 4, 4)
+    usable = np.abs(np.linalg.det(stack)) > 1e-12
+    out = np.zeros_like(stack)
+    out[usable] = np.linalg.inv(stack[usable])
+    return pd.Series([list(m.ravel()) if ok else None for m, ok in zip(out, usable)])

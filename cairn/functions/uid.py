@@ -6,9 +6,10 @@ from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def remapped(values: pd.Series) -> pd.Series:
     """``2.25.`` and the decimal of a version-4 UUID made of the value's hash; null stays null."""
 

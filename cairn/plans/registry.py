@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, windows
+from . import aggregates, filters, joins, pipelines, projections, scans, voxels, windows
 
-CATALOGUES = (aggregates.cat, windows.cat)
+CATALOGUES = (scans.cat, projections.cat, filters.cat, joins.cat, aggregates.cat, windows.cat, voxels.cat, pipelines.cat)
 
 
 def queries() -> dict:

@@ -31,9 +31,9 @@ def write_idempotent(new: DataFrame, stored: DataFrame | None, key: str, content
         return new
     old = stored.select(F.col(key).alias("__k"), F.col(content).alias("__c"))
     joined = new.join(old, new[key] == F.col("__k"), "left")
-    differs = F.col("__k").isNotNull() & (F.col("__c") != F.col(content))
-    checked = joined.where(F.when(differs, F.raise_error(F.lit("another content is stored under this key")).cast("boolean")).otherwise(True))
-    return checked.where("__k IS NULL").drop("__k", "__c")
+    # One expression: two filters in a row may be tested in either order.
+    new_row = F.when(F.col("__k").isNull(), True).when(F.col("__c") == F.col(content), False).otherwise(F.raise_error(F.lit("another content is stored under this key")).cast("boolean"))
+    return joined.where(new_row).drop("__k", "__c")
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:

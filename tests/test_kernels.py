@@ -1,0 +1,67 @@
+"""Kernels against definitions, on random volumes."""
+
+import itertools
+
+import numpy as np
+
+from cairn.operators import kernels as K
+
+rng = np.random.default_rng(3)
+MASKS = rng.random((6, 4, 5, 3)) < 0.6
+
+
+def near(a):
+    return [tuple(np.add(a, d)) for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
+
+
+def test_label_is_reachability():
+    for m, got in zip(MASKS, K.label(MASKS)):
+        seen = {}
+        for p in itertools.product(*map(range, m.shape)):
+            if m[p] and p not in seen:
+                todo, root = [p], int(np.ravel_multi_index(p, m.shape)) + 1
+                while todo:
+                    q = todo.pop()
+                    if q in seen or not all(0 <= x < n for x, n in zip(q, m.shape)) or not m[q]:
+                        continue
+                    seen[q] = root
+                    todo += near(q)
+        assert all(got[p] == seen.get(p, 0) for p in itertools.product(*map(range, m.shape)))
+
+
+def test_distance_is_nearest_outside():
+    step = np.array((1.5, 1.1, 0.9))
+    for m, got in zip(MASKS, K.distance(MASKS, tuple(step))):
+        off = np.argwhere(~m)
+        for p in itertools.product(*map(range, m.shape)):
+            assert np.isclose(got[p], np.sqrt((((off - p) * step) ** 2).sum(axis=1)).min())
+    assert np.isinf(K.distance(np.ones((1, 2, 2, 2), bool), (1, 1, 1))).all()
+
+
+def test_borders_differ():
+    full = np.ones((1, 3, 3, 3), bool)
+    assert K.erode(full, True).sum() == 27 and K.erode(full, False).sum() == 1
+
+
+def test_holes_are_filled():
+    shell = np.ones((1, 5, 5, 5), bool)
+    shell[0, 2, 2, 2] = False
+    assert K.fill_outside(shell).all()
+    shell[0, 2, 2, 3:] = False
+    assert not K.fill_outside(shell)[0, 2, 2, 2]
+
+
+def test_phantom_is_segmented():
+    z, y, x = np.mgrid[-12:13, -12:13, -12:13]
+    r = np.sqrt(z**2 + y**2 + x**2)
+    v = np.where(r < 4, 100.0, np.where(r < 11, 800.0, 0.0))[None]
+    mask, codes = K.segment(v, (1, 1, 1))
+    assert codes == [None] and abs(int(mask.sum()) - int((r < 4).sum())) <= 5
+    mask, codes = K.segment(np.zeros((1, 4, 4, 4)), (1, 1, 1))
+    assert not mask.any() and codes[0] is not None
+
+
+def test_resample_keeps_linear_fields():
+    v = np.broadcast_to(np.arange(4.0)[:, None, None] * 1.5, (4, 2, 2))[None]
+    got = K.resample(v, (1.5, 0.75, 0.75), 0.75)
+    assert np.allclose(got[0, :, 0, 0], np.arange(7) * 0.75)

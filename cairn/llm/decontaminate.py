@@ -183,5 +183,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test item; columns and clean rows stay as they are."""
     id_col = options.get("id_col", "doc_id")
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    # Stored, so that its size is known: while it is small, Catalyst broadcasts it and the texts stay where they are.
+    bad = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")

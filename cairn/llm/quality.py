@@ -30,6 +30,8 @@ _CLASS = np.full(256, 6, np.int64)
 for _name, _members in ((0, range(97, 123)), (1, range(65, 91)), (2, range(48, 58)), (3, (9, 32)), (4, range(10, 14)), (5, (44, 46)), (7, range(128, 256))):
     _CLASS[list(_members)] = _name
 _LENGTHS = 12
+#: Bytes of text encoded at once: several numbers a byte are held meanwhile.
+_CHUNK = 1 << 20
 FEATURES = 64 + _LENGTHS + 4
 
 
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, to, d, o in chunks(*utf8(batch.column(2))):
+            for first, to, d, o in chunks(*utf8(batch.column(2)), _CHUNK):
                 x, owner = passages(d, o, passage_words)
                 rows = []
                 for i in range(to - first):
@@ -156,7 +158,7 @@ def scores(docs: DataFrame, model: GatedAttention | float, passage_words: int =
         model = held.value
         for batch in batches:
             found = [np.zeros(0)]
-            for first, to, d, o in chunks(*utf8(batch.column(len(keep)))):
+            for first, to, d, o in chunks(*utf8(batch.column(len(keep))), _CHUNK):
                 found.append(np.full(to - first, model) if isinstance(model, float) else model.score(*passages(d, o, passage_words), to - first))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(found))], [*keep, "score"])
 

@@ -34,6 +34,8 @@ from ._text import IS_SPACE, LOWER, U64, chunks, components, mix, utf8, words
 SEED = 42
 #: Reference fingerprints of the pivot table: the mixed numbers 1 to 8.
 PIVOTS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: A key with so few free bits is not filed again: its distinct fingerprints are 2^12 at most.
+_FEW_BITS = 12
 #: Byte value -> its eight bits, the highest first, in eight byte lanes.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(U64)[:, 0]
 
@@ -100,7 +102,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 def _quarters(mask: int) -> list[int]:
     """The free bits of ``mask`` in four parts."""
     free = [b for b in range(64) if not mask >> b & 1]
-    return [sum(1 << b for b in part) for part in np.array_split(free, 4)]
+    return [sum(1 << int(b) for b in part) for part in np.array_split(free, 4)]
 
 
 def _filed(rows: DataFrame) -> DataFrame:
@@ -110,9 +112,9 @@ def _filed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             fp, rep, mask = (np.asarray(batch.column(i)) for i in range(3))
             for held in np.unique(mask):
-                own = mask == held
-                for part in _quarters(int(held) & (1 << 64) - 1):
-                    wide = U64(int(held) & (1 << 64) - 1 | part)
+                own, fixed = mask == held, int(held) % (1 << 64)
+                for part in _quarters(fixed):
+                    wide = U64(fixed | part)
                     key = mix(mix(fp[own].view(U64) & wide) ^ wide)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x) for x in (key.view(np.int64), fp[own], rep[own], np.full(own.sum(), wide, U64).view(np.int64))],
@@ -176,7 +178,8 @@ def near_links(classes: DataFrame, max_bits: int = 3, key_rows: int = 4096) -> D
     filed = _filed(classes.withColumn("mask", F.lit(0).cast("long")))
     found = None
     while True:
-        hot = durable(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > key_rows))
+        counts = filed.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n"))
+        hot = durable(counts.where((F.col("n") > key_rows) & (64 - F.bit_count("mask") > _FEW_BITS)).select("key"))
         done = hot.isEmpty()
         part = _links(filed if done else filed.join(hot, "key", "left_anti"), max_bits, n)
         found = part if found is None else found.unionByName(part)
@@ -203,9 +206,11 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int =
     joined = connected_components(near_links(classes.select("fp", F.col("first").alias("rep")), max_bits, key_rows))
     # Components are of the classes' first rows; the row to stay is the component's least by id.
     group = classes.join(joined, classes["first"] == joined.node, "left").select(F.coalesce("component", "first").alias("group"), F.struct(F.coalesce("rep", F.lit(2**63 - 1)), F.col("first").alias("key")).alias("row"))
-    stay = durable(group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key")))
+    stay = group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
+    # The rows to go are the fewer; stored, their size is known and decides whether the texts have to move.
+    gone = durable(fps.select("key").distinct().join(durable(stay), "key", "left_anti").select(F.col("key").alias("__key")))
     twice = durable(fps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("__key")))
-    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    kept = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, "__key", "left_anti").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
     return kept.select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; one longer text is worked on alone, never cut.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: The odd multiplier of polynomial hashes modulo 2^64, and its inverse there.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import durable
+from ._store import durable, fresh
 from ._text import NOT_WORD, U64, Polynomial, chunks, mix, utf8, words
 
 #: Three seeds of weight five.
@@ -182,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test item; columns and clean rows stay as they are."""
-    id_col = options.get("id_col", "doc_id")
+    id_col, name = options.get("id_col", "doc_id"), fresh(docs, "bad_id")
     # Stored, so that its size is known: while it is small, Catalyst broadcasts it and the texts stay where they are.
-    bad = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    bad = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[name]), "left_anti")

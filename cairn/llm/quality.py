@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import stratified_ids
+from ._store import fresh
 from ._text import IS_SPACE, U64, Polynomial, chunks, utf8, words
 
 #: Classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 line break, 5 full stop or comma, 6 other signs, 7 beyond ASCII.
@@ -30,8 +31,6 @@ _CLASS = np.full(256, 6, np.int64)
 for _name, _members in ((0, range(97, 123)), (1, range(65, 91)), (2, range(48, 58)), (3, (9, 32)), (4, range(10, 14)), (5, (44, 46)), (7, range(128, 256))):
     _CLASS[list(_members)] = _name
 _LENGTHS = 12
-#: Bytes of text encoded at once: several numbers a byte are held meanwhile.
-_CHUNK = 1 << 20
 FEATURES = 64 + _LENGTHS + 4
 
 
@@ -131,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, to, d, o in chunks(*utf8(batch.column(2)), _CHUNK):
+            for first, to, d, o in chunks(*utf8(batch.column(2))):
                 x, owner = passages(d, o, passage_words)
                 rows = []
                 for i in range(to - first):
@@ -149,22 +148,23 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
     return GatedAttention().fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), y)
 
 
-def scores(docs: DataFrame, model: GatedAttention | float, passage_words: int = 64, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score double of every row of ``docs``."""
+def scores(docs: DataFrame, model: GatedAttention | float, passage_words: int = 64, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` and the double ``name`` of every row of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             found = [np.zeros(0)]
-            for first, to, d, o in chunks(*utf8(batch.column(len(keep))), _CHUNK):
+            for first, to, d, o in chunks(*utf8(batch.column(len(keep)))):
                 found.append(np.full(to - first, model) if isinstance(model, float) else model.score(*passages(d, o, passage_words), to - first))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(found))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(found))], [*keep, name])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "scored"))).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: GatedAttention | float, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``."""
-    return scores(docs.withColumn("__again", F.col(text_col)), model, text_col="__again", keep=tuple(docs.columns)).where(F.col("score") >= threshold).drop("score")
+    name = fresh(docs, "score")
+    return scores(docs, model, text_col=text_col, keep=tuple(docs.columns), name=name).where(F.col(name) >= threshold).drop(name)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._store import durable, partitions
+from ._store import durable, fresh, partitions
 from ._text import IS_SPACE, LOWER, U64, chunks, components, mix, utf8, words
 
 SEED = 42
@@ -200,17 +200,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest id (null last), then the smallest hash of
     its text. Of rows with equal id and text one stays, whichever their other columns are."""
+    name = fresh(docs, "key_of_row")
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    fps = durable(fingerprints(docs.withColumn("__key", key), width, id_col, text_col, extra="__key"))
+    fps = durable(fingerprints(docs.withColumn(name, key), width, id_col, text_col, extra=name))
     classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "key")).alias("first")))
     joined = connected_components(near_links(classes.select("fp", F.col("first").alias("rep")), max_bits, key_rows))
     # Components are of the classes' first rows; the row to stay is the component's least by id.
     group = classes.join(joined, classes["first"] == joined.node, "left").select(F.coalesce("component", "first").alias("group"), F.struct(F.coalesce("rep", F.lit(2**63 - 1)), F.col("first").alias("key")).alias("row"))
     stay = group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
     # The rows to go are the fewer; stored, their size is known and decides whether the texts have to move.
-    gone = durable(fps.select("key").distinct().join(durable(stay), "key", "left_anti").select(F.col("key").alias("__key")))
-    twice = durable(fps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("__key")))
-    kept = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
+    gone = durable(fps.select("key").distinct().join(durable(stay), "key", "left_anti").select(F.col("key").alias(name)))
+    twice = durable(fps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias(name)))
+    kept = docs.withColumn(name, key).join(gone, name, "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, "__key", "left_anti").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+        kept = kept.join(twice, name, "left_anti").unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name]))
     return kept.select(*docs.columns)

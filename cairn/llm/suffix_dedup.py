@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import durable
+from ._store import durable, fresh
 from ._text import U64, Polynomial, chunks, mix, utf8
 
 #: Starts of one window at each level of splitting.
@@ -396,6 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return _cut(batches, lambda kept, n, runs: (kept.decode("utf-8", "ignore"), n, runs))
 
     cut = shared.join(spans, "key").select("key", "text", "spans").mapInArrow(run, _CUT_ROW).dropDuplicates(["key"])
-    cut = cut.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    joined = docs.join(cut, _key(id_col, text_col) == F.col("__key"), "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)
+    there, kept = fresh(docs, "there"), fresh(docs, "kept")
+    cut = cut.select(F.col("key").alias(there), F.col("kept").alias(kept))
+    joined = docs.join(cut, _key(id_col, text_col) == F.col(there), "left")
+    return joined.withColumn(text_col, F.coalesce(kept, text_col)).select(*docs.columns)

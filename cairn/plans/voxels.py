@@ -315,3 +315,13 @@ def mea_seeded_evans(t):
         return {"width": np.where(dark.any(axis=1), (right - left + 1) * 0.9, 0.0)}
 
     return _kernel(t, run, "width double")
+
+
+@query(f"{_V}, s AS (SELECT vol, y, max(x) FILTER (v <= 0.0) - min(x) FILTER (v <= 0.0) + 1 AS w FROM voxels WHERE z = 1 GROUP BY vol, y), k AS (SELECT vol, max(x) FILTER (v > -0.2) - min(x) FILTER (v > -0.2) + 1 AS skull FROM voxels WHERE z = 1 GROUP BY vol) SELECT vol, CASE WHEN max(w) IS NOT NULL AND any_value(skull) IS NOT NULL THEN round(max(w) / any_value(skull), 9) END AS evans FROM s JOIN k USING (vol) GROUP BY vol")
+def mea_slice_evans(t):
+    """The two-dimensional path: the widest dark line of one slice over the slice's inner width."""
+    one = B.voxels(t).where("z = 1")
+    extent = lambda on: F.max(F.when(on, c("x"))) - F.min(F.when(on, c("x"))) + 1
+    widest = one.groupBy("vol", "y").agg(extent(c("v") <= 0.0).alias("w")).groupBy("vol").agg(F.max("w").alias("w"))
+    skull = one.groupBy("vol").agg(extent(c("v") > -0.2).alias("skull"))
+    return widest.join(skull, "vol").select("vol", F.round(c("w") / c("skull"), 9).alias("evans"))

@@ -156,6 +156,13 @@ def win_chain_build(t):
     return JN.chained(_journal(t), "user_id", "event_id", "payload").select("user_id", "event_id", "prev", "hash")
 
 
+@query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, event_id, '{{\"event\":\"' || (SELECT payload FROM ordered o WHERE o.user_id = chain.user_id AND o.n = chain.n) || '\",\"previousHash\":\"' || prev || '\",\"hash\":\"' || hash || '\"}}' AS line FROM chain")
+def sink_append_chain(t):
+    """The journal's lines as they are written, each with the hash of the one before it."""
+    rows = JN.chained(_journal(t), "user_id", "event_id", "payload")
+    return rows.select("user_id", "event_id", F.to_json(F.struct(c("payload").alias("event"), c("prev").alias("previousHash"), "hash")).alias("line"))
+
+
 _TAMPERED = "(user_id * 7 + n) % 97 = 5"
 
 

@@ -5,7 +5,8 @@ mask such as 1101001011: at each word position of a text, the words under the on
 so a substituted word spoils only the seeds that look at it. Hashes of the test items join those of the texts; every
 hit fixes an item, a text and a shift between them. Around the hits the item is laid on the text word by word, and
 shifts within ``drift`` words of each other count together, so inserted or lost words are bridged as well. A pair is
-reported when at least ``similarity`` of the item's words are found.
+reported when at least ``similarity`` of the item's words are found, or ``run_words`` of them in a row: a part of an
+item that long is a leak too.
 
 Work on the corpus is one pass without a shuffle: each task keeps only positions whose hash is in a bit table of the
 items' hashes (fixed size, whatever the benchmark's), and returns the word hashes around them. Only these segments
@@ -127,9 +128,10 @@ def _segments(docs: DataFrame, masks: tuple[str, ...], table: np.ndarray, log2_b
     return docs.mapInArrow(run, "doc_id long, start long, words array<long>, hs array<long>, at array<int>")
 
 
-def overlap(item: np.ndarray, text: np.ndarray, shifts: np.ndarray, drift: int) -> tuple[int, int]:
-    """The most words of ``item`` that a group of near shifts finds in ``text``, and where the first of them is."""
-    best = (0, 0)
+def overlap(item: np.ndarray, text: np.ndarray, shifts: np.ndarray, drift: int) -> tuple[int, int, int]:
+    """The most words of ``item`` that a group of near shifts finds in ``text``, where the first of them is, and how
+    many of them are in a row in both."""
+    best, longest = (0, 0), 0
     shifts = np.sort(shifts)
     for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > drift) + 1):
         found, first = np.zeros(len(item), bool), len(text)
@@ -137,6 +139,8 @@ def overlap(item: np.ndarray, text: np.ndarray, shifts: np.ndarray, drift: int)
             lo, hi = max(0, -d), min(len(item), len(text) - d)
             same = np.zeros(len(item), bool)
             same[lo:hi] = item[lo:hi] == text[lo + d: hi + d]
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+            longest = max(longest, int((ends[1::2] - ends[::2]).max(initial=0)))
             if len(group) > 1:  # chance agreements of single words don't count for several shifts
                 run = np.concatenate([[False], same, [False]])
                 same &= run[:-2] | run[2:]
@@ -144,12 +148,12 @@ def overlap(item: np.ndarray, text: np.ndarray, shifts: np.ndarray, drift: int)
                 first = min(first, int(np.argmax(same)) + int(d))
             found |= same
         best = max(best, (int(found.sum()), -first))
-    return best[0], -best[1]
+    return best[0], -best[1], longest
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, similarity: float = 0.8, drift: int = 8, log2_bits: int = 25,
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, similarity: float = 0.8, run_words: int = 13, drift: int = 8, log2_bits: int = 25,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_words, n_found, similarity, first_word): texts that hold a test item, best place of each."""
+    """(doc_id, item_id, n_words, n_found, similarity, first_word, longest_run): texts that hold a test item, best place of each."""
     items = durable(_item_words(benchmark, item_col, item_text_col))
     seeds = durable(_item_seeds(items, masks))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
@@ -173,10 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
             n = [len(x) for x in c["item_words"]]
             found, first = [x[0] for x in out], [s + x[1] for s, x in zip(c["start"].to_pylist(), out)]
             share = pa.array([f / k for f, k in zip(found, n)], pa.float64())
-            yield pa.RecordBatch.from_arrays([c["doc_id"], c["item_id"], pa.array(n, pa.int64()), pa.array(found, pa.int64()), share, pa.array(first, pa.int64())], ["doc_id", "item_id", "n_words", "n_found", "similarity", "first_word"])
-
-    found = laid.mapInArrow(verify, "doc_id long, item_id long, n_words long, n_found long, similarity double, first_word long").where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("n_words", "n_found", "similarity", "first_word"), F.struct("similarity", -F.col("first_word"))).alias("b")
+            runs = pa.array([x[2] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [c["doc_id"], c["item_id"], pa.array(n, pa.int64()), pa.array(found, pa.int64()), share, pa.array(first, pa.int64()), runs], ["doc_id", "item_id", "n_words", "n_found", "similarity", "first_word", "longest_run"]
+            )
+
+    found = laid.mapInArrow(verify, "doc_id long, item_id long, n_words long, n_found long, similarity double, first_word long, longest_run long")
+    found = found.where((F.col("similarity") >= similarity) | (F.col("longest_run") >= run_words))
+    best = F.max_by(F.struct("n_words", "n_found", "similarity", "first_word", "longest_run"), F.struct("similarity", "longest_run", -F.col("first_word"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 

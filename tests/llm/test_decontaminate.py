@@ -28,12 +28,12 @@ def test_planted_passages(spark):
             planted.insert(len(item) // 2, "extra")
         elif kind == 3:
             planted = [w.upper() + "," for w in planted]
-        elif kind == 4:  # half of it only
-            planted = planted[: len(item) // 2]
+        elif kind == 4:  # a part of it only, too short or long enough for a run
+            planted = planted[: 10 if k % 2 else 13]
         elif kind == 5:
             planted = []
         docs.append((k, " ".join(body[:at] + planted + body[at:])))
-        if kind < 4:
+        if kind < 4 or kind == 4 and not k % 2:
             want.add((k, item_id))
     docs += [(500, None), (501, ""), (None, " ".join(items[0][1])), (502, docs[0][1]), (502, docs[0][1])]
     bench = [(i, " ".join(t)) for i, t in items] + [(90, None), (91, "  "), (92, "Two words")]

@@ -99,8 +99,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
 def _ranges(docs: DataFrame, n: int) -> tuple[Column, int]:
     """The number of an id's range (null: 0) as an expression, by approximate quantiles looked up in two steps."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    cuts, least = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n + 1)], 10 * n), F.min("doc_id")).first()
+    cuts = sorted(k for k in set(cuts or []) if k > least)  # the smallest id shares the lowest range with null ids
     if not cuts:
         return F.lit(0), 1
     step = max(1, round(len(cuts) ** 0.5))

@@ -43,7 +43,7 @@ def test_equals_brute_force(spark):
         r = got[doc_id]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r.near_edited - likeness(brute(text), brute(edited))) < 1e-12 and abs(r.near_next - likeness(brute(text), brute(following))) < 1e-12
-    assert got[1].fingerprint == got[12].fingerprint == got[2].fingerprint != got[9].fingerprint
+    assert got[1].fingerprint == got[12].fingerprint != got[9].fingerprint
 
 
 def test_many_ranges_agree(spark, sf_dir):

@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 1. quality: documents whose score by attention-based multiple-instance learning is below one half go.
-2. near_dedup: of each group of documents that SimHash fingerprints link, the one with the smallest id stays.
+2. near_dedup: of each group of documents that SimHash fingerprints or a likeness of 0.8 of their sets of five-word
+   shingles link, the one with the smallest id stays.
 3. suffix_dedup: every string of 200 bytes that occurs twice or more is taken out of the texts.
 4. decontaminate: documents that hold a benchmark item go.
 5. mix: the remaining documents are given copy numbers, so that sources come to their target weights.
@@ -25,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=3, max_bits=3)
+    return simhash.keep_one(docs, width=3, max_bits=3, jaccard=0.8, gram=5)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

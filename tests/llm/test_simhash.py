@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import simhash
 
-from .brute import groups, simhash as fingerprint
+from .brute import groups, simhash as fingerprint, words
 
 rng = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(300)] + ["été", "Größe", "A", "ZZ"]
@@ -53,3 +53,29 @@ def test_empty_table(spark):
 def test_more_bits_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.near_links(spark.createDataFrame([], "fp long, rep long"), 4)
+
+
+def test_near_copies_at_the_stated_likeness_go(spark):
+    own = random.Random(11)
+
+    def grams(text):
+        w = words(text)
+        return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rows = []
+    for _ in range(120):
+        base = [own.choice(VOCABULARY) for _ in range(own.randrange(40, 300))]
+        rows.append(" ".join(base))
+        edited = base[:]
+        for at in own.sample(range(len(base)), max(1, len(base) // own.randrange(30, 80))):  # a few words changed
+            edited[at] = own.choice(VOCABULARY)
+        rows.append("  ".join(edited).title())
+        rows.append(" ".join(base + [own.choice(VOCABULARY) for _ in range(len(base) // own.randrange(4, 9))]))  # or a paragraph added
+    sets, fp = [grams(t) for t in rows], [fingerprint(t, 3) for t in rows]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert len(near) > 150 and sum((fp[a] ^ fp[b]).bit_count() <= 3 for a, b in near) < len(near) / 2
+    want = groups(range(len(rows)), lambda a, b: (a, b) in near or (fp[a] ^ fp[b]).bit_count() <= 3)
+    docs = spark.createDataFrame(list(enumerate(rows)) + [(0, rows[0]), (0, rows[0]), (None, rows[1]), (900, None), (901, "")], "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, jaccard=0.8).collect())
+    assert got == sorted({*want.values(), 900})
+    assert simhash.keep_one(docs.limit(0), jaccard=0.8).count() == 0

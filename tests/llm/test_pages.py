@@ -30,6 +30,28 @@ def test_shared_lines_go_without_an_article(spark):
     assert got[99] == "Welcome to the site a b All rights reserved"
 
 
+def test_shared_lines_go_inside_the_main_element(spark):
+    page = "<article><div>Read our sister paper</div><p>{}</p></article>"
+    for kind in ("article", "main"):
+        html = [page.replace("article", kind).format(f"a story of its own, number {i} of {i * 7919}") for i in range(6)]
+        pages = [(i, f"http://{kind}/{i}", h) for i, h in enumerate(html)] + [(6 + i, f"http://copies/{i}", html[0]) for i in range(2)]
+        got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == f"a story of its own, number {i} of {i * 7919}" for i in range(6))
+        assert got[6] == got[7] == "Read our sister paper a story of its own, number 0 of 0"
+
+
+def test_every_page_meets_its_neighbour(spark):
+    frame = "<div>Welcome to the site</div><div>story {}</div>"
+    pages = [(i, f"http://host{i // 2:02d}/{i % 2}\"é", frame.format(i)) for i in range(40)] + [(None, None, None), (50, "http://host00/0", frame.format(50)), (50, "http://host00/0", frame.format(50))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(pages) and all(r.text == f"story {r.page_id}" for r in got if r.page_id is not None and 2 <= r.page_id < 40)
+
+
 def test_common_lines_are_longest():
     rng = random.Random(0)
     for _ in range(300):

@@ -267,7 +267,17 @@ _SEG = "s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, (l_partkey % 40)
        "least(greatest(round_even(x0 + (x1 - x0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS px, least(greatest(round_even(y0 + (y1 - y0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS py FROM p")
 def vox_draw_line(t):
     """Pixels of segments: twice as many steps as the longer side, halves to even, clamped to a frame of 32."""
-    s = t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_extendedprice", (c("l_partkey") % 40).cast("int").alias("x0"), (c("l_suppkey") % 40).cast("int").alias("y0"), c("l_quantity").cast("int").alias("x1"), (c("l_linenumber") * 5).cast("int").alias("y1"))
+    return drawn(t("lineitem").where("l_orderkey % 20 = 0"))
+
+
+@query()
+def vox_draw_line_all(t):
+    """``vox_draw_line`` of every row of lineitem; the SQL of the other draws one order in twenty."""
+    return drawn(t("lineitem"))
+
+
+def drawn(items):
+    s = items.select("l_orderkey", "l_linenumber", "l_extendedprice", (c("l_partkey") % 40).cast("int").alias("x0"), (c("l_suppkey") % 40).cast("int").alias("y0"), c("l_quantity").cast("int").alias("x1"), (c("l_linenumber") * 5).cast("int").alias("y1"))
     steps = 2 * F.greatest(F.abs(c("x1") - c("x0")), F.abs(c("y1") - c("y0")))
     p = s.withColumn("steps", steps).withColumn("k", F.explode(F.sequence(F.lit(0), c("steps"))))
     at = lambda a, b: F.least(F.greatest(F.rint(c(a) + (c(b) - c(a)) * c("k") / F.greatest(c("steps"), F.lit(1))), F.lit(0)), F.lit(31)).cast("int")

@@ -39,3 +39,17 @@ def test_partitioning_does_not_matter(spark, sf_dir):
     one = L.latest(orders.repartition(7, "o_orderkey"), ["o_custkey"], "o_orderdate", "o_orderkey")
     two = L.latest(orders.orderBy("o_totalprice").coalesce(2), ["o_custkey"], "o_orderdate", "o_orderkey")
     assert sorted(map(str, one.select(*orders.columns).collect())) == sorted(map(str, two.select(*orders.columns).collect()))
+
+
+def test_every_segment_is_drawn(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity").collect()
+    want = set()
+    for r in rows:
+        x0, y0, x1, y1 = r.l_partkey % 40, r.l_suppkey % 40, int(r.l_quantity), r.l_linenumber * 5
+        steps = 2 * max(abs(x1 - x0), abs(y1 - y0))
+        for k in range(steps + 1):
+            px, py = (min(max(round(a + (b - a) * k / max(steps, 1)), 0), 31) for a, b in ((x0, x1), (y0, y1)))
+            want.add((r.l_orderkey, r.l_linenumber, r.l_extendedprice, px, py))
+    got = [tuple(r) for r in QUERIES["vox_draw_line_all"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r[0] for r in got} == {r.l_orderkey for r in rows}

@@ -80,13 +80,23 @@ def quoted_csv(text: Column, sep: str = ";") -> Column:
     return F.when(F.contains(text, F.lit(sep)), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def short_number(secret: Column, short_below: int = 8) -> Column:
+    return (F.length(secret) < short_below) & secret.rlike(r"^[0-9.]*[0-9][0-9.]*$")
+
+
+def bare_number(token: Column) -> Column:
+    return F.regexp_replace(token, r"^\.+|\.+$", "")
+
+
+def numeric_tokens(value: Column) -> Column:
+    return F.transform(F.filter(F.split(value, r"[^0-9.]"), lambda t: t != ""), bare_number)
+
+
 def leaks(value: Column, secret: Column, neutral: Column, short_below: int = 8) -> Column:
     """Whether a value gives a secret away: neutral secrets as the whole value only, short numbers as whole numeric
     tokens, all others anywhere, whatever the case."""
-    short = (F.length(secret) < short_below) & secret.rlike(r"^[0-9.]*[0-9][0-9.]*$")
-    tokens = F.transform(F.filter(F.split(value, r"[^0-9.]"), lambda t: t != ""), lambda t: F.regexp_replace(t, r"^\.+|\.+$", ""))
     return (
         F.when(neutral, F.lower(F.trim(value)) == F.lower(secret))
-        .when(short, F.array_contains(tokens, F.regexp_replace(secret, r"^\.+|\.+$", "")))
+        .when(short_number(secret, short_below), F.array_contains(numeric_tokens(value), bare_number(secret)))
         .otherwise(F.contains(F.lower(value), F.lower(secret)))
     )

@@ -164,14 +164,31 @@ _NUM = "list_transform(list_filter(regexp_split_to_array(text, '[^0-9.]'), lambd
 @query(f"WITH {_SECRETS}, d AS (SELECT conv_id, turn, text, {_NUM} AS tokens FROM conversations) SELECT conv_id, turn, item_id FROM d, secrets WHERE CASE WHEN neutral THEN lower(trim(text)) = lower(secret) "
        "WHEN length(secret) < 8 AND regexp_full_match(secret, '[0-9.]*[0-9][0-9.]*') THEN list_contains(tokens, trim(secret, '.')) ELSE contains(lower(text), lower(secret)) END")
 def flt_secret_leak(t):
-    """Every text against every secret: the stated secrets are a small, checked list; a larger one is refused here."""
+    """Texts and secrets meet by equal keys, whatever the number of either, and each meeting is verified."""
     words = t("benchmark").select("item_id", F.split("text", " ")[0].alias("secret"), (c("item_id") % 5 == 0).alias("neutral")).distinct()
     numbers = t("part").select((c("p_size") + 1000).cast("long").alias("item_id"), c("p_size").cast("string").alias("secret"), F.lit(False).alias("neutral")).distinct()
-    secrets = words.unionByName(numbers)
-    if secrets.count() > 10_000:
-        raise ValueError("more than 10,000 secrets: match them by token join instead")
-    pairs = t("conversations").select("conv_id", "turn", "text").join(F.broadcast(secrets), T.leaks(c("text"), c("secret"), c("neutral")))
-    return pairs.select("conv_id", "turn", "item_id")
+    return leaking(t("conversations"), words.unionByName(numbers)).select("conv_id", "turn", "item_id")
+
+
+def leaking(texts, secrets, gram: int = 5):
+    """Rows of ``texts`` (with ``text``), once for each row of ``secrets`` (item_id, secret, neutral) that leaks there.
+
+    Keys: the whole value for neutral secrets, tokens for short numbers, and for all others the first ``gram``
+    characters; shorter ones, by their own length, are looked up among the text's runs of that length.
+    """
+    low = F.lower("secret")
+    kind = F.when(c("neutral"), 0).when(T.short_number(c("secret")), 1).otherwise(2)
+    value = F.when(c("kind") == 0, low).when(c("kind") == 1, T.bare_number(c("secret"))).otherwise(F.left(low, F.lit(gram)))
+    keyed = secrets.withColumn("kind", kind).withColumn("value", value).where("value IS NOT NULL").withColumn("h", F.xxhash64("kind", "value"))
+    sizes = [r.n for r in keyed.where("kind = 2").select(F.length("value").alias("n")).distinct().collect()]
+    text = F.lower("text")
+    runs = [F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit("")) for n in sorted(sizes)]
+    probes = [(0, F.array(F.lower(F.trim("text")))), (1, T.numeric_tokens(c("text"))), *((2, r) for r in runs)]
+    hashes = lambda k, found: F.transform(found, lambda x: F.xxhash64(F.lit(k), x))
+    hashed = F.array_distinct(F.concat(*[hashes(k, found) for k, found in probes]))
+    rows = texts.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    met = rows.select("text_key", F.explode(hashed).alias("h")).join(keyed, "h").select("text_key", "item_id", "secret", "neutral").distinct()
+    return rows.join(met, "text_key").where(T.leaks(c("text"), c("secret"), c("neutral")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey % 256 AS tag_group, l_partkey % 2 = 1 OR l_partkey % 256 IN (80, 96) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AS removed FROM lineitem")

@@ -53,3 +53,19 @@ def test_every_segment_is_drawn(spark, sf_dir):
     got = [tuple(r) for r in QUERIES["vox_draw_line_all"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r[0] for r in got} == {r.l_orderkey for r in rows}
+
+
+def test_secrets_of_any_number_are_matched(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.functions import text as T
+    from cairn.plans.filters import leaking
+
+    values = ["Ana", "é", "", "12", "1.5.", ".7", "12345678", "Größe", "abcdefgh", "a b", " x", None, "zz.z", "ABCDE"]
+    secrets = [(i, v, n) for i, v in enumerate(values) for n in (False, True)] + [(10_000 + i, f"nobody{i}", False) for i in range(10_500)]
+    texts = [(i, v) for i, v in enumerate(["ana", " ANA ", "banana 12 and 1.5", "x12y .7. 112", "123456789", "GRÖSSE größe", "xabcdefghi", "a  b", "a b", None, "", "É", "nobody77 x", "a\nabcde", "ana"])] + [(0, "ana")]
+    t = spark.createDataFrame(texts, "conv_id long, text string")
+    s = spark.createDataFrame(secrets, "item_id long, secret string, neutral boolean")
+    pick = lambda df: sorted(map(str, df.select("conv_id", "item_id", "neutral").collect()))
+    want = pick(t.join(F.broadcast(s), T.leaks(F.col("text"), F.col("secret"), F.col("neutral"))))
+    assert len(want) > 30 and pick(leaking(t, s)) == want

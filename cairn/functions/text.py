@@ -10,6 +10,9 @@ LOOKALIKE_FROM = "авекмнорстух"
 LOOKALIKE_TO = "abekmhopctyx"
 #: Words that say which weighting a series has, in order of precedence.
 WEIGHTING_MARKERS = [("flair", "Flair"), ("флаир", "Flair"), ("t1", "T1"), ("t2", "T2"), ("mprage", "T1"), ("mp-rage", "T1"), ("mp rage", "T1"), ("bravo", "T1"), ("spgr", "T1"), ("haste", "T2")]
+#: Words that say that contrast was given, and those that say it was not, which win.
+CONTRAST_MARKERS = ["+c", "+ c", "post c", "postc", "post-c", "ce t1", "t1 ce", "c+", "gd", "gado", "contrast", "контраст", "с контрастом"]
+NO_CONTRAST_MARKERS = ["non contrast", "non-contrast", "pre contrast", "pre-contrast", "без контраста"]
 #: The T1 time in milliseconds and the part of the Ernst angle below which a gradient echo shows proton density.
 REFERENCE_T1_MS, ERNST_PART = 700.0, 0.5
 
@@ -38,7 +41,7 @@ def first_marker(text: Column, markers: list[tuple[str, str]], default: str) ->
     return F.coalesce(out, F.lit(default))
 
 
-def contrast_enhanced(text: Column, negative: list[str], positive: list[str]) -> Column:
+def contrast_enhanced(text: Column, negative: list[str] = NO_CONTRAST_MARKERS, positive: list[str] = CONTRAST_MARKERS) -> Column:
     low = latinised(text)
     return F.coalesce(~contains_any(low, negative) & contains_any(low, positive), F.lit(False))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import durable
+
 
 def _binned(df: DataFrame, key: str, value: str, bin_of) -> DataFrame:
     """(key, bin, n, lo, hi, total, filled): a counted histogram of each key. Counts are combined before the shuffle."""
@@ -47,7 +49,13 @@ def robust_scale(df: DataFrame, key: str, value: str, bins: int = 1000, cut_shar
 
 
 def positions(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """1-based global positions: rows are sorted by range over the cluster and numbered with their tasks' offsets, so
-    no single task sees all rows. Numbering takes one plan's partitions, which a window can't promise."""
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add(name, "long"))
+    """1-based global positions: rows are dealt by range over the cluster, stored, numbered within their ranges and
+    moved on by the ranges' offsets, so no single task sees all rows. The offsets are a table of one row a range."""
+    part = "range_of_row"
+    while part in df.columns:
+        part += "_"
+    ranged = durable(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offsets = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(name)).withColumn(name, F.coalesce(F.sum(name).over(before), F.lit(0)))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return own.join(F.broadcast(offsets), part).select(*df.columns, (F.col(name) + F.col("_own")).alias(name))

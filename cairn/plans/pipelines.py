@@ -19,6 +19,7 @@ from . import _bind as B
 from ._catalogue import Catalogue
 from .aggregates import _FOLDERS, _SPLIT_NAME, PLANE_SQL, _split, normal
 from .filters import _TIER_SQL, _WELL_SQL, tier
+from .projections import uid_sql
 
 cat = Catalogue()
 query = cat.query
@@ -148,13 +149,20 @@ def pip_deidentify(t):
     return kept.withColumn("value", value).select("study", "tag", "value", T.leaks(c("value"), secret, F.lit(False)).alias("leaks"))
 
 
-@query()
+@query(f"SELECT o_orderkey, {uid_sql(chr(39) + 'uid:' + chr(39) + ' || o_orderkey')} AS uid FROM orders")
 def pip_deidentify_uids(t):
     """The UIDs of a de-identified study: 128-bit decimals."""
     return t("orders").select("o_orderkey", remapped(F.concat(F.lit("uid:"), c("o_orderkey").cast("string"))).alias("uid"))
 
 
-@query()
+_POINTS = ("ordered AS (SELECT user_id, event_type, (user_id % 3)::INT AS slot, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
+           "folded AS (SELECT DISTINCT user_id, 0::BIGINT AS n, -1 AS plane, []::DOUBLE[] AS points FROM events UNION ALL SELECT o.user_id, o.n, "
+           "CASE event_type WHEN 'error' THEN plane WHEN 'signup' THEN -1 ELSE slot END, "
+           "CASE WHEN event_type = 'error' THEN points[:-2] WHEN event_type = 'signup' THEN []::DOUBLE[] WHEN slot <> plane THEN [value::DOUBLE] WHEN len(points) >= 4 THEN points ELSE list_append(points, value::DOUBLE) END "
+           "FROM folded f JOIN ordered o ON o.user_id = f.user_id AND o.n = f.n + 1)")
+
+
+@query(f"WITH RECURSIVE {_POINTS} SELECT user_id, plane, len(points)::INT AS n_points, len(points) >= 4 AS complete, points FROM folded QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
 def st_marking(t):
     """Point events of a session folded in order: another plane starts again, a full set ignores more, undo, reset."""
     points = t("events").select("user_id", "event_id", F.when(c("event_type") == "error", "undo").when(c("event_type") == "signup", "reset").otherwise("point").alias("action"), (c("user_id") % 3).alias("plane"), c("value").alias("x"))
@@ -171,7 +179,12 @@ def st_retention_sweep(t):
     return rows.select("event_id", retention.outcome(c("active"), c("has_key"), c("created"), F.lit(_NOW).cast("timestamp_ntz"), 24, c("locked")).alias("outcome"))
 
 
-@query()
+_HEADS = ("ordered AS (SELECT user_id, event_type || '|' || props AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
+          "chain AS (SELECT user_id, n, sha256(repeat('0', 64) || chr(30) || payload) AS hash FROM ordered WHERE n = 1 "
+          "UNION ALL SELECT o.user_id, o.n, sha256(k.hash || chr(30) || o.payload) FROM chain k JOIN ordered o ON o.user_id = k.user_id AND o.n = k.n + 1)")
+
+
+@query(f"WITH RECURSIVE {_HEADS} SELECT user_id, arg_max(hash, n) AS head, count(*) AS records FROM chain GROUP BY user_id")
 def st_journal(t):
     """The journal that a writer appends batch by batch: the chain goes on from the last stored hash."""
     lines = t("events").select("user_id", "event_id", F.concat("event_type", F.lit("|"), c("props")).alias("payload"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import dates as DT
 from cairn.functions import geometry as G
+from cairn.functions import matrices as M
 from cairn.functions import hashing as H
 from cairn.functions import text as T
+from cairn.functions import uid as UID
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -96,6 +98,18 @@ def prj_contrast(t):
     return t("documents").select("doc_id", T.contrast_enhanced(c("text"), ["hedno", "ohne"], ["with", "avec", "mit"]).alias("contrast"))
 
 
+_PROTOCOLS = ["T1 +C", "T1 GADO", "Т1 с контрастом", "non-contrast", "t1 без контраста", "Pre Contrast T2", "Flair", "post-C"]
+_SHOWN = "translate(lower(p_name || ' ' || [" + ", ".join(f"'{x}'" for x in _PROTOCOLS) + f"][p_size % 8 + 1]), '{T.LOOKALIKE_FROM}', '{T.LOOKALIKE_TO}')"
+_ANY = lambda markers: " OR ".join(f"contains({_SHOWN}, '{T.latinised_literal(m)}')" for m in markers)
+
+
+@query(f"SELECT p_partkey, NOT ({_ANY(T.NO_CONTRAST_MARKERS)}) AND ({_ANY(T.CONTRAST_MARKERS)}) AS contrast FROM part")
+def prj_contrast_markers(t):
+    """Contrast by the marker words of protocol names."""
+    protocol = F.element_at(F.array(*map(F.lit, _PROTOCOLS)), (c("p_size") % 8 + 1).cast("int"))
+    return t("part").select("p_partkey", T.contrast_enhanced(F.concat_ws(" ", "p_name", protocol)).alias("contrast"))
+
+
 @query(f"SELECT p_partkey, translate(lower(p_name || ' Т' || p_size || ' МРТ'), '{T.LOOKALIKE_FROM}', '{T.LOOKALIKE_TO}') AS latin FROM part")
 def prj_lookalike(t):
     return t("part").select("p_partkey", T.latinised(F.concat("p_name", F.lit(" Т"), c("p_size").cast("string"), F.lit(" МРТ"))).alias("latin"))
@@ -152,15 +166,18 @@ def prj_shift_date(t):
     return t("orders").select("o_orderkey", DT.shifted(unread, -(c("o_custkey") % 3650 + 1)).alias("shifted"))
 
 
-@query()
-def prj_uid_remap(t):
-    """2.25.<decimal of a version-4 UUID from the hash>: 128 bits, which no SQL number holds."""
-    from cairn.functions.uid import remapped
+def uid_sql(value: str) -> str:
+    h = f"sha256({value})"
+    return f"'2.25.' || ('0x' || substr({h}, 1, 12) || '4' || substr({h}, 14, 3) || translate(substr({h}, 17, 1), '{UID.HEX}', '{UID.VARIANT}') || substr({h}, 18, 15))::UHUGEINT"
+
 
-    return t("customer").select("c_custkey", remapped(F.concat(F.lit("salt:"), c("c_name"))).alias("uid"))
+@query(f"SELECT c_custkey, {uid_sql(chr(39) + 'salt:' + chr(39) + ' || c_name')} AS uid FROM customer")
+def prj_uid_remap(t):
+    """2.25.<decimal of a version-4 UUID from the hash>."""
+    return t("customer").select("c_custkey", UID.remapped(F.concat(F.lit("salt:"), c("c_name"))).alias("uid"))
 
 
-@query()
+@query(r"SELECT event_id, regexp_replace('tag (0018,0015) of ' || user_id || ' in ' || event_type, '(^|[^\w(,])\d+($|[^\w),])', '\1#\2', 'g') AS shape FROM events")
 def prj_normalise_message(t):
     return t("events").select("event_id", T.message_shape(F.concat(F.lit("tag (0018,0015) of "), c("user_id").cast("string"), F.lit(" in "), c("event_type"))).alias("shape"))
 
@@ -211,7 +228,9 @@ def prj_quote_csv(t):
     return t("part").select("p_partkey", T.quoted_csv(s).alias("cell"))
 
 
-@query()
+@query("SELECT o_orderkey, line, depth, text, heading FROM (SELECT o_orderkey, unnest([{'line': 0, 'depth': 0, 'text': 'report', 'heading': true}, {'line': 1, 'depth': 1, 'text': 'study: ' || o_orderkey, 'heading': false}, "
+       "{'line': 2, 'depth': 1, 'text': 'outcome', 'heading': true}, {'line': 3, 'depth': 2, 'text': 'kind: ' || o_orderstatus, 'heading': false}, {'line': 4, 'depth': 2, 'text': 'values', 'heading': true}, "
+       "{'line': 5, 'depth': 3, 'text': '[0]: ' || o_totalprice, 'heading': false}, {'line': 6, 'depth': 3, 'text': '[1]: ' || o_custkey || '.0', 'heading': false}], recursive := true) FROM orders)")
 def prj_outline(t):
     """Nested JSON as (depth, text) lines."""
     from cairn.functions.outline import outlined
@@ -259,18 +278,19 @@ def fn_vector(t):
 
 @query(f"{_S} SELECT study, ord, part, supp, round(slices * spacing * nx + 10, 6) + 0.0 AS px, round(\"rows\" * row_mm - 5, 6) + 0.0 AS py FROM series")
 def fn_matrix(t):
-    """A 4 x 4 affine applied row by row: two of its rows."""
+    """A 4 x 4 affine applied to a place of the grid."""
     r = lambda x: F.round(x, 6) + F.lit(0.0)
-    return B.series(t).select("study", "ord", "part", "supp", r(c("slices") * c("spacing") * c("nx") + 10).alias("px"), r(c("rows") * c("row_mm") - 5).alias("py"))
+    grid = B.series(t).withColumn("m", M.affine(((c("spacing") * c("nx"), 0, 0), (0, c("row_mm"), 0), (0, 0, 1)), (10, -5, 0)))
+    px, py, _ = M.applied(c("m"), (c("slices"), c("rows"), F.lit(0)))
+    return grid.select("study", "ord", "part", "supp", r(px).alias("px"), r(py).alias("py"))
 
 
-@query()
+@query(f"{_S}, d AS (SELECT study, ord, part, supp, col_mm AS a, nx AS b, ny AS c, row_mm AS d, spacing AS s, col_mm * row_mm - nx * ny AS det FROM series) SELECT study, ord, part, supp, "
+       "CASE WHEN abs(det * s) > 1e-12 THEN list_transform([d / det, -b / det, 0, (5 * b - 4 * d) / det, -c / det, a / det, 0, (4 * c - 5 * a) / det, 0, 0, 1 / s, -6 / s, 0, 0, 0, 1], lambda x: round(x, 6) + 0.0) END AS inverse FROM d")
 def fn_matrix_inverse(t):
-    """Inverse affines of every line item's grid, by batches of matrices."""
-    from cairn.operators.kernels import inverse_affine
-
-    grid = B.series(t).select("study", "ord", F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in (c("col_mm"), c("nx"), F.lit(0), F.lit(4), c("ny"), c("row_mm"), F.lit(0), F.lit(5), F.lit(0), F.lit(0), c("spacing"), F.lit(6), F.lit(0), F.lit(0), F.lit(0), F.lit(1))]).alias("m"))
-    return grid.select("study", "ord", inverse_affine(c("m")).alias("inverse"))
+    """Inverse affines of every line item's grid."""
+    grid = B.series(t).withColumn("m", M.affine(((c("col_mm"), c("ny"), 0), (c("nx"), c("row_mm"), 0), (0, 0, c("spacing"))), (4, 5, 6)))
+    return grid.select("study", "ord", "part", "supp", F.transform(M.inverse(c("m")), lambda x: F.round(x, 6) + F.lit(0.0)).alias("inverse"))
 
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.1)) AS n_high, len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS any_very, len(list_filter(embedding, lambda x: x > -2)) = 64 AS all_over, coalesce(embedding[100], 0)::DOUBLE AS missing, list_sort(embedding)[1]::DOUBLE AS least FROM embeddings")

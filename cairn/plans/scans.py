@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.functions import hashing as H
 from cairn.functions import text as T
-from cairn.operators import histograms as HG
 from cairn.operators import rules as R
-from cairn.sources import archives, documents, nifti, sinks
+from cairn.operators.store import fresh_path
+from cairn.sources import archives, dicom, documents, files, nifti, sinks
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -22,6 +22,31 @@ cat = Catalogue()
 query = cat.query
 c = F.col
 
+def _spark(t):
+    return t("region").sparkSession
+
+
+def _stored(lines, by: str | None = None) -> str:
+    """Text lines written to a new folder of files, and its path."""
+    path = fresh_path(lines.sparkSession)
+    sinks.write_lines(lines, path, by)
+    return path
+
+
+def _dicom(rows):
+    """Rows (path, attributes by their names) as DICOM files, made in Spark; no attributes: a file of another kind."""
+    names = [n for n in rows.columns if n != "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000).to_pydict()
+                raw = [dicom.encode(dict(zip(names, v))) if any(x is not None for x in v) else b"no image" for v in zip(*(part[n] for n in names))]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(part["path"], pa.string()), "content": pa.array(raw, pa.binary())})
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
 _CHAIN = [("notDicom", "l_tax = 0.08"), ("noSeries", "l_quantity <= 1"), ("noPixels", "l_suppkey % 17 = 0"), ("notMr", "l_partkey % 13 = 0"), ("notHead", "l_extendedprice < 2000")]
 _CHAIN_SQL = "CASE " + " ".join(f"WHEN {k} THEN '{n}'" for n, k in _CHAIN) + " END"
 
@@ -29,20 +54,26 @@ _CHAIN_SQL = "CASE " + " ".join(f"WHEN {k} THEN '{n}'" for n, k in _CHAIN) + " E
 @query(f"WITH f AS (SELECT *, {_CHAIN_SQL} AS first_rule FROM lineitem), d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, first_rule IS NULL ORDER BY l_partkey, l_suppkey, l_extendedprice) AS k FROM f) "
        "SELECT coalesce(first_rule, CASE WHEN k > 1 THEN 'duplicateInstance' ELSE 'accepted' END) AS outcome, count(*) AS files, count(DISTINCT l_orderkey) AS studies FROM d GROUP BY 1")
 def src_dicom_scan(t):
-    """The rejection chain of a scan; a repeated instance counts among what the chain lets through."""
-    f = t("lineitem").withColumn("first_rule", R.first_match([(n, F.expr(k)) for n, k in _CHAIN]))
-    w = Window.partitionBy("l_orderkey", "l_linenumber", c("first_rule").isNull()).orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    outcome = F.coalesce("first_rule", F.when(F.row_number().over(w) > 1, "duplicateInstance").otherwise("accepted"))
-    return f.withColumn("outcome", outcome).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("l_orderkey").alias("studies"))
+    """Files of line items, scanned: the rejection chain; a repeated instance counts among what the chain lets through."""
+    kind = R.first_match([(n, F.expr(k)) for n, k in _CHAIN], "")
+    unless = lambda code, value: F.when(~kind.isin("notDicom", code), value)
+    rows = t("lineitem").select(
+        F.concat_ws("/", *[c(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("path"),
+        unless("none", F.concat_ws(".", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))).alias("instance"), unless("noSeries", c("l_orderkey").cast("string")).alias("series"),
+        F.when(kind == "notMr", "CT").when(kind != "notDicom", "MR").alias("modality"), F.when(kind == "notHead", "KNEE").when(kind != "notDicom", "Head").alias("body_part"),
+        unless("noPixels", F.lit(b"\0\0")).alias("pixels"),
+    )
+    found = dicom.rejections(dicom.parsed(_dicom(rows)))
+    return found.groupBy(F.coalesce("rejection", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"), F.count_distinct(F.substring_index("path", "/", 1)).alias("studies"))
+
 
 
 @query("SELECT page_id, CASE WHEN depth > 5 THEN 'tooDeep' WHEN n > 200000 THEN 'tooMany' WHEN length(html) > 4000 THEN 'tooLarge' ELSE 'read' END AS outcome FROM (SELECT *, row_number() OVER (ORDER BY url, page_id) AS n, length(url) - length(replace(url, '/', '')) AS depth FROM pages)")
 def src_walk_limits(t):
     """Limits of a walk: depth, number (counted before size) and size."""
-    files = t("pages").select("page_id", "url", F.length("html").alias("size"))
-    n = HG.positions(files, ["url", "page_id"], "n")
-    depth = F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit("")))
-    return n.select("page_id", R.first_match([("tooDeep", depth > 5), ("tooMany", c("n") > 200000), ("tooLarge", c("size") > 4000)], "read").alias("outcome"))
+    pages = t("pages").select("page_id", "url", F.length("html").alias("size"), (F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit("")))).alias("depth"))
+    return files.limited(pages, c("depth"), c("size"), ["url", "page_id"], max_depth=5, max_files=200000, max_bytes=4000).select("page_id", "outcome")
+
 
 
 @query("SELECT page_id, substr(sha256('4:salt|4:path|' || length(url) || ':' || url || '|'), 1, 32) AS ref FROM pages")
@@ -76,54 +107,75 @@ def src_nifti_volume(t):
 
 @query("SELECT vec_id AS vol, list_transform(range(4), lambda z: round(list_sum(embedding[z * 16 + 1 : z * 16 + 16]::DOUBLE[]) * 2 + 16, 4) + 0.0) AS slice_sums FROM embeddings")
 def src_dicom_volume(t):
-    """Slices that arrive in any order, put in order by position, rescaled and assembled."""
-    slices = t("embeddings").select(c("vec_id").alias("vol"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"), "embedding")
-    slices = slices.select("vol", (-c("z") * 1.5).alias("place"), F.slice("embedding", c("z") * 16 + 1, F.lit(16)).alias("pixels"))
-    stack = slices.groupBy("vol").agg(F.array_sort(F.collect_list(F.struct((-c("place")).alias("offset"), "pixels"))).alias("s"))
-    total = lambda s: F.round(F.aggregate(s["pixels"], F.lit(0.0), lambda a, x: a + x.cast("double")) * 2 + 16, 4) + F.lit(0.0)
-    return stack.select("vol", F.transform("s", total).alias("slice_sums"))
+    """Slices that arrive in any order as DICOM files, put in order by position, rescaled and assembled."""
+    slices = t("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"), "embedding")
+    text = lambda x: F.lit(x)
+    rows = slices.select(
+        F.concat_ws("/", c("vec_id").cast("string"), F.sha1(c("z").cast("string"))).alias("path"), c("vec_id").cast("string").alias("series"), F.concat(F.lit("0\\0\\"), (c("z") * 1.5).cast("string")).alias("position"),
+        text("1\\0\\0\\0\\1\\0").alias("orientation"), text("4").alias("rows"), text("4").alias("columns"), text("2").alias("slope"), text("1").alias("intercept"),
+        F.slice("embedding", c("z") * 16 + 1, F.lit(16)).alias("floats"),
+    )
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.asarray(v.values, "<f4").tobytes() for v in batch.column("floats")]
+            yield batch.drop_columns(["floats"]).append_column("float_pixels", pa.array(raw, pa.binary()))
+
+    made = rows.mapInArrow(packed, ", ".join(f"{n} string" for n in rows.columns if n != "floats") + ", float_pixels binary")
+    stack = dicom.volumes(dicom.parsed(_dicom(made)))
+    total = lambda z: F.round(F.aggregate(F.slice("voxels", z * 16 + 1, F.lit(16)), F.lit(0.0), lambda a, x: a + x), 4) + F.lit(0.0)
+    return stack.select(c("series").cast("long").alias("vol"), F.transform(F.sequence(F.lit(0), c("slices") - 1), total).alias("slice_sums"))
+
 
 
 @query("SELECT page_id, CASE WHEN len(string_split(split_part(url, '/', 3), '.')) >= 4 THEN string_split(split_part(url, '/', 3), '.')[2] ELSE '?' END AS site FROM pages")
 def src_tar_gz_stream(t):
-    """Site names parsed from the names of archive entries."""
-    return t("pages").select("page_id", archives.name_parts(F.split("url", "/")[2], r"\.").alias("site"))
+    """Pages packed into archives and read back as a stream: site names parsed from the names of their entries."""
+    entries = t("pages").select(F.concat_ws("/", c("page_id").cast("string"), F.split("url", "/")[2]).alias("name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    found = archives.unpacked(archives.packed(entries)).select(F.split("name", "/", 2).alias("parts"))
+    return found.select(c("parts")[0].cast("long").alias("page_id"), archives.name_parts(c("parts")[1], r"\.").alias("site"))
+
 
 
 @query("SELECT o_orderkey::VARCHAR AS series_id, o_custkey::VARCHAR AS subject_id, o_orderstatus AS tier, o_totalprice AS spacing FROM orders WHERE o_orderstatus <> 'P'")
 def src_manifest_json(t):
-    """Written as a manifest row and read back with the strict schema."""
-    made = sinks.canonical_json(F.struct(c("o_orderkey").cast("string").alias("series_id"), c("o_custkey").cast("string").alias("subject_id"), c("o_orderstatus").alias("tier"), F.array("o_totalprice").alias("voxel_spacing_mm")))
-    row = F.from_json(made, documents.SERIES_SCHEMA, {"mode": "FAILFAST"})
-    return t("orders").where("o_orderstatus <> 'P'").select(row.alias("r")).select("r.series_id", "r.subject_id", "r.tier", c("r.voxel_spacing_mm")[0].alias("spacing"))
+    """Written as manifests of a thousand series or so and read back with the strict schema."""
+    row = F.struct(c("o_orderkey").cast("string").alias("series_id"), c("o_custkey").cast("string").alias("subject_id"), c("o_orderstatus").alias("tier"), F.array("o_totalprice").alias("voxel_spacing_mm"))
+    kept = t("orders").where("o_orderstatus <> 'P'").groupBy(F.floor(c("o_orderkey") / 4000).alias("part")).agg(F.collect_list(row).alias("series"))
+    text = sinks.canonical_json(F.struct(F.lit("1.0.0").alias("schema_version"), "series"))
+    return documents.manifest(_spark(t), _stored(kept.select("part", text.alias("value")), "part")).select("series_id", "subject_id", "tier", c("voxel_spacing_mm")[0].alias("spacing"))
+
 
 
 @query("SELECT user_id AS study, count(*) AS files, count(*) FILTER (event_type = 'error') AS unreadable FROM events GROUP BY user_id")
 def src_report_json(t):
-    """Reports of which some are cut off: they are counted, not skipped."""
+    """Reports in a folder for each study, of which some are cut off: they are counted, not skipped."""
     text = F.to_json(F.struct(c("event_id").alias("id"), "value"))
-    raw = t("events").select("user_id", F.when(c("event_type") == "error", F.expr("left('{\"id\": 1', 6)")).otherwise(text).alias("j"))
-    parsed = raw.withColumn("r", F.from_json("j", "id long, value double, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = c("r").isNull() | c("r._corrupt_record").isNotNull()
-    return parsed.groupBy(c("user_id").alias("study")).agg(F.count(F.lit(1)).alias("files"), F.count_if(bad).alias("unreadable"))
+    lines = t("events").select("user_id", F.when(c("event_type") == "error", F.expr("left('{\"id\": 1', 6)")).otherwise(text).alias("value")).repartition("user_id")
+    read = documents.reports(_spark(t), _stored(lines, "user_id"), "id long, value double", a_file=False)
+    return read.groupBy(F.substring_index("study", "=", -1).cast("long").alias("study")).agg(F.count(F.lit(1)).alias("files"), F.count_if(~c("readable")).alias("unreadable"))
+
 
 
 @query("SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS evans FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def src_jsonl(t):
-    """Batch results as JSON lines: object-typed series, one weighting, one biomarker, the last line of a key wins."""
+    """Batch results as JSON lines in files: object-typed series, one weighting, one biomarker, the last line of a key wins."""
     marks = F.array(F.struct(F.lit("evans-index").alias("Method"), c("o_totalprice").alias("Value")), F.struct(F.lit("other").alias("Method"), F.lit(0.0).alias("Value")))
     line = F.to_json(F.struct(c("o_custkey").alias("key"), c("o_orderkey").alias("n"), F.struct(c("o_orderstatus").alias("Weighting")).alias("analysedSeries"), marks.alias("biomarkers")))
-    r = t("orders").select(F.from_json(line, "key long, n long, analysedSeries struct<Weighting string>, biomarkers array<struct<Method string, Value double>>").alias("r")).select("r.*")
-    kept = r.where("analysedSeries.Weighting = 'F'").select("key", "n", F.explode("biomarkers").alias("b")).where("b.Method = 'evans-index'")
-    return kept.groupBy(c("key").alias("o_custkey")).agg(F.max_by("b.Value", "n").alias("evans"))
+    found = documents.results(_spark(t), _stored(t("orders").select(line.alias("value"))), "F", "evans-index")
+    return found.select(c("key").alias("o_custkey"), c("value").alias("evans"))
+
 
 
 @query("SELECT p_partkey, p_name || '; \"x\"' AS name, p_size % 2 = 1 AS keep, CASE WHEN p_size % 3 = 0 THEN 'unstated' ELSE p_type END AS reason FROM part")
 def src_csv_semicolon(t):
-    cells = [c("p_partkey").cast("string"), F.concat("p_name", F.lit('; "x"')), (c("p_size") % 2).cast("string"), F.when(c("p_size") % 3 == 0, "").otherwise(c("p_type"))]
-    line = F.array_join(F.array(*[T.quoted_csv(x) for x in cells]), ";")
-    r = F.from_csv(line, F.lit("p_partkey long, name string, flag string, reason string"), {"sep": ";", "quote": '"', "escape": '"'})
-    return t("part").select(r.alias("r")).select("r.p_partkey", "r.name", (c("r.flag") == "1").alias("keep"), F.coalesce(F.when(F.trim("r.reason") != "", c("r.reason")), F.lit("unstated")).alias("reason"))
+    """A plan written with ``;`` between cells and read back."""
+    plan = t("part").select("p_partkey", F.concat("p_name", F.lit('; "x"')).alias("name"), (c("p_size") % 2).alias("flag"), F.when(c("p_size") % 3 == 0, "").otherwise(c("p_type")).alias("reason"))
+    path = fresh_path(_spark(t))
+    sinks.write_delimited(plan, path)
+    stated = F.when(F.trim("reason") != "", c("reason"))
+    return documents.semicolons(_spark(t), path).select(c("p_partkey").cast("long").alias("p_partkey"), "name", (c("flag") == "1").alias("keep"), F.coalesce(stated, F.lit("unstated")).alias("reason"))
+
 
 
 @query("SELECT CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN 'incompleteTail' WHEN event_type = 'error' THEN 'unreadable' ELSE 'record' END AS state, count(*) AS n FROM events GROUP BY 1")
@@ -143,8 +195,10 @@ def src_resume_skip(t):
 
 @query("SELECT replace(source, '\\', '/') || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents ORDER BY path")
 def src_file_hashes(t):
-    path = F.concat(F.replace("source", F.lit("\\"), F.lit("/")), F.lit("/"), c("doc_id").cast("string"), F.lit(".txt"))
-    return t("documents").select(path.alias("path"), F.sha2("text", 256).alias("sha256")).orderBy("path")
+    """Hashes of the documents' files, by path."""
+    path = F.concat("source", F.lit("\\"), c("doc_id").cast("string"), F.lit(".txt"))
+    return files.hashes(t("documents").select(path.alias("path"), F.encode("text", "utf-8").alias("content")))
+
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS hash, CASE WHEN doc_id % 10 <> 0 THEN source || '  x' END AS name FROM documents")
@@ -174,13 +228,39 @@ def src_removed_dirs(t):
 
 @query("SELECT '{\"series_id\":\"' || l_orderkey || '-' || l_linenumber || '\",\"slice_count\":' || l_linenumber * 20 || ',\"note\":null}' AS value FROM lineitem")
 def sink_manifest(t):
+    """Manifest rows written to a new folder; what is stored is the result."""
     row = F.struct(F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("series_id"), (c("l_linenumber") * 20).alias("slice_count"), F.lit(None).cast("string").alias("note"))
-    return t("lineitem").select(sinks.canonical_json(row).alias("value"))
+    return sinks.write_lines(t("lineitem").select(sinks.canonical_json(row).alias("value")), fresh_path(_spark(t)))
+
+
+
+@query("SELECT outcome, count(*) AS n FROM orders, (VALUES ('written'), ('refused')) o(outcome) GROUP BY outcome")
+def sink_immutable(t):
+    """A folder is written once: a second write is refused and what is stored stays."""
+    rows, path, written = t("orders").select("o_orderkey", "o_orderstatus"), fresh_path(_spark(t)), []
+    for _ in range(2):
+        try:
+            sinks.write_immutable(rows, path)
+            written.append("written")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            written.append("refused")
+    stored = _spark(t).read.schema(rows.schema).json(path)
+    return stored.select(F.explode(F.array(*map(F.lit, written))).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') || '-' || substr(sha256(props), 1, 16) AS k FROM events")
 def sink_report_idempotent(t):
-    return t("events").select("event_id", sinks.content_key(F.date_format("ts", "yyyyMMdd'T'HHmmss"), c("props")).alias("k"))
+    """Reports stored under names made of their content: what is there already is left out when all are written again."""
+    key = sinks.content_key(F.date_format("ts", "yyyyMMdd'T'HHmmss"), c("props"))
+    made = t("events").select("event_id", "event_type", key.alias("k"), F.concat_ws("/", c("event_id").cast("string"), key).alias("name"), "props")
+    path = fresh_path(_spark(t))
+    made.where("event_type <> 'click'").write.parquet(path)
+    stored = _spark(t).read.schema(made.schema).parquet(path)
+    sinks.write_idempotent(made, stored, "name", "props").write.mode("append").parquet(path)
+    return _spark(t).read.schema(made.schema).parquet(path).select("event_id", "k")
+
 
 
 @query("SELECT event_id, '{\"type\":\"' || event_type || '\",\"parameters\":{\"a\":\"' || user_id || '\",\"k\":\"' || (props->>'k') || '\"},\"refusal\":null}' AS json FROM events")
@@ -191,12 +271,16 @@ def sink_canonical_json(t):
 
 @query("SELECT '{\"study\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS value FROM orders")
 def sink_jsonl(t):
-    return t("orders").select(F.to_json(F.struct(c("o_orderkey").alias("study"), c("o_orderstatus").alias("status"))).alias("value"))
+    return sinks.write_lines(t("orders").select(F.to_json(F.struct(c("o_orderkey").alias("study"), c("o_orderstatus").alias("status"))).alias("value")), fresh_path(_spark(t)))
+
 
 
 @query("SELECT p_partkey || chr(9) || p_name || chr(9) || p_brand AS line FROM part")
 def sink_tsv_plan(t):
-    return t("part").select(F.concat_ws("\t", c("p_partkey").cast("string"), "p_name", "p_brand").alias("line"))
+    path = fresh_path(_spark(t))
+    sinks.write_delimited(t("part").select("p_partkey", "p_name", "p_brand"), path, "\t", header=False)
+    return _spark(t).read.text(path).select(c("value").alias("line"))
+
 
 
 @query("SELECT l_suppkey, upper(substr(sha256(string_agg(x, '|' ORDER BY x)), 1, 16)) AS composition FROM (SELECT DISTINCT l_suppkey, l_orderkey || '-' || l_linenumber AS x FROM lineitem) GROUP BY l_suppkey")
@@ -207,8 +291,12 @@ def sink_csv_reader(t):
 
 @query("SELECT c_custkey, c_mktsegment AS scale, CASE WHEN c_acctbal BETWEEN 0 AND 9000 THEN c_acctbal END AS restricted FROM customer")
 def sink_xlsx_register(t):
-    """The register's columns, withheld ones dropped, values outside a scale blank."""
-    return t("customer").drop("c_name", "c_nationkey").select("c_custkey", c("c_mktsegment").alias("scale"), F.when(c("c_acctbal").between(0, 9000), c("c_acctbal")).alias("restricted"))
+    """The register's columns, withheld ones dropped, values outside a scale blank, written as a delimited table and read back."""
+    register = t("customer").drop("c_name", "c_nationkey").select("c_custkey", c("c_mktsegment").alias("scale"), F.when(c("c_acctbal").between(0, 9000), c("c_acctbal")).alias("restricted"))
+    path = fresh_path(_spark(t))
+    sinks.write_delimited(register, path)
+    return documents.semicolons(_spark(t), path).select(*[c(f.name).cast(f.dataType).alias(f.name) for f in register.schema])
+
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '{\"variant\":\"clinical\",\"patient\":\"' || o_custkey || '\"}' ELSE '{\"variant\":\"deidentified\"}' END AS envelope FROM orders")

@@ -1,12 +1,12 @@
-"""Voxel and mask operators: long-form SQL where it says it, batched kernels where it doesn't."""
+"""Voxel and mask operators over volumes in long form."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import kernels as K
+from cairn.operators import volumes as V
+from cairn.operators.store import durable
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -15,25 +15,30 @@ cat = Catalogue()
 query = cat.query
 c = F.col
 _V = "WITH " + B.VOXELS
+#: Voxels along x, y and z, and their size in mm.
 _SHAPE = (4, 4, 4)
-_MM = (1.5, 1.1, 0.9)
+_MM = (0.9, 1.1, 1.5)
 
 
-def _volumes(t):
-    return t("embeddings").select(c("vec_id").alias("vol"), "embedding")
+def _every_volume(t, found, name: str):
+    """``found`` (vol, name) for every volume, 0 where it has none."""
+    return t("embeddings").select(c("vec_id").alias("vol")).join(found, "vol", "left").select("vol", F.coalesce(name, F.lit(0)).alias(name))
 
 
-def _kernel(t, kernel, schema):
-    return K.per_volume(_volumes(t), "vol", "embedding", _SHAPE, kernel, schema)
+def _counted(mask, name: str):
+    return mask.groupBy("vol").agg(F.count(F.lit(1)).alias(name))
 
 
-def _long(df, column: str = "mask", name: str = "m"):
-    """An array of 64 numbers a volume as (vol, x, y, z, value)."""
-    e = df.select("vol", F.posexplode(column).alias("i", name))
-    return e.select("vol", (c("i") % 4).alias("x"), (F.floor(c("i") / 4) % 4).cast("int").alias("y"), F.floor(c("i") / 16).cast("int").alias("z"), name)
+_NEAR = "(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1)"
 
 
-_NEAR = "(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1)"
+def _opened_sql(radius: float) -> str:
+    """CTEs that open the mask m slice by slice into o: chamfer steps of 1 and the root of 2."""
+    near = lambda a, b: f"{a}.vol = {b}.vol AND {a}.z = {b}.z AND greatest(abs({a}.x - {b}.x), abs({a}.y - {b}.y)) + (sqrt(2) - 1) * least(abs({a}.x - {b}.x), abs({a}.y - {b}.y)) <= {radius}"
+    return (
+        "off AS (SELECT v.vol, v.x, v.y, v.z FROM voxels v ANTI JOIN m ON m.vol = v.vol AND m.x = v.x AND m.y = v.y AND m.z = v.z), "
+        f"core AS (SELECT vol, x, y, z FROM m WHERE NOT EXISTS (SELECT 1 FROM off WHERE {near('m', 'off')})), o AS (SELECT vol, x, y, z FROM m WHERE EXISTS (SELECT 1 FROM core WHERE {near('m', 'core')}))"
+    )
 
 
 @query(f"{_V} SELECT vol, min(v) AS lowest, max(v) AS highest FROM voxels GROUP BY vol")
@@ -51,69 +56,71 @@ _REACH = ("WITH RECURSIVE " + B.VOXELS + ", m AS (SELECT vol, x, y, z, x + 4 * y
           "r AS (SELECT vol, i AS p, i AS q FROM m UNION SELECT r.vol, r.p, e.q FROM r JOIN e ON e.vol = r.vol AND e.p = r.q), lab AS (SELECT vol, p AS i, min(q) AS label FROM r GROUP BY ALL)")
 
 
-def _labels(v):
-    return K.label(v > 0.05)
+def _labels(t):
+    return V.components(B.voxels(t).where("v > 0.05D"), "vol", _SHAPE)
 
 
 @query(f"{_REACH} SELECT vol, label, count(*) AS size, bool_or((i - 1) % 4 IN (0, 3) OR (i - 1) // 4 % 4 IN (0, 3) OR (i - 1) // 16 IN (0, 3)) AS touches FROM lab GROUP BY vol, label")
 def vox_components(t):
-    lab = _long(_kernel(t, lambda v: {"mask": _labels(v)}, "mask array<int>"), name="label").where("label > 0")
-    edge = c("x").isin(0, 3) | c("y").isin(0, 3) | c("z").isin(0, 3)
-    return lab.groupBy("vol", "label").agg(F.count(F.lit(1)).alias("size"), F.bool_or(edge).alias("touches"))
+    return V.sizes(_labels(t), "vol", F.bool_or(V.on_border(_SHAPE)).alias("touches"))
+
 
 
 @query(f"{_REACH}, s AS (SELECT vol, label, count(*) AS size FROM lab GROUP BY ALL) SELECT vec_id AS vol, CASE WHEN count(size) = 0 THEN 'missingStructure' WHEN count(*) FILTER (size >= 5) > 2 THEN 'tooManyComponents' END AS finding FROM embeddings LEFT JOIN s ON s.vol = vec_id GROUP BY vec_id")
 def vox_mask_checks(t):
-    def checks(v):
-        count = K.sizes(_labels(v))[:, 1:]
-        some, big = (count > 0).any(axis=1), (count >= 5).sum(axis=1) > 2
-        return {"finding": np.where(~some, "missingStructure", np.where(big, "tooManyComponents", None))}
+    parts = V.sizes(_labels(t), "vol").groupBy("vol").agg(F.count_if(c("size") >= 5).alias("big"))
+    every = t("embeddings").select(c("vec_id").alias("vol")).join(parts, "vol", "left")
+    return every.select("vol", F.when(c("big").isNull(), "missingStructure").when(c("big") > 2, "tooManyComponents").alias("finding"))
 
-    return _kernel(t, checks, "finding string")
 
 
 @query(f"{_REACH}, s AS (SELECT vol, label, count(*) AS size FROM lab GROUP BY ALL) SELECT vol, label, size FROM s QUALIFY row_number() OVER (PARTITION BY vol ORDER BY size DESC, label) = 1")
 def vox_largest(t):
-    def best(v):
-        count = K.sizes(_labels(v))
-        count[:, 0] = 0
-        return {"label": count.argmax(axis=1), "size": count.max(axis=1)}
+    return V.largest(_labels(t), "vol")
 
-    return _kernel(t, best, "label long, size long").where("size > 0")
 
 
 @query("WITH RECURSIVE " + B.VOXELS + ", bg AS (SELECT vol, x, y, z FROM voxels WHERE v <= 0.0), r AS (SELECT vol, x, y, z FROM bg WHERE x IN (0, 3) OR y IN (0, 3) OR z IN (0, 3) UNION SELECT b.vol, b.x, b.y, b.z FROM r a JOIN bg b ON a.vol = b.vol AND " + _NEAR + ") "
        "SELECT v.vol, count(*) - count(r.x) AS filled FROM voxels v LEFT JOIN r ON r.vol = v.vol AND r.x = v.x AND r.y = v.y AND r.z = v.z GROUP BY v.vol")
 def vox_fill_outside(t):
-    return _kernel(t, lambda v: {"filled": K.fill_outside(v > 0.0).reshape(len(v), -1).sum(axis=1)}, "filled long")
+    grid = B.voxels(t)
+    return _every_volume(t, _counted(V.fill_outside(grid, grid.where("v > 0.0D"), "vol", _SHAPE), "filled"), "filled")
+
 
 
 @query(f"{_ON}, g AS (SELECT vol, x, y, z FROM voxels) SELECT a.vol, count(*) FILTER (EXISTS (SELECT 1 FROM m b WHERE b.vol = a.vol AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1)) AS dilated FROM g a GROUP BY a.vol")
 def vox_dilate(t):
-    return _kernel(t, lambda v: {"dilated": K.dilate(v > 0.05).reshape(len(v), -1).sum(axis=1)}, "dilated long")
+    return _every_volume(t, _counted(V.dilate(B.voxels(t).where("v > 0.05D"), "vol", _SHAPE), "dilated"), "dilated")
+
 
 
 @query(f"{_V}, off AS (SELECT vol, x, y, z FROM voxels WHERE v <= -0.05), s AS (SELECT a.vol, a.x, a.y, a.z, NOT EXISTS (SELECT 1 FROM off b WHERE b.vol = a.vol AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1) AS kept FROM voxels a) "
        "SELECT vol, count(*) FILTER (kept) AS keep_border, count(*) FILTER (kept AND x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2)) AS clear_border FROM s GROUP BY vol")
 def vox_erode(t):
-    total = lambda m: m.reshape(len(m), -1).sum(axis=1)
-    return _kernel(t, lambda v: {"keep_border": total(K.erode(v > -0.05, True)), "clear_border": total(K.erode(v > -0.05, False))}, "keep_border long, clear_border long")
+    mask = B.voxels(t).where("v > -0.05D")
+    kept, clear = (_counted(V.erode(mask, "vol", _SHAPE, keep), name) for keep, name in ((True, "keep_border"), (False, "clear_border")))
+    return _every_volume(t, kept, "keep_border").join(_every_volume(t, clear, "clear_border"), "vol")
+
 
 
 @query("WITH RECURSIVE " + B.VOXELS + ", w AS (SELECT vol, x, y, z, v FROM voxels WHERE v > 0.0), r AS (SELECT vol, x, y, z FROM w WHERE v > 0.2 UNION SELECT b.vol, b.x, b.y, b.z FROM r a JOIN w b ON a.vol = b.vol AND " + _NEAR + ") SELECT vec_id AS vol, count(r.x) AS n FROM embeddings LEFT JOIN r ON r.vol = vec_id GROUP BY vec_id")
 def vox_reconstruct(t):
-    return _kernel(t, lambda v: {"n": K.reconstruct(v > 0.2, v > 0.0).reshape(len(v), -1).sum(axis=1)}, "n long")
+    grid = B.voxels(t)
+    return _every_volume(t, _counted(V.reconstruct(grid.where("v > 0.2D"), grid.where("v > 0.0D"), "vol", _SHAPE), "n"), "n")
+
 
 
 @query(f"{_V}, off AS (SELECT vol, x, y, z FROM voxels WHERE v <= 0.05) SELECT a.vol, a.x, a.y, a.z, round(min(sqrt(((a.x - b.x) * 0.9) ** 2 + ((a.y - b.y) * 1.1) ** 2 + ((a.z - b.z) * 1.5) ** 2)), 6) AS mm FROM voxels a JOIN off b ON a.vol = b.vol WHERE a.v > 0.05 GROUP BY ALL")
 def vox_distance(t):
-    d = _kernel(t, lambda v: {"mask": np.where(v > 0.05, K.distance(v > 0.05, _MM), -1)}, "mask array<double>")
-    return _long(d, name="d").where("d > 0").select("vol", "x", "y", "z", F.round("d", 6).alias("mm"))
+    grid = B.voxels(t).withColumn("m", c("v") > F.lit(0.05))
+    return V.distance(grid, "vol", "m", _MM).where("mm > 0 AND mm < double('infinity')").select("vol", "x", "y", "z", F.round("mm", 6).alias("mm"))
 
 
-@query()
+
+@query(f"{_V}, m AS (SELECT vol, x, y, z FROM voxels WHERE v > -0.1), {_opened_sql(1.0)} SELECT vec_id AS vol, count(o.x) AS opened FROM embeddings LEFT JOIN o ON o.vol = vec_id GROUP BY vec_id")
 def vox_chamfer_open(t):
-    return _kernel(t, lambda v: {"opened": K.opened(v > -0.1, 1.0).reshape(len(v), -1).sum(axis=1)}, "opened long")
+    return _every_volume(t, _counted(V.opened(B.voxels(t).where("v > -0.1D"), "vol", _SHAPE, 1.0), "opened"), "opened")
+
 
 
 @query(f"{_V}, s AS (SELECT vol, y, z, min(x) FILTER (v > 0.1) AS a, max(x) FILTER (v > 0.1) AS b FROM voxels GROUP BY ALL) SELECT v.vol, v.x, v.y, v.z FROM voxels v JOIN s ON s.vol = v.vol AND s.y = v.y AND s.z = v.z WHERE x BETWEEN a AND b")
@@ -124,18 +131,13 @@ def vox_inside_span(t):
     return s.where("x BETWEEN a AND b").select("vol", "x", "y", "z")
 
 
-@query()
+@query(f"{_V}, s AS (SELECT vol, y, z, min(x) FILTER (v > 0.1) AS a, max(x) FILTER (v > 0.1) AS b FROM voxels GROUP BY ALL), m AS (SELECT v.vol, v.x, v.y, v.z FROM voxels v JOIN s ON s.vol = v.vol AND s.y = v.y AND s.z = v.z WHERE x BETWEEN a AND b AND v <= 0.0), "
+       f"{_opened_sql(0.9)}, n AS (SELECT vol, count(*) AS csf FROM m GROUP BY vol), p AS (SELECT vol, count(*) AS opened FROM o GROUP BY vol) SELECT vec_id AS vol, coalesce(csf, 0) AS csf, coalesce(opened, 0) AS opened FROM embeddings LEFT JOIN n ON n.vol = vec_id LEFT JOIN p ON p.vol = vec_id")
 def vox_csf_slices(t):
     """Dark voxels between the first and last bright one of their line, and that mask opened."""
+    dark = durable(V.between_bright(B.voxels(t), "vol", "v", 0.1).where("v <= 0.0D").select("vol", "x", "y", "z"))
+    return _every_volume(t, _counted(dark, "csf"), "csf").join(_every_volume(t, _counted(V.opened(dark, "vol", _SHAPE, 0.9), "opened"), "opened"), "vol")
 
-    def csf(v):
-        bright = v > 0.1
-        x = np.arange(v.shape[3])
-        first, last = np.where(bright, x, 99).min(axis=3, keepdims=True), np.where(bright, x, -1).max(axis=3, keepdims=True)
-        mask = (x >= first) & (x <= last) & (v <= 0.0)
-        return {"csf": mask.reshape(len(v), -1).sum(axis=1), "opened": K.opened(mask, 0.9).reshape(len(v), -1).sum(axis=1)}
-
-    return _kernel(t, csf, "csf long, opened long")
 
 
 
@@ -144,19 +146,24 @@ def vox_csf_slices(t):
        "SELECT g.vol, g.x, g.y, g.k, round(a.v * (1 - (p - floor(p))) + b.v * (p - floor(p)), 7) + 0.0 AS v FROM g JOIN voxels a ON a.vol = g.vol AND a.x = g.x AND a.y = g.y AND a.z = floor(p)::INT JOIN voxels b ON b.vol = g.vol AND b.x = g.x AND b.y = g.y AND b.z = least(floor(p)::INT + 1, 3)")
 def vox_resample(t):
     """Slices 1.5 mm apart resampled to 0.75 mm, the other axes already there."""
-    r = _kernel(t, lambda v: {"voxels": K.resample(v, (1.5, 0.75, 0.75), 0.75)}, "voxels array<double>")
-    e = r.select("vol", F.posexplode("voxels").alias("i", "v"))
-    return e.select("vol", (c("i") % 4).alias("x"), (F.floor(c("i") / 4) % 4).cast("int").alias("y"), F.floor(c("i") / 16).cast("int").alias("k"), (F.round("v", 7) + F.lit(0.0)).alias("v"))
+    r = V.resample(B.voxels(t), "vol", "v", _SHAPE, (0.75, 0.75, 1.5), 0.75)
+    return r.select("vol", "x", "y", c("z").alias("k"), (F.round("v", 7) + F.lit(0.0)).alias("v"))
 
 
-@query()
+
+@query(f"{_V}, r AS (SELECT *, min(v) OVER (PARTITION BY vol) AS low, max(v) OVER (PARTITION BY vol) AS high FROM voxels), "
+       "q AS (SELECT vol, x, y, z, CASE WHEN v = 0 THEN 0 ELSE least(greatest(round_even((v - low) * (255 / greatest(high - low, 1e-12)), 0), 0), 255) END AS v FROM r), "
+       "i AS (SELECT k, round_even((k - 3.5::DOUBLE) / 0.9 + 1.5, 0)::INT AS x, round_even((k - 3.5::DOUBLE) / 1.1 + 1.5, 0)::INT AS y, round_even((k - 3.5::DOUBLE) / 1.5 + 1.5, 0)::INT AS z FROM (SELECT unnest(range(8)) AS k)), "
+       "b AS (SELECT k, round_even((k - 1.5::DOUBLE) * 0.9 + 3.5, 0)::INT AS x, round_even((k - 1.5::DOUBLE) * 1.1 + 3.5, 0)::INT AS y, round_even((k - 1.5::DOUBLE) * 1.5 + 3.5, 0)::INT AS z FROM (SELECT unnest(range(4)) AS k)), "
+       "cube AS (SELECT vec_id AS vol, a.k AS x, d.k AS y, e.k AS z, coalesce(q.v, 0) AS v FROM embeddings JOIN i a ON true JOIN i d ON true JOIN i e ON true LEFT JOIN q ON q.vol = vec_id AND q.x = a.x AND q.y = d.y AND q.z = e.z), "
+       "back AS (SELECT vol, count(*) FILTER (v > 128) AS back FROM cube JOIN b a ON a.x = cube.x JOIN b d ON d.y = cube.y JOIN b e ON e.z = cube.z GROUP BY vol) "
+       "SELECT vol, sum(v) AS total, any_value(back) AS back FROM cube JOIN back USING (vol) GROUP BY vol")
 def vox_conform(t):
-    def run(v):
-        cube = K.conform(v, _MM, 8)
-        back = K.project_back((cube > 128).astype(int), _MM, _SHAPE)
-        return {"total": cube.reshape(len(v), -1).sum(axis=1), "back": back.reshape(len(v), -1).sum(axis=1)}
+    """A cube of 8 voxels of 1 mm, and its bright half back on the volume's grid."""
+    cube = durable(V.conform(B.voxels(t), "vol", "v", _SHAPE, _MM, 8))
+    back = V.project_back(cube.withColumn("label", (c("v") > 128).cast("int")), "vol", "label", 8, _SHAPE, _MM)
+    return cube.groupBy("vol").agg(F.sum("v").alias("total")).join(back.groupBy("vol").agg(F.sum("label").alias("back")), "vol")
 
-    return _kernel(t, run, "total double, back long")
 
 
 _W = "CASE abs(a.z - b.z) WHEN 0 THEN 1 ELSE exp(-((a.z - b.z) ** 2) / 2.0) END"
@@ -164,8 +171,8 @@ _W = "CASE abs(a.z - b.z) WHEN 0 THEN 1 ELSE exp(-((a.z - b.z) ** 2) / 2.0) END"
 
 @query(f"{_V} SELECT a.vol, a.x, a.y, a.z, round(sum(b.v * {_W}) / sum({_W}), 6) + 0.0 AS v FROM voxels a JOIN voxels b ON a.vol = b.vol AND a.x = b.x AND a.y = b.y GROUP BY ALL")
 def vox_gaussian(t):
-    g = _kernel(t, lambda v: {"mask": K.gaussian(v, (1.0, 0.2, 0.2))}, "mask array<double>")
-    return _long(g, name="v").select("vol", "x", "y", "z", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+    return V.gaussian(B.voxels(t), "vol", "v", (0.2, 0.2, 1.0)).select("vol", "x", "y", "z", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
 
 
 @query(f"{_V} SELECT vol, round((avg(v) FILTER (x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2)) + -quantile_disc(-v, 0.5) FILTER (NOT (x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2)))) / 2, 7) + 0.0 AS half FROM voxels GROUP BY vol")
@@ -198,25 +205,28 @@ def vox_touches_frame(t):
 @query(f"{_REACH}, s AS (SELECT vol, label, count(*) AS size, bool_or((i - 1) % 4 IN (1, 2) AND (i - 1) // 4 % 4 IN (1, 2) AND (i - 1) // 16 IN (1, 2)) AS deep FROM lab GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vol ORDER BY size DESC, label) AS n, count(*) FILTER (NOT (deep AND size >= 2)) OVER (PARTITION BY vol) AS rejected FROM s WHERE true), "
        "g AS (SELECT vol, label, size, rejected, row_number() OVER (PARTITION BY vol ORDER BY size DESC, label) AS n FROM k WHERE deep AND size >= 2) SELECT vol, label, size, rejected FROM g WHERE n <= 2")
 def vox_depth_select(t):
-    lab = _long(_kernel(t, lambda v: {"mask": _labels(v)}, "mask array<int>"), name="label").where("label > 0")
+    lab = _labels(t)
     inner = c("x").isin(1, 2) & c("y").isin(1, 2) & c("z").isin(1, 2)
     s = lab.groupBy("vol", "label").agg(F.count(F.lit(1)).alias("size"), F.bool_or(inner).alias("deep")).withColumn("good", c("deep") & (c("size") >= 2))
     s = s.withColumn("rejected", F.sum(F.when(c("good"), 0).otherwise(1)).over(Window.partitionBy("vol"))).where("good")
     return s.withColumn("n", F.row_number().over(Window.partitionBy("vol").orderBy(F.desc("size"), "label"))).where("n <= 2").select("vol", "label", "size", "rejected")
 
 
-@query()
+@query(f"{_V}, g0 AS (SELECT vol, x, y, z FROM voxels WHERE v < -0.2), "
+       "g1 AS (SELECT v.vol, v.x, v.y, v.z FROM voxels v WHERE EXISTS (SELECT 1 FROM g0 g WHERE g.vol = v.vol AND g.x = v.x AND g.y = v.y AND g.z = v.z) OR v <= 0.0 AND EXISTS (SELECT 1 FROM g0 g WHERE g.vol = v.vol AND abs(g.x - v.x) + abs(g.y - v.y) + abs(g.z - v.z) = 1)), "
+       "g2 AS (SELECT v.vol, v.x FROM voxels v WHERE EXISTS (SELECT 1 FROM g1 g WHERE g.vol = v.vol AND g.x = v.x AND g.y = v.y AND g.z = v.z) OR v <= 0.0 AND EXISTS (SELECT 1 FROM g1 g WHERE g.vol = v.vol AND abs(g.x - v.x) + abs(g.y - v.y) = 1 AND g.z = v.z)) "
+       "SELECT vec_id AS vol, count(g2.x) AS n FROM embeddings LEFT JOIN g2 ON g2.vol = vec_id GROUP BY vec_id")
 def vox_grow_partial(t):
-    return _kernel(t, lambda v: {"n": K.grow_limited(v < -0.2, v, 0.0, (1, 2, 2)).reshape(len(v), -1).sum(axis=1)}, "n long")
+    grid = B.voxels(t)
+    return _every_volume(t, _counted(V.grow_limited(grid.where("v < -0.2D"), grid.where("v <= 0.0D"), "vol", _SHAPE, (2, 2, 1)), "n"), "n")
+
 
 
 @query()
 def vox_segment_baseline(t):
-    def run(v):
-        mask, codes = K.segment(v, _MM)
-        return {"voxels": mask.reshape(len(v), -1).sum(axis=1), "refusal": np.array(codes, object)}
+    mask, verdicts, _ = V.segment(B.voxels(t), "vol", "v", _SHAPE, _MM)
+    return _every_volume(t, _counted(mask, "voxels"), "voxels").join(verdicts, "vol")
 
-    return _kernel(t, run, "voxels long, refusal string")
 
 
 @query("WITH " + B.SERIES + " SELECT study, ord, part, supp, CASE WHEN source = 'A' AND weighting = 'T1' THEN 'blocked' WHEN weighting = 'T1' THEN 'model' ELSE 'threshold' END AS route FROM series")
@@ -260,19 +270,24 @@ def vox_extract_plane(t):
     return B.voxels(t).where(c("z") == c("vol") % 4).select("vol", "x", "y", "v")
 
 
-_SEG = "s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, (l_partkey % 40)::INT AS x0, (l_suppkey % 40)::INT AS y0, (l_quantity)::INT AS x1, (l_linenumber * 5)::INT AS y1 FROM lineitem WHERE l_orderkey % 20 = 0)"
+_SEG = "s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, (l_partkey % 40)::INT AS x0, (l_suppkey % 40)::INT AS y0, (l_quantity)::INT AS x1, (l_linenumber * 5)::INT AS y1 FROM lineitem)"
+
 
+_DRAWN = (
+    f"WITH {_SEG}, n AS (SELECT *, 2 * greatest(abs(x1 - x0), abs(y1 - y0)) AS steps FROM s), p AS (SELECT *, unnest(range(0, steps + 1)) AS k FROM n) SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice, "
+    "least(greatest(round_even(x0 + (x1 - x0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS px, least(greatest(round_even(y0 + (y1 - y0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS py FROM p"
+)
 
-@query(f"WITH {_SEG}, n AS (SELECT *, 2 * greatest(abs(x1 - x0), abs(y1 - y0)) AS steps FROM s), p AS (SELECT *, unnest(range(0, steps + 1)) AS k FROM n) SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice, "
-       "least(greatest(round_even(x0 + (x1 - x0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS px, least(greatest(round_even(y0 + (y1 - y0) * k / greatest(steps, 1)::DOUBLE, 0), 0), 31)::INT AS py FROM p")
+
+@query(_DRAWN)
 def vox_draw_line(t):
     """Pixels of segments: twice as many steps as the longer side, halves to even, clamped to a frame of 32."""
-    return drawn(t("lineitem").where("l_orderkey % 20 = 0"))
+    return drawn(t("lineitem"))
 
 
-@query()
+@query(_DRAWN)
 def vox_draw_line_all(t):
-    """``vox_draw_line`` of every row of lineitem; the SQL of the other draws one order in twenty."""
+    """The same under the name that it has had where ``vox_draw_line`` drew a part of the rows."""
     return drawn(t("lineitem"))
 
 
@@ -298,33 +313,21 @@ def vox_overlay_review(t):
 
 @query()
 def mea_auto_evans(t):
-    """The widest line of the dark core over the inner width of the skull on the same slice."""
+    """The widest line of the dark core over the inner width of the skull on the same slice; null without either."""
+    core, verdicts, head = V.segment(B.voxels(t), "vol", "v", _SHAPE, _MM)
+    widest = V.line_extents(core, "vol").groupBy("vol").agg(F.min_by(F.struct("width", "z"), F.struct(-c("width"), "z", "y")).alias("w")).select("vol", "w.*")
+    inner = V.line_extents(head, "vol").groupBy("vol", "z").agg(F.max("width").alias("inner"))
+    found = widest.join(inner, ["vol", "z"], "left").select("vol", (c("width") / c("inner")).alias("evans"), c("z").cast("long").alias("plane"))
+    return verdicts.select("vol").join(found, "vol", "left")
 
-    def run(v):
-        core, _ = K.segment(v, _MM)
-        width, z, row = K.widest_line(core)
-        skull = K.fill_outside(K.largest(v > K.otsu_thresholds(v)[:, None, None, None]))
-        x = np.arange(v.shape[3])
-        line = skull[np.arange(len(v)), z]
-        inner = (np.where(line, x, -1).max(axis=2) - np.where(line, x, 99).min(axis=2) + 1).max(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {"evans": np.where((width > 0) & (inner > 0), width / np.maximum(inner, 1), np.nan), "plane": z}
 
-    return _kernel(t, run, "evans double, plane long")
 
-
-@query()
+@query(f"{_V}, s AS (SELECT vol, (max(x) - min(x) + 1) * 0.9::DOUBLE AS width FROM voxels WHERE y = 1 AND z = 1 AND v <= 0.0 GROUP BY vol) SELECT vec_id AS vol, coalesce(width, 0) AS width FROM embeddings LEFT JOIN s ON s.vol = vec_id")
 def mea_seeded_evans(t):
-    """From two marked places (the corners of the middle slice) the dark interval grows along its line."""
-
-    def run(v):
-        line = v[:, 1, 1, :]
-        dark = line <= 0.0
-        left = np.where(dark.all(axis=1), 0, np.argmax(dark, axis=1))
-        right = 3 - np.argmax(dark[:, ::-1], axis=1)
-        return {"width": np.where(dark.any(axis=1), (right - left + 1) * 0.9, 0.0)}
+    """From two marked places (the ends of a line of the middle slice) the dark interval between them, in mm."""
+    dark = B.voxels(t).where("y = 1 AND z = 1 AND v <= 0.0D").groupBy("vol").agg(((F.max("x") - F.min("x") + 1) * F.lit(_MM[0])).alias("width"))
+    return _every_volume(t, dark, "width")
 
-    return _kernel(t, run, "width double")
 
 
 @query(f"{_V}, s AS (SELECT vol, y, max(x) FILTER (v <= 0.0) - min(x) FILTER (v <= 0.0) + 1 AS w FROM voxels WHERE z = 1 GROUP BY vol, y), k AS (SELECT vol, max(x) FILTER (v > -0.2) - min(x) FILTER (v > -0.2) + 1 AS skull FROM voxels WHERE z = 1 GROUP BY vol) SELECT vol, CASE WHEN max(w) IS NOT NULL AND any_value(skull) IS NOT NULL THEN round(max(w) / any_value(skull), 9) END AS evans FROM s JOIN k USING (vol) GROUP BY vol")

@@ -16,11 +16,13 @@ from cairn.operators.rules import first_match
 TAGS = {
     (0x0008, 0x0018): "instance", (0x0008, 0x0060): "modality", (0x0018, 0x0015): "body_part", (0x0020, 0x000D): "study", (0x0020, 0x000E): "series", (0x0010, 0x0020): "patient",
     (0x0018, 0x0050): "thickness", (0x0020, 0x0032): "position", (0x0020, 0x0037): "orientation", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns",
-    (0x0028, 0x0030): "pixel_spacing", (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed", (0x0028, 0x1052): "intercept", (0x0028, 0x1053): "slope", (0x7FE0, 0x0010): "pixels",
+    (0x0028, 0x0030): "pixel_spacing", (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed", (0x0028, 0x1052): "intercept", (0x0028, 0x1053): "slope", (0x7FE0, 0x0010): "pixels", (0x7FE0, 0x0008): "float_pixels",
 }
+_NUMBERS = ("rows", "columns", "bits", "signed")
 _LONG = {b"OB", b"OW", b"OF", b"OD", b"OL", b"SQ", b"UC", b"UR", b"UT", b"UN", b"SV", b"UV", b"OV"}
-TEXT = [n for n in TAGS.values() if n != "pixels"]
-SCHEMA = "path string, readable boolean, " + ", ".join(f"{n} string" for n in TEXT) + ", pixels binary"
+BINARY = ("pixels", "float_pixels")
+TEXT = [n for n in TAGS.values() if n not in BINARY]
+SCHEMA = "path string, readable boolean, " + ", ".join(f"{n} string" for n in TEXT) + ", pixels binary, float_pixels binary"
 
 
 def attributes(raw: bytes) -> dict[str, str | bytes] | None:
@@ -44,39 +46,57 @@ def attributes(raw: bytes) -> dict[str, str | bytes] | None:
         if (group, element) == (0x0002, 0x0010):
             syntax = value.rstrip(b"\0 ").decode("ascii", "replace")
         name = TAGS.get((group, element))
-        if name == "pixels":
+        if name in BINARY:
             out[name] = value
-        elif name in ("rows", "columns", "bits", "signed"):
+        elif name in _NUMBERS:
             out[name] = str(struct.unpack("<H", value[:2])[0]) if len(value) >= 2 else ""
         elif name:
             out[name] = value.rstrip(b"\0 ").decode("utf-8", "replace").strip()
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row of every file below ``path``."""
+def encode(values: dict[str, str | bytes | None]) -> bytes:
+    """A file of the given attributes, explicit little endian; attributes that are None are left out."""
+    out = [b"\0" * 128 + b"DICM"]
+    for (group, element), name in sorted(TAGS.items()):
+        value = values.get(name)
+        if value is None:
+            continue
+        kind = b"OW" if name == "pixels" else b"OF" if name == "float_pixels" else b"US" if name in _NUMBERS else b"LO"
+        raw = value if isinstance(value, bytes) else struct.pack("<H", int(value)) if name in _NUMBERS else value.encode()
+        raw += b"\0" * (len(raw) % 2)
+        out.append(struct.pack("<2H", group, element) + kind + (struct.pack("<HI", 0, len(raw)) if kind in _LONG else struct.pack("<H", len(raw))) + raw)
+    return b"".join(out)
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """One row of attributes for every file (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    found = attributes(raw.as_py())
-                except struct.error:
-                    found = None
-                row = found or {}
-                yield pa.RecordBatch.from_pydict(
-                    {"path": [name], "readable": [found is not None]} | {n: pa.array([row.get(n)], pa.string()) for n in TEXT} | {"pixels": pa.array([row.get("pixels")], pa.binary())}
-                )
+            for at in range(0, batch.num_rows, 1000):
+                part, rows = batch.slice(at, 1000), []
+                for raw in part.column(1):
+                    try:
+                        rows.append(attributes(raw.as_py()))
+                    except struct.error:
+                        rows.append(None)
+                columns = {n: pa.array([(r or {}).get(n) for r in rows], pa.binary() if n in BINARY else pa.string()) for n in (*TEXT, *BINARY)}
+                yield pa.RecordBatch.from_pydict({"path": part.column(0), "readable": pa.array([r is not None for r in rows])} | columns)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row of every file below ``path``."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
 def rejections(files: DataFrame, heads: tuple[str, ...] = ("HEAD", "BRAIN", "")) -> DataFrame:
     """Adds ``rejection``, the first rule that a file breaks; a repeated instance counts among files not rejected."""
     blank = lambda n: F.coalesce(F.trim(n), F.lit("")) == ""
     first = first_match([
-        ("notDicom", ~F.col("readable")), ("noSeries", blank("series")), ("noPixels", F.col("pixels").isNull()),
+        ("notDicom", ~F.col("readable")), ("noSeries", blank("series")), ("noPixels", F.coalesce("pixels", "float_pixels").isNull()),
         ("notMr", ~F.coalesce(F.trim("modality"), F.lit("")).isin("", "MR")), ("notHead", ~F.upper(F.coalesce(F.trim("body_part"), F.lit(""))).isin(*heads)),
     ])
     from pyspark.sql.window import Window
@@ -100,11 +120,11 @@ def volumes(files: DataFrame) -> DataFrame:
         rows.sort(key=lambda r: (along(r), r["path"]))
         out = []
         for r in rows:
-            kind = np.dtype(("<i" if r["signed"] == "1" else "<u") + str(int(r["bits"] or 16) // 8))
-            out.append(np.frombuffer(r["pixels"], kind)[: int(r["rows"]) * int(r["columns"])] * float(r["slope"] or 1) + float(r["intercept"] or 0))
+            kind = np.dtype("<f4" if r["pixels"] is None else ("<i" if r["signed"] == "1" else "<u") + str(int(r["bits"] or 16) // 8))
+            out.append(np.frombuffer(r["float_pixels"] if r["pixels"] is None else r["pixels"], kind).astype(float)[: int(r["rows"]) * int(r["columns"])] * float(r["slope"] or 1) + float(r["intercept"] or 0))
         return pa.table({
             "series": [rows[0]["series"]], "columns": pa.array([int(rows[0]["columns"])], pa.int32()), "rows": pa.array([int(rows[0]["rows"])], pa.int32()),
-            "slices": pa.array([len(rows)], pa.int32()), "voxels": pa.array([np.concatenate(out).astype(np.float32)], pa.list_(pa.float32())),
+            "slices": pa.array([len(rows)], pa.int32()), "voxels": pa.array([np.concatenate(out)], pa.list_(pa.float64())),
         })
 
-    return files.where("pixels IS NOT NULL AND series <> ''").groupBy("series").applyInArrow(run, "series string, columns int, rows int, slices int, voxels array<float>")
+    return files.where("coalesce(pixels, float_pixels) IS NOT NULL AND series <> ''").groupBy("series").applyInArrow(run, "series string, columns int, rows int, slices int, voxels array<double>")

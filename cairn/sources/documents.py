@@ -19,10 +19,22 @@ def manifest(spark: SparkSession, path: str, version: str = "1.0.0") -> DataFram
     return checked.select(F.inline("series"))
 
 
-def reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Reports with their study (the folder's name) and whether they could be read."""
-    read = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
-    return read.withColumns({"study": F.element_at(F.split(F.input_file_name(), "/"), -2), "readable": F.col("_corrupt_record").isNull()}).drop("_corrupt_record")
+def reports(spark: SparkSession, path: str, schema: str, a_file: bool = True) -> DataFrame:
+    """Reports with their study (the folder's name) and whether they could be read; with ``a_file`` a file is one
+    report, else every line is."""
+    texts = spark.read.option("wholetext", a_file).option("recursiveFileLookup", True).text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("study"))
+    found = texts.withColumn("r", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    names = [f.name for f in found.schema["r"].dataType if f.name != "_corrupt_record"]
+    return found.select(*[F.col("r")[n].alias(n) for n in names], "study", (F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).alias("readable"))
+
+
+RESULT_SCHEMA = "key long, n long, analysedSeries struct<Weighting string>, biomarkers array<struct<Method string, Value double>>"
+
+
+def results(spark: SparkSession, path: str, weighting: str, method: str) -> DataFrame:
+    """(key, value) of batch results kept as JSON lines: series of one weighting, one biomarker, a key's last line."""
+    kept = spark.read.schema(RESULT_SCHEMA).json(path).where(F.col("analysedSeries.Weighting") == weighting).select("key", "n", F.explode("biomarkers").alias("b"))
+    return kept.where(F.col("b.Method") == method).groupBy("key").agg(F.max_by("b.Value", "n").alias("value"))
 
 
 def semicolons(spark: SparkSession, path: str) -> DataFrame:

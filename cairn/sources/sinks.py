@@ -25,6 +25,13 @@ def write_immutable(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_lines(lines: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Text lines (value) in a new folder, or an error; with ``by``, in a folder of that name for each of its values."""
+    writer = lines.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).text(path)
+    return lines.sparkSession.read.text(path)
+
+
 def write_idempotent(new: DataFrame, stored: DataFrame | None, key: str, content: str) -> DataFrame:
     """The rows of ``new`` to be appended: equal content under a stored key is left out, other content is an error."""
     if stored is None:
@@ -36,5 +43,5 @@ def write_idempotent(new: DataFrame, stored: DataFrame | None, key: str, content
     return joined.where(new_row).drop("__k", "__c")
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.option("sep", sep).option("quote", '"').option("escape", '"').option("header", True).csv(path)
+def write_delimited(df: DataFrame, path: str, sep: str = ";", header: bool = True) -> None:
+    df.write.option("sep", sep).option("quote", '"').option("escape", '"').option("header", header).csv(path)

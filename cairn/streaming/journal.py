@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from cairn.operators.journal import GENESIS, SEPARATOR
 
 def appender(path: str, order: str, payload: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends (n, payload, prev, hash) to Parquet below ``path``. A journal is one chain
-    of audit events by nature, so a batch is chained in order by its single writer; a repeated batch is skipped."""
+    of audit events by nature: one task takes a batch in order and streams through it; a repeated batch is skipped.
+    The batch's rows do not pass the driver."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -21,18 +23,24 @@ def appender(path: str, order: str, payload: str) -> Callable[[DataFrame, int],
             stored = spark.read.parquet(path)
             if not stored.where(F.col("batch") == batch_id).isEmpty():
                 return
-            last = stored.agg(F.max_by("hash", "n"), F.max("n")).first()
+            last = tuple(stored.agg(F.max_by("hash", "n"), F.max("n")).first())
         except Exception as e:  # no journal yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             last = (GENESIS, 0)
-        prev, n, rows = last[0], last[1], []
-        for row in batch.orderBy(order).toLocalIterator():
-            n, text = n + 1, row[payload]
-            digest = sha256(f"{prev}{SEPARATOR}{text}".encode()).hexdigest()
-            rows.append((n, text, prev, digest, batch_id))
-            prev = digest
-        if rows:
-            spark.createDataFrame(rows, "n long, payload string, prev string, hash string, batch long").coalesce(1).write.mode("append").parquet(path)
+        columns = ["n", "payload", "prev", "hash", "batch"]
+
+        def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            prev, n = last
+            for part in parts:
+                out = []
+                for text in part[payload]:
+                    n, digest = n + 1, sha256(f"{prev}{SEPARATOR}{text}".encode()).hexdigest()
+                    out.append((n, text, prev, digest, batch_id))
+                    prev = digest
+                yield pd.DataFrame(out, columns=columns)
+
+        chained = batch.select(order, payload).repartition(1).sortWithinPartitions(order).mapInPandas(chain, "n long, payload string, prev string, hash string, batch long")
+        chained.write.mode("append").parquet(path)
 
     return append

@@ -1,53 +1,12 @@
-"""Array kernels for what column expressions can't say: batches of matrices, and dense volumes as numpy arrays.
-
-A volume is one row (dimensions and voxels, column fastest); kernels work on a whole Arrow batch of volumes of equal
-shape at once, as arrays [volume, slice, row, column], in the scan's tasks without a shuffle.
-"""
+"""Voxel operators as dense numpy arrays [volume, slice, row, column]: what the long-form operators are held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 NEIGHBOURS = [(1, 1), (1, -1), (2, 1), (2, -1), (3, 1), (3, -1)]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def inverse_affine(matrices: pd.Series) -> pd.Series:
-    """Inverses of 4 x 4 matrices in row order; null for a degenerate one."""
-    stack = np.array([np.asarray(m, float) for m in matrices]).reshape(-1, 4, 4)
-    usable = np.abs(np.linalg.det(stack)) > 1e-12
-    out = np.zeros_like(stack)
-    out[usable] = np.linalg.inv(stack[usable])
-    return pd.Series([list(m.ravel()) if ok else None for m, ok in zip(out, usable)])
-
-
-def per_volume(df: DataFrame, key: str, voxels: str, shape: tuple[int, int, int], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``kernel`` on batches of volumes of ``shape`` (slices, rows, columns): named results with a row a volume."""
-    kinds = {n: k for n, k in (x.strip().split(" ", 1) for x in schema.split(","))}
-    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                stack = np.array([np.asarray(v.values, float) for v in part.column(1)]).reshape(-1, *shape)
-                found = kernel(stack)
-                columns = [part.column(0)]
-                for name, kind in kinds.items():
-                    values = found[name]
-                    columns.append(pa.array([v.ravel().tolist() for v in values] if kind.startswith("array") else [None if v is None else v for v in np.asarray(values).tolist()], arrow[kind]))
-                yield pa.RecordBatch.from_arrays(columns, [key, *kinds])
-
-    return df.select(F.col(key).cast("long").alias(key), voxels).mapInArrow(run, f"{key} long, {schema}")
-
-
 def shifted(a: np.ndarray, axis: int, by: int, fill) -> np.ndarray:
     out = np.full_like(a, fill)
     to, of = [slice(None)] * a.ndim, [slice(None)] * a.ndim

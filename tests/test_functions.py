@@ -118,3 +118,25 @@ def test_retention_boundary(spark):
     rows = [(False, True, dt.datetime(2024, 1, 1), False), (False, True, dt.datetime(2024, 1, 1, 0, 0, 1), False), (False, False, now, False), (False, True, None, False), (True, False, None, False), (False, True, dt.datetime(2023, 1, 1), True)]
     got = values(spark, "a boolean, k boolean, c timestamp_ntz, l boolean", rows, retention.outcome(F.col("a"), F.col("k"), F.col("c"), F.lit(now).cast("timestamp_ntz"), 24, F.col("l")))
     assert [g[0] for g in got] == ["expired", "kept", "orphaned", "orphaned", "kept", "failed"]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from cairn.operators.graph import connected_components
+    from cairn.operators.store import durable, scratch
+
+    where = lambda df: df.inputFiles()[0].removeprefix("file:")
+    with scratch(spark):
+        gone = durable(spark.range(3))
+        with scratch(spark):
+            inner, outer = durable(spark.range(4)), durable(spark.range(5), keep=True)
+            files = [where(x) for x in (inner, outer)]
+        assert not os.path.exists(files[0]) and os.path.exists(files[1]) and outer.count() == 5
+        kept, left = durable(spark.range(6), keep=True), where(gone)
+    assert not os.path.exists(files[1]) and not os.path.exists(left) and kept.count() == 6
+    links = spark.createDataFrame([(1, 2), (3, 2), (7, 9), (5, 5), (None, 1)], "a long, b long")
+    assert sorted(map(tuple, connected_components(links).collect())) == [(2, 1), (3, 1), (9, 7)]
+    texts = spark.createDataFrame([("b", "a"), ("b", "c")], "a string, b string")
+    assert sorted(map(tuple, connected_components(texts).collect())) == [("b", "a"), ("c", "a")]
+    assert connected_components(links.where("false")).count() == 0

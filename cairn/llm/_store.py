@@ -1,40 +1,13 @@
-"""Durable intermediates in the folder that the cluster shares.
-
-Lineage is cut with Parquet tables below ``spark.checkpoint.dir``, so a lost executor costs a re-read and not a
-recomputation. Where the session names no such folder (tests on one machine), a temporary one is set once.
-"""
+"""Tables of the shared folder, by the core library's rules, and small helpers over table columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.operators.store import durable, scratch, shared_dir
 
-#: Spark removes a query's shuffle files when it has ended: its result is a table by then.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once as compressed Parquet in the shared folder and returns a scan of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "fresh", "partitions", "read", "scratch", "shared_dir", "text_key"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,3 +23,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def text_key(text: Column) -> list[Column]:
+    """(k1, k2): 128 bits of a text, by which equal texts are one."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]

@@ -13,7 +13,7 @@ they differ in at most ``max_bits`` bits. Linking works on distinct fingerprints
 4. A task returns one star for each group it has linked, not all pairs; stars are joined to components in Spark.
 
 ``keep_one`` can also link all rows whose shingle sets have a Jaccard coefficient of ``jaccard`` or more: see
-``similar_links``.
+``_likeness``.
 
 Nulls: a null or blank text has the fingerprint zero and is linked like any other. Repeated rows share a fingerprint
 and a component. Rows with a null id keep their fingerprint and take the component of the equal fingerprint with the
@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import connected_components
-from ._store import durable, fresh, partitions
-from ._text import IS_SPACE, LOWER, U64, Polynomial, chunks, components, mix, utf8, words
+from cairn.operators.graph import connected_components
+
+from ._likeness import SKETCH, similar_components, sketches
+from ._store import durable, fresh, partitions, scratch
+from ._text import IS_SPACE, LOWER, U64, chunks, components, mix, utf8, words
 
 SEED = 42
 #: Reference fingerprints of the pivot table: the mixed numbers 1 to 8.
@@ -40,13 +42,6 @@ PIVOTS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
 #: A key with so few free bits is not filed again: its distinct fingerprints are 2^12 at most.
 _FEW_BITS = 12
 #: Byte value -> its eight bits, the highest first, in eight byte lanes.
-#: Long fingerprints: the least of a text's shingle hashes under each of 120 factors, in 24 bands of five. Sets with a
-#: Jaccard coefficient of 0.8 have no equal band with a probability of 6e-5.
-BANDS, BAND_WIDTH = 24, 5
-_FACTORS = mix(np.arange(1, BANDS * BAND_WIDTH + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
-_STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0x9E6C63D0876A9A35))
-#: Pairs are read in full from this share of equal bytes on, below ``jaccard``: 0.15 is four standard deviations.
-_SLACK = 0.15
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(U64)[:, 0]
 
 
@@ -94,19 +89,17 @@ def fingerprints_of(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
-    """(doc_id, key, fp long: the fingerprint's bits) of every row; key is the long column ``extra`` or the id."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long: the fingerprint's bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            fp = [np.zeros(0, U64)]
-            for _, _, d, o in chunks(data, offsets):
-                fp.append(fingerprints_of(*shingle_hashes(d, o, width)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp).view(np.int64))], ["doc_id", "key", "fp"])
+            data, offsets = utf8(batch.column(1))
+            for at, to, d, o in chunks(data, offsets):
+                fp = fingerprints_of(*shingle_hashes(d, o, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    ids = F.col(id_col).cast("long")
-    return docs.select(ids, F.col(extra) if extra else ids.alias("key"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, key long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _quarters(mask: int) -> list[int]:
@@ -200,169 +193,53 @@ def near_links(classes: DataFrame, max_bits: int = 3, key_rows: int = 4096) -> D
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``; see the module's notes."""
-    fps = durable(fingerprints(docs, width, id_col, text_col).drop("key"))
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = connected_components(near_links(classes.where("rep IS NOT NULL"), max_bits, key_rows))
-    labels = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    with scratch(docs.sparkSession):
+        fps = durable(fingerprints(docs, width, id_col, text_col), keep=True)
+        classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+        joined = connected_components(near_links(classes.where("rep IS NOT NULL"), max_bits, key_rows))
+        labels = durable(classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), keep=True)
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of every row of a buffer in order, and their number in each row. A row with fewer
-    words than ``width`` has one shingle of all of them."""
-    n = len(offsets) - 1
-    low = LOWER[data]
-    starts, ends, rows = words(low, offsets, IS_SPACE)
-    counts = np.bincount(rows, minlength=n)
-    word = Polynomial(low).of(starts, ends)
-    shingles = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
-    row = np.repeat(np.arange(n), shingles)
-    first = (np.cumsum(counts) - counts)[row] + np.arange(len(row)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    size = np.minimum(width, counts)[row]
-    found = size.astype(U64)
-    for j in range(width):
-        inside = size > j
-        found[inside] = mix(found[inside] * _STEPS[63] + mix(word[first[inside] + j] ^ _STEPS[j % 63]))
-    order = np.lexsort((found, row))
-    found, row = found[order], row[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-    return found[new], np.bincount(row[new], minlength=n)
-
-
-def _sketched(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, key: str) -> DataFrame:
-    """(doc_id, key, fp, set, n, bands, sketch) of every row: the fingerprint of ``width`` words; and of the set of
-    shingles of ``gram`` words a hash, the size, the bands' keys and a byte of each least hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            for at, to, d, o in chunks(data, offsets):
-                fp = fingerprints_of(*shingle_hashes(d, o, width))
-                grams, n = gram_sets(d, o, gram)
-                full = np.flatnonzero(n)
-                whole, least = np.zeros(len(n), U64), np.zeros((len(n), BANDS * BAND_WIDTH), U64)
-                if len(full):
-                    begin = (np.cumsum(n) - n)[full]
-                    whole[full] = mix(np.add.reduceat(mix(grams), begin) + n[full].astype(U64))
-                    for k, factor in enumerate(_FACTORS):
-                        least[full, k] = np.minimum.reduceat(grams * factor, begin)
-                bands = np.zeros((len(n), BANDS), U64)
-                for b in range(BANDS):
-                    bands[:, b] = _STEPS[b]
-                    for k in range(b * BAND_WIDTH, (b + 1) * BAND_WIDTH):
-                        bands[:, b] = mix(bands[:, b] * _STEPS[63] ^ least[:, k])
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(least.shape[1]), len(n), [None, pa.py_buffer((mix(least) & U64(255)).astype(np.uint8).tobytes())])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
-                columns = [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *(pa.array(x.view(np.int64)) for x in (fp, whole)), pa.array(n.astype(np.int64)), lists, sketch.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "set", "n", "bands", "sketch"])
-
-    texts = docs.select(F.col(id_col).cast("long"), F.col(key), F.col(text_col).cast("string"))
-    return texts.mapInArrow(run, "doc_id long, key long, fp long, set long, n long, bands array<long>, sketch binary")
-
-
-def _candidates(banded: DataFrame, jaccard: float, parts: int) -> DataFrame:
-    """(a, b, fa, fb): pairs of rows (band, key, fp, comp, n, sketch) that share a band, are of different components
-    and by their sizes and sketches may be as near as ``jaccard``. Pairs are compared in the task, not made rows of."""
-    names = ["a", "b", "fa", "fb"]
-
-    def pairs(band, key, fp, comp, n, sketch):
-        same = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(band), -1)
-        active, shift = np.arange(len(band)), 1
-        while len(active):
-            active = active[active + shift < len(band)]
-            active = active[band[active] == band[active + shift]]
-            for part in np.array_split(active, max(1, len(active) // 50_000)):
-                a, b = part, part + shift
-                fit = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
-                a, b = a[fit], b[fit]
-                fit = (same[a] == same[b]).mean(axis=1) >= jaccard - _SLACK
-                a, b = a[fit], b[fit]
-                if len(a):
-                    low, high = np.where(key[a] < key[b], a, b), np.where(key[a] < key[b], b, a)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[low], key[high], fp[low], fp[high])], names)
-            shift += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [np.asarray(batch.column(i)) for i in range(5)] + [np.array(batch.column(5).to_pylist(), object)]
-            held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last band may go on
-            if whole:
-                yield from pairs(*(x[:whole] for x in held))
-                held = [x[whole:] for x in held]
-        if held is not None:
-            yield from pairs(*held)
-
-    dealt = banded.select("band", "key", "fp", "comp", "n", "sketch").repartition(parts, "band").sortWithinPartitions("band")
-    return dealt.mapInArrow(run, "a long, b long, fa long, fb long").distinct()
+def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None, gram: int = 5) -> DataFrame:
+    """``docs`` with one row of every component (with ``jaccard``, rows whose sets of shingles of ``gram`` words are as
+    near as that are linked too): the one with the smallest id (null last), then the smallest hash of
+    its text. Of rows with equal id and text one stays, whichever their other columns are. Rows are told apart by 128
+    bits of id and text."""
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
+    keyed = docs.withColumns({k1: F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), k2: F.xxhash64(F.lit(SEED), F.col(text_col), F.col(id_col).cast("long"))})
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        fps = durable(_fingerprinted(rows, width, gram if jaccard is not None else None))
+        least = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "k1", "k2")
+        classes = durable(fps.groupBy("fp").agg(F.min(least).alias("first")))
+        links = near_links(classes.select("fp", F.col("fp").alias("rep")), max_bits, key_rows)
+        if jaccard is None:
+            joined = connected_components(links)
+        else:
+            joined = similar_components(fps, durable(links), rows.select("k1", "k2", "text"), gram, jaccard)
+        group = classes.join(joined, classes.fp == joined.node, "left").select(F.coalesce("component", "fp").alias("group"), "first")
+        stay = durable(group.groupBy("group").agg(F.min("first").alias("row")).select("row.k1", "row.k2"))
+        # The rows to go are the fewer; stored, their size is known and decides whether the texts have to move.
+        gone = durable(fps.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left_anti").toDF(k1, k2), keep=True)
+        twice = durable(fps.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2").toDF(k1, k2), keep=True)
+    kept = keyed.join(gone, [k1, k2], "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(twice, [k1, k2], "left_anti").unionByName(kept.join(twice, [k1, k2], "left_semi").dropDuplicates([k1, k2]))
+    return kept.select(*docs.columns)
 
 
-def _grams(texts: DataFrame, gram: int) -> DataFrame:
-    """(key, grams): the shingle set of every row (key, text)."""
+def _fingerprinted(rows: DataFrame, width: int, gram: int | None) -> DataFrame:
+    """(doc_id, k1, k2, fp) of every row (doc_id, k1, k2, text); with ``gram`` the columns of ``SKETCH`` too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(3))
             for at, to, d, o in chunks(data, offsets):
-                grams, n = gram_sets(d, o, gram)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["key", "grams"])
-
-    return texts.mapInArrow(run, "key long, grams array<long>")
-
-
-def similar_links(rows: DataFrame, known: DataFrame, texts: DataFrame, gram: int, jaccard: float) -> DataFrame:
-    """Links (a, b) of fingerprints, which with ``known`` have the components of all pairs of ``rows`` (of
-    ``_sketched``) at ``jaccard`` or more. ``texts``: (key, text).
-
-    Equal sets are one row. Rows meet under equal bands; those that ``known`` does not join already are compared by size
-    and sketch, and what is left exactly, by the sets themselves.
-    """
-    full = rows.where("n > 0")
-    held = durable(full.select("set", "fp").distinct())
-    several = durable(held.groupBy("set").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("set", "a"))
-    equal = held.join(several, "set").select("a", F.col("fp").alias("b"))
-    joined = durable(connected_components(known.unionByName(equal)))
-    sets = full.groupBy("set").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), *[F.first(x).alias(x) for x in ("n", "bands", "sketch")])
-    sets = durable(sets.join(joined, sets.fp == joined.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"), "n", "bands", "sketch"))
-    met = sets.select("comp", F.explode("bands").alias("band")).groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    met = durable(met.where("lo <> hi").select("band"))
-    banded = sets.withColumn("band", F.explode("bands")).drop("bands").join(met, "band", "left_semi")
-    pairs = durable(_candidates(banded, jaccard, partitions(rows)))
-    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    # Rows with equal id and text share a key: one of them is read.
-    found = durable(_grams(texts.join(needed, "key", "left_semi"), gram).groupBy("key").agg(F.first("grams").alias("grams")))
-    left, right = (found.select(F.col("key").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    both = F.size(F.array_intersect("ga", "gb"))
-    near = pairs.join(left, "a").join(right, "b").where(both >= jaccard * (F.size("ga") + F.size("gb") - both) - 1e-9)
-    return durable(near.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()).unionByName(equal)
+                fp = pa.array(fingerprints_of(*shingle_hashes(d, o, width)).view(np.int64))
+                more = sketches(d, o, gram) if gram else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(3)), fp, *more], names)
 
-
-def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None, gram: int = 5) -> DataFrame:
-    """``docs`` with one row of every component (with ``jaccard``, rows whose sets of shingles of ``gram`` words are as
-    near as that are linked too): the one with the smallest id (null last), then the smallest hash of
-    its text. Of rows with equal id and text one stays, whichever their other columns are."""
-    name = fresh(docs, "key_of_row")
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    keyed = docs.withColumn(name, key)
-    fps = durable(fingerprints(keyed, width, id_col, text_col, extra=name) if jaccard is None else _sketched(keyed, width, gram, id_col, text_col, name))
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "key")).alias("first")))
-    links = near_links(classes.select("fp", F.col("fp").alias("rep")), max_bits, key_rows)
-    if jaccard is not None:
-        links = durable(links)
-        links = links.unionByName(similar_links(fps, links, keyed.select(F.col(name).alias("key"), F.col(text_col).cast("string").alias("text")), gram, jaccard))
-    joined = connected_components(links)
-    # Components are of fingerprints; the row to stay is the component's least by id.
-    group = classes.join(joined, classes.fp == joined.node, "left").select(F.coalesce("component", "fp").alias("group"), F.struct(F.coalesce("rep", F.lit(2**63 - 1)), F.col("first").alias("key")).alias("row"))
-    stay = group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias("key"))
-    # The rows to go are the fewer; stored, their size is known and decides whether the texts have to move.
-    gone = durable(fps.select("key").distinct().join(durable(stay), "key", "left_anti").select(F.col("key").alias(name)))
-    twice = durable(fps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias(name)))
-    kept = keyed.join(gone, name, "left_anti")
-    if not twice.isEmpty():
-        kept = kept.join(twice, name, "left_anti").unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name]))
-    return kept.select(*docs.columns)
+    schema = "doc_id long, k1 long, k2 long, fp long" + (", " + SKETCH if gram else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return rows.mapInArrow(run, schema)

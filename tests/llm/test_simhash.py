@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.llm import _likeness as L
 from cairn.llm import simhash
 
 from .brute import groups, simhash as fingerprint, words
@@ -55,7 +56,10 @@ def test_more_bits_are_refused(spark):
         simhash.near_links(spark.createDataFrame([], "fp long, rep long"), 4)
 
 
-def test_near_copies_at_the_stated_likeness_go(spark):
+@pytest.mark.parametrize("rounds, rows_a_block", [(2, 2048), (0, 3)])
+def test_near_copies_at_the_stated_likeness_go(spark, monkeypatch, rounds, rows_a_block):
+    monkeypatch.setattr(L, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(L, "BAND_ROWS", rows_a_block)
     own = random.Random(11)
 
     def grams(text):

@@ -20,7 +20,8 @@ every byte under it is removed. The work is dealt out so that equal strings alwa
 
 Nulls: a null text is empty. Texts shorter than ``length`` bytes stay whole. Equal rows are copies of each other and
 lose what they share, repeated or null ids included. Extra columns are kept or ignored. An empty table gives an empty
-result. Rows are identified by a 64-bit hash of id and text.
+result. Texts are told apart by 128 bits of their content: equal texts are one text with a number of copies, combined
+before any shuffle, so K equal rows cost K rows, not K^2, wherever they are moved.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import durable, fresh
+from ._store import durable, fresh, partitions, scratch, text_key
 from ._text import U64, Polynomial, chunks, mix, utf8
 
 #: Starts of one window at each level of splitting.
@@ -42,8 +43,7 @@ SHARD_BYTES = 64 << 10
 _PIECE = 8 << 20
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+KEY = ("k1", "k2")
 
 
 # ---- 1. anchors
@@ -89,17 +89,17 @@ def _all_windows(text: np.ndarray, offsets: np.ndarray, length: int) -> Iterator
                 yield row + first, at + begin, n, anchor, h
 
 
-def _anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(m, key, at): the anchor hash, the row and the packed place of every window."""
+def _anchors(texts: DataFrame, length: int) -> DataFrame:
+    """(m, k1, k2, at): the anchor hash, the text and the packed place of every window of rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = np.asarray(batch.column(0))
-            for row, at, n, anchor, h in _all_windows(*utf8(batch.column(1)), length):
+            k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
+            for row, at, n, anchor, h in _all_windows(*utf8(batch.column(2)), length):
                 packed = at << 24 | n << 12 | anchor
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[row]), pa.array(packed)], ["m", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), k1[row], k2[row], packed)], ["m", *KEY, "at"])
 
-    return docs.select(_key(id_col, text_col), text_col).mapInArrow(run, "m long, key long, at long")
+    return texts.select(*text_key(F.col("text")), "text").mapInArrow(run, "m long, k1 long, k2 long, at long")
 
 
 # ---- 2. windows
@@ -118,23 +118,24 @@ def _places(batch: pa.RecordBatch, column: int, data_offsets: np.ndarray, length
 
 
 def _hashed(shared: DataFrame, length: int) -> DataFrame:
-    """(key, at, g, h): every listed window of rows (key, text, places array<struct<m, at>>), h a hash of its bytes."""
+    """(k1, k2, copies, at, g, h): every listed window of texts (k1, k2, copies, text, places array<struct<m, at>>), h a
+    hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, ends = utf8(batch.column(1))
+            text, ends = utf8(batch.column(3))
             for first, to, data, offsets in chunks(text, ends):
                 part = batch.slice(first, to - first)
-                row, begin, end, fields = _places(part, 2, offsets, length)
+                row, begin, end, fields = _places(part, 4, offsets, length)
                 h = Polynomial(data).of(begin, end)
-                key = np.asarray(part.column(0))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fields["at"]), pa.array(fields["m"]), pa.array(h.view(np.int64))], ["key", "at", "g", "h"])
+                own = [np.asarray(part.column(i))[row] for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, fields["at"], fields["m"], h.view(np.int64))], [*KEY, "copies", "at", "g", "h"])
 
-    return shared.select("key", "text", "places").mapInArrow(run, "key long, at long, g long, h long")
+    return shared.select(*KEY, "copies", "text", "places").mapInArrow(run, "k1 long, k2 long, copies long, at long, g long, h long")
 
 
 def _fetched(rows: DataFrame, length: int) -> DataFrame:
-    """(g, h, c, anchor, w): the bytes of the windows of rows (key, text, wanted array<struct<g, h, c, at>>)."""
+    """(g, h, c, anchor, w): the bytes of the windows of texts (text, wanted array<struct<g, h, c, at>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,19 +193,24 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def merge_shards(shards: list[np.ndarray], length: int) -> np.ndarray:
-    """Blocks of the suffixes of all (circular) shards that are equal over ``length`` bytes, by place.
+def merge_shards(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of the suffixes of all (circular) shards by their first ``length`` bytes, as places, and how far
+    each one's common prefix with the one before it reached (one of the depths of the passes; ``length`` at most).
 
     ``source`` is the interleave: the shard of each suffix of the merged order. Suffixes are taken from the shards'
     own orders as it says; only its refinement moves them.
     """
     sizes = np.array([len(s) for s in shards])
     base = np.cumsum(sizes) - sizes
-    own = np.concatenate([shard_order(s, length) + b for s, b in zip(shards, base)])
+    orders, grams = [shard_order(s, length) for s in shards], [_grams8(s) for s in shards]
+    own = np.concatenate([o + b for o, b in zip(orders, base)])
     source = np.repeat(np.arange(len(shards)), sizes)
     start, size = np.repeat(base, sizes), np.repeat(sizes, sizes)
     n = int(sizes.sum())
-    block = np.unique(np.concatenate([_grams8(s) for s in shards]), return_inverse=True)[1]  # of 8 bytes, by place
+    # The alphabet of the first pass: each shard's own order has its 8-byte symbols sorted, so only distinct ones are merged.
+    alphabet = np.unique(np.concatenate([_distinct(g[o]) for g, o in zip(grams, orders)]))
+    block = np.concatenate([np.searchsorted(alphabet, g) for g in grams])  # of 8 bytes, by place
+    common = np.zeros(n, np.int64)
     depth, order, held = 0, own, np.zeros(n, np.int64)  # held: the block at ``depth`` of each merged suffix
     while depth < length:
         step = 8 if depth == 0 else min(depth, length - depth)
@@ -215,16 +221,21 @@ def merge_shards(shards: list[np.ndarray], length: int) -> np.ndarray:
         # Equal first blocks, and what follows in equal blocks: equal over depth + step.
         moved, symbol = held[turn], symbol[turn]
         new = np.empty(n, bool)
-        new[:1] = False
+        new[:1] = True
         new[1:] = (symbol[1:] != symbol[:-1]) | (moved[1:] != moved[:-1])
-        held = np.cumsum(new)
+        held = np.cumsum(new) - 1
         slot = np.argsort(source.astype(np.uint16) if len(shards) < 1 << 16 else source, kind="stable")
         order = np.empty(n, np.int64)
         order[slot] = own  # the next suffix of the shard that the interleave names
         block = np.empty(n, np.int64)
         block[order] = held
         depth += step
-    return block
+        common[~new] = depth  # refining moves suffixes within blocks only, so borders stay where they are
+    return order, common
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
 
 
 def repeated_starts(windows: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -238,11 +249,13 @@ def repeated_starts(windows: list[bytes], counts: np.ndarray, length: int) -> li
             held, fill = [], 0
     if held:
         shards.append(np.frombuffer(b"".join(held), np.uint8))
-    block = merge_shards(shards, length)
+    order, common = merge_shards(shards, length)
+    block = np.empty(len(order), np.int64)
+    block[order] = np.cumsum(common < length)  # a repeated interval has common prefixes of ``length``
     size = np.array([len(w) for w in windows])
     starts = size - length + 1
     valid = np.repeat(np.cumsum(size) - size, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-    weight = np.bincount(block[valid], np.repeat(np.minimum(counts, 2), starts), minlength=len(block))
+    weight = np.bincount(block[valid], np.repeat(np.minimum(counts, 2), starts), minlength=len(block) + 1)
     again = weight[block[valid]] >= 2
     return [_runs(x) for x in np.split(again, np.cumsum(starts)[:-1])]
 
@@ -293,8 +306,11 @@ def _merged(rows: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
         return pa.table({"sid": table.column("sid").take(pa.array(keep, pa.int64())), "spans": pa.array([spans[i] for i in keep], pa.list_(pa.int32()))})
 
     total = rows.agg(F.sum(F.length("w"))).first()[0] or 0
-    dealt = rows.select("sid", "w", "c", F.pmod(F.xxhash64("g"), F.lit(int(total // bucket_bytes) + 1)).alias("bucket"))
-    return dealt.groupBy("bucket").applyInArrow(run, "sid long, spans array<int>")
+    buckets = int(total // bucket_bytes) + 1
+    dealt = rows.select("sid", "w", "c", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
+    # A task takes about four buckets, whatever the corpus; beyond 64 tasks a partition it takes more of them.
+    tasks = min(buckets // 4 + 1, 64 * partitions(rows))
+    return dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, "sid long, spans array<int>")
 
 
 def _resolve(distinct: DataFrame, length: int, level: int, bucket_bytes: int, cap_bytes: int) -> DataFrame:
@@ -312,21 +328,27 @@ def _resolve(distinct: DataFrame, length: int, level: int, bucket_bytes: int, ca
     return durable(found.unionByName(moved))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 512 << 10, cap_bytes: int = 512 << 10,
-                   id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts that share an anchor, (key, text), and their repeated starts, (key, spans array<struct<b, e>>):
-    byte ranges to remove, unordered and overlapping. ``key`` is a hash of id and text."""
-    anchors = _anchors(docs, id_col, text_col, length)
+def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 256 << 10, cap_bytes: int = 512 << 10, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The texts that share an anchor, (k1, k2, text), and their repeated starts, (k1, k2, spans array<struct<b, e>>):
+    byte ranges to remove, unordered and overlapping. ``k1, k2`` are hashes of the text."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    with scratch(docs.sparkSession):
+        return _repeated_spans(texts, length, bucket_bytes, cap_bytes)
+
+
+def _repeated_spans(texts: DataFrame, length: int, bucket_bytes: int, cap_bytes: int) -> tuple[DataFrame, DataFrame]:
+    anchors = _anchors(texts, length)
     # Stored, so that the join below reads both its sides from shuffles, which adaptive execution can split by rows.
     again = durable(anchors.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"))
-    listed = anchors.join(again, "m").groupBy("key").agg(F.collect_list(F.struct("m", "at")).alias("places"))
-    texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    shared = durable(texts.join(listed, "key"))
+    listed = anchors.join(again, "m").groupBy(*KEY).agg(F.collect_set(F.struct("m", "at")).alias("places"))
+    # Copies are combined in the tasks that read them: of a text a third of all rows have, each task sends one.
+    contents = texts.select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    shared = durable(contents.join(listed, [*KEY]), keep=True)
     # Windows are told apart by 128 bits, anchor and content; their bytes are read where an anchor has several.
-    counted = durable(_hashed(shared, length).groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")))
+    counted = durable(_hashed(shared, length).groupBy("g", "h").agg(F.sum("copies").alias("c"), F.min(F.struct(*KEY, "at")).alias("first")))
     several = durable(counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
-    wanted = counted.join(several, "g").groupBy("first.key").agg(F.collect_list(F.struct("g", "h", "c", F.col("first.at").alias("at"))).alias("wanted"))
-    distinct = durable(_fetched(shared.select("key", "text").join(wanted, "key"), length).withColumn("sid", F.monotonically_increasing_id()))
+    wanted = counted.join(several, "g").groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("g", "h", "c", F.col("first.at").alias("at"))).alias("wanted"))
+    distinct = durable(_fetched(shared.select(*KEY, "text").join(wanted, [*KEY]), length).withColumn("sid", F.monotonically_increasing_id()))
     found = _resolve(distinct, length, 0, bucket_bytes, cap_bytes)
     found = found.join(distinct.select("sid", "g", "h"), "sid").select("g", "h", "spans")
     # An anchor with one window only: it occurs more than once as a whole.
@@ -335,9 +357,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 512 <
     at = _hashed(shared, length).join(durable(found.unionByName(whole)), ["g", "h"])
     start = F.shiftright("at", 24)
     pairs = F.expr("transform(sequence(0, size(spans) - 1, 2), i -> struct(spans[i] as b, spans[i + 1] as e))")
-    ranges = at.select("key", start.alias("s"), pairs.alias("p"))
+    ranges = at.select(*KEY, start.alias("s"), pairs.alias("p"))
     span = F.transform("p", lambda x: F.struct((F.col("s") + x["b"]).alias("b"), (F.col("s") + x["e"] + (length - 1)).alias("e")))
-    return shared.select("key", "text"), durable(ranges.groupBy("key").agg(F.flatten(F.collect_list(span)).alias("spans")))
+    return shared.select(*KEY, "text"), durable(ranges.groupBy(*KEY).agg(F.flatten(F.collect_list(span)).alias("spans")), keep=True)
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -350,53 +372,41 @@ def _union(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], result) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text, spans) through result(kept bytes, removed bytes, runs)."""
-    for batch in batches:
-        texts, listed, rows = batch.column(1), batch.column(2), []
-        for i in range(batch.num_rows):
-            raw = (texts[i].as_py() or "").encode()
-            flat = listed[i].values
-            runs = _union(np.asarray(flat.field("b")), np.asarray(flat.field("e"))) if flat is not None else []
-            kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(b for b, _ in runs), len(raw)]))
-            rows.append(result(kept, sum(b - a for a, b in runs), len(runs)))
-        yield _as_batch(batch.column(0), rows)
-
-
-def _as_batch(key: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    names = ["key", "kept", "n_removed", "n_spans"]
-    cols = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([key, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names)
+def _cut(shared: DataFrame, spans: DataFrame, result) -> DataFrame:
+    """(k1, k2, kept, n_removed, n_spans) of the texts with repeated starts; kept is result(kept bytes)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, listed, rows = batch.column(2), batch.column(3), []
+            for i in range(batch.num_rows):
+                raw = texts[i].as_py().encode()
+                flat = listed[i].values
+                runs = _union(np.asarray(flat.field("b")), np.asarray(flat.field("e")))
+                kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(b for b, _ in runs), len(raw)]))
+                rows.append((result(kept), sum(b - a for a, b in runs), len(runs)))
+            kept, removed, n = zip(*rows) if rows else ((), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "kept", "n_removed", "n_spans"])
 
-_CUT_ROW = "key long, kept string, n_removed long, n_spans long"
+    return shared.join(spans, [*KEY]).select(*KEY, "text", "spans").mapInArrow(run, "k1 long, k2 long, kept string, n_removed long, n_spans long")
 
 
-def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. Only texts that share an anchor are moved."""
-    shared, spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col)
-
-    def run(batches):
-        return _cut(batches, lambda kept, n, runs: (hashlib.sha256(kept).hexdigest(), n, runs))
-
-    cut = shared.join(spans, "key").select("key", "text", "spans").mapInArrow(run, _CUT_ROW).dropDuplicates(["key"])
+    cut = _cut(*repeated_spans(docs, length, text_col=text_col, **options), lambda kept: hashlib.sha256(kept).hexdigest())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(F.col(text_col)), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     zero = F.lit(0).cast("long")
-    return rows.join(cut, "key", "left").select(
+    return rows.join(cut, [*KEY], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text_col``; a character that was cut apart goes as a whole."""
-    shared, spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col)
-
-    def run(batches):
-        return _cut(batches, lambda kept, n, runs: (kept.decode("utf-8", "ignore"), n, runs))
-
-    cut = shared.join(spans, "key").select("key", "text", "spans").mapInArrow(run, _CUT_ROW).dropDuplicates(["key"])
-    there, kept = fresh(docs, "there"), fresh(docs, "kept")
-    cut = cut.select(F.col("key").alias(there), F.col("kept").alias(kept))
-    joined = docs.join(cut, _key(id_col, text_col) == F.col(there), "left")
-    return joined.withColumn(text_col, F.coalesce(kept, text_col)).select(*docs.columns)
+    cut = _cut(*repeated_spans(docs, length, text_col=text_col, **options), lambda kept: kept.decode("utf-8", "ignore"))
+    names = {n: fresh(docs, n) for n in (*KEY, "kept")}
+    cut = cut.select(*[F.col(n).alias(to) for n, to in names.items()])
+    own = text_key(F.col(text_col))
+    joined = docs.join(cut, (own[0] == F.col(names["k1"])) & (own[1] == F.col(names["k2"])), "left")
+    return joined.withColumn(text_col, F.coalesce(names["kept"], text_col)).select(*docs.columns)

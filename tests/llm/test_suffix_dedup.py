@@ -24,10 +24,8 @@ ROWS += [(100, None), (101, ""), (None, PASSAGES[0]), (102, "x"), (102, "x"), (1
 def test_equals_brute_force(spark, monkeypatch, cap):
     monkeypatch.setattr(S, "WIDTHS", (0, 7, 3, 1))
     monkeypatch.setattr(S, "SHARD_BYTES", 200)
-    whole = S.repeated_spans
-    monkeypatch.setattr(S, "repeated_spans", lambda docs, length, id_col, text_col: whole(docs, length, 600, cap, id_col, text_col))
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"key": F.lit(1), "places": F.lit("x")})
-    got = [tuple(r) for r in S.digests(docs, length=20).collect()]
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"k1": F.lit(1), "places": F.lit("x")})
+    got = [tuple(r) for r in S.digests(docs, length=20, bucket_bytes=600, cap_bytes=cap).collect()]
     assert sorted(got, key=str) == sorted(without_repeats(ROWS, 20), key=str)
 
 
@@ -35,10 +33,33 @@ def test_merge_finds_equal_prefixes():
     gen = np.random.default_rng(0)
     shards = [gen.integers(97, 99, n).astype(np.uint8) for n in (40, 7, 90, 64)]
     for length in (8, 12, 20, 33):
-        block = S.merge_shards(shards, length)
+        order, common = S.merge_shards(shards, length)
         strings = [bytes(np.resize(np.roll(s, -i), length)) for s in shards for i in range(len(s))]
-        order = sorted(set(strings))
-        assert [order.index(x) for x in strings] == block.tolist()  # blocks are numbered in the order of their strings
+        merged = [strings[i] for i in order]
+        assert sorted(order) == list(range(len(strings))) and merged == sorted(strings)
+        for x, y, c in zip(merged, merged[1:], common[1:]):  # common prefixes are those of the passes' depths
+            assert x[:c] == y[:c] and (c == length or x[: max(8, 2 * c)] != y[: max(8, 2 * c)])
+        assert common[0] == 0
+
+
+def test_copies_cost_no_more_rows_than_there_are(spark, monkeypatch):
+    base, stored = rnd(400), []
+    durable = S.durable
+
+    def counted(df, keep=False):
+        out = durable(df, keep)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "durable", counted)
+    totals = []
+    for k in (25, 50, 100):
+        stored.clear()
+        rows = [(None, base)] * k + [(5, base + rnd(100)), (6, rnd(300))]
+        got = S.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=50).collect()
+        assert [r.n_removed for r in got if r.doc_id is None] == [len(base.encode())] * k
+        totals.append(sum(stored))
+    assert totals[0] == totals[1] == totals[2]
 
 
 def test_long_text_in_pieces(spark, monkeypatch):

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -53,3 +54,42 @@ def test_empty_tables(spark):
     assert D.contaminated(docs, bench).count() == 0
     some_docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert D.contaminated(some_docs, bench).count() == 0 and D.decontaminate(some_docs, bench).count() == 1
+
+
+def test_null_and_repeated_ids(spark):
+    leaked, other = some(20), some(20)
+    bench = spark.createDataFrame([(None, " ".join(leaked)), (None, None), (7, " ".join(some(18))), (7, " ".join(other))], "item_id long, text string")
+    rows = [(1, " ".join(some(30) + leaked)), (2, " ".join(some(40))), (None, " ".join(other + some(5))), (None, " ".join(some(25))), (1, " ".join(some(25)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_found) for r in D.contaminated(docs, bench).collect()} == {(1, None, 20), (None, 7, 20)}
+    assert sorted(r.text for r in D.decontaminate(docs, bench).collect()) == sorted(t for _, t in rows[1::2] + rows[4:])
+
+
+def test_masks_find_every_pattern():
+    """A seed is left of every item of 5 to 21 words, wherever a fifth of its words are substituted."""
+    for n in range(1, 22):
+        seeds = [{i + j for j, bit in enumerate(m) if bit == "1"} for m in D.masks_of(n, D.MASKS, 0.8) for i in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n // 5):
+            assert any(s.isdisjoint(changed) for s in seeds), (n, changed)
+
+
+def test_equals_brute_force(spark):
+    """Ungapped overlays of every item on every place of every text."""
+    own = random.Random(8)
+    items = [(i, [own.choice(WORDS) for _ in range(own.choice((5, 6, 7, 9, 10, 16, 30)))]) for i in range(40)]
+    docs = []
+    for k in range(160):
+        item = items[k % 40][1][:]
+        for i in own.sample(range(len(item)), own.randrange(0, len(item) // 3 + 1)):
+            item[i] = "other"
+        docs.append((k, [own.choice(WORDS) for _ in range(own.randrange(60))] + item + [own.choice(WORDS) for _ in range(own.randrange(60))]))
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            for at in range(1 - len(item), len(text)):
+                same = [0 <= at + j < len(text) and text[at + j] == w for j, w in enumerate(item)]
+                if sum(same) >= 0.8 * len(item) or "1" * 13 in "".join("01"[x] for x in same):
+                    want.add((d, i))
+    join = lambda rows: [(k, " ".join(w)) for k, w in rows]
+    got = D.contaminated(spark.createDataFrame(join(docs), "doc_id long, text string"), spark.createDataFrame(join(items), "item_id long, text string"), drift=0)
+    assert len(want) > 60 and {(r.doc_id, r.item_id) for r in got.collect()} == want

@@ -23,7 +23,10 @@ def test_stages_take_effect(spark, sf_dir):
 
 
 def test_run_gives_the_last_stage(spark, sf_dir):
-    assert P.run(spark, sf_dir).columns == ["doc_id", "size", "source", "source_size", "target", "copies", "taken"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = P.run(spark, sf_dir)
+    assert found.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert found.where("taken <> size * copies OR copies > 3").count() == 0 and 0 < found.count() < docs.count()
 
 
 def test_empty_documents(spark, tmp_path, sf_dir):

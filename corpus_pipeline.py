@@ -5,9 +5,11 @@
    shingles link, the one with the smallest id stays.
 3. suffix_dedup: every string of 200 bytes that occurs twice or more is taken out of the texts.
 4. decontaminate: documents that hold a benchmark item go.
-5. mix: the remaining documents are given copy numbers, so that sources come to their target weights.
+5. mix: the remaining documents are given copy numbers, so that sources come to their target weights; their rows keep
+   all columns, so the corpus can be written from the result.
 
-A stage works on all that its predecessor kept; between stages documents are Parquet tables in the shared folder.
+A stage works on all that its predecessor kept; between stages documents are Parquet tables in the shared folder, which
+go when they have been used.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, mixing, quality, simhash, suffix_dedup
 from cairn.llm._sample import crc_mod
-from cairn.llm._store import durable, read
+from cairn.llm._store import durable, read, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, cycle=(1, 2, 3), max_copies=3)
+    return mixing.with_copies(docs, cycle=(1, 2, 3), max_copies=3)
 
 
 STAGES = [
@@ -55,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of ``documents``: (doc_id, size, source, source_size, target, copies, taken)."""
+    """The mix of ``documents``: their rows and columns with size, source_size, target, copies and taken."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    *early, (_, before_last), (_, last) = STAGES
+    with scratch(spark):
+        for _, stage in early:
+            with scratch(spark):
+                docs = durable(stage(spark, docs, sf_dir), keep=True)
+        docs = durable(before_last(spark, docs, sf_dir), keep=True)
+    return last(spark, docs, sf_dir)

@@ -5,9 +5,9 @@ they differ in at most ``max_bits`` bits. Linking works on distinct fingerprints
 
 1. A fingerprint is filed under four keys, one for each quarter of its bits. Two fingerprints with three or fewer
    differing bits agree in one quarter at least, so every link meets under a key.
-2. Under a key, each fingerprint has a row of Hamming distances to reference fingerprints (the pivot table). By the
-   triangle inequality the largest coordinate difference is a lower bound of the distance: pairs above ``max_bits``
-   are discarded; rows sorted by the first pivot are only compared within ``max_bits`` of it. Survivors are verified.
+2. Each distinct fingerprint has a stored row of Hamming distances to 16 reference fingerprints (the pivot table). By
+   the triangle inequality the largest coordinate difference is a lower bound of the distance. Under a key, rows are
+   searched by range on the first coordinate, pairs above ``max_bits`` in any other are discarded, survivors verified.
 3. A key with more than ``key_rows`` fingerprints is filed again under quarters of its free bits, until it fits; no
    row is dropped, and as fingerprints are distinct, few free bits bound the rows.
 4. A task returns one star for each group it has linked, not all pairs; stars are joined to components in Spark.
@@ -37,8 +37,8 @@ from ._store import durable, fresh, partitions, scratch
 from ._text import IS_SPACE, LOWER, U64, chunks, components, mix, utf8, words
 
 SEED = 42
-#: Reference fingerprints of the pivot table: the mixed numbers 1 to 8.
-PIVOTS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Reference fingerprints of the pivot table: the mixed numbers 1 to 16.
+PIVOTS = mix(np.arange(1, 17, dtype=U64) * U64(0x9E3779B97F4A7C15))
 #: A key with so few free bits is not filed again: its distinct fingerprints are 2^12 at most.
 _FEW_BITS = 12
 #: Byte value -> its eight bits, the highest first, in eight byte lanes.
@@ -108,28 +108,44 @@ def _quarters(mask: int) -> list[int]:
     return [sum(1 << int(b) for b in part) for part in np.array_split(free, 4)]
 
 
+def distances(fp: np.ndarray) -> np.ndarray:
+    """The pivot table: the Hamming distances of each fingerprint to the reference fingerprints."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def _tabled(classes: DataFrame) -> DataFrame:
+    """(fp, rep, mask, pivots): each distinct fingerprint with its row of the pivot table, computed once; no bit fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([r.tobytes() for r in distances(np.asarray(batch.column(0)).view(U64))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.zeros(batch.num_rows, np.int64)), rows], ["fp", "rep", "mask", "pivots"])
+
+    return classes.select("fp", "rep").mapInArrow(run, "fp long, rep long, mask long, pivots binary")
+
+
 def _filed(rows: DataFrame) -> DataFrame:
-    """Each row (fp, rep, mask) once for each quarter of its free bits: (key, fp, rep, mask)."""
+    """Each row (fp, rep, mask, pivots) once for each quarter of its free bits: (key, fp, rep, mask, pivots)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, rep, mask = (np.asarray(batch.column(i)) for i in range(3))
             for held in np.unique(mask):
-                own, fixed = mask == held, int(held) % (1 << 64)
+                own, fixed = np.flatnonzero(mask == held), int(held) % (1 << 64)
+                table = batch.column(3).take(pa.array(own))
                 for part in _quarters(fixed):
                     wide = U64(fixed | part)
                     key = mix(mix(fp[own].view(U64) & wide) ^ wide)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (key.view(np.int64), fp[own], rep[own], np.full(own.sum(), wide, U64).view(np.int64))],
-                        ["key", "fp", "rep", "mask"],
-                    )
+                    columns = [pa.array(x) for x in (key.view(np.int64), fp[own], rep[own], np.full(len(own), wide, U64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*columns, table], ["key", "fp", "rep", "mask", "pivots"])
 
-    return rows.select("fp", "rep", "mask").mapInArrow(run, "key long, fp long, rep long, mask long")
+    return rows.select("fp", "rep", "mask", "pivots").mapInArrow(run, "key long, fp long, rep long, mask long, pivots binary")
 
 
-def link_sorted(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the linked pairs among rows that share a key, by the pivot table."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def link_sorted(key: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the linked pairs among rows that share a key. The pivot table is searched by range on its first
+    coordinate; of the pairs found, those with a coordinate difference above ``max_bits`` are discarded, as no two
+    fingerprints are nearer than their rows; what is left is verified."""
     order = np.lexsort((table[:, 0], key))
     key, fp, table = key[order], fp[order], table[order]
     active, found_a, found_b, shift = np.arange(len(fp)), [], [], 1
@@ -152,24 +168,25 @@ def link_sorted(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndar
 def _links(filed: DataFrame, max_bits: int, n: int) -> DataFrame:
     """Stars (a, b) of the groups that link under each key. A key's rows are one task's; its size is bounded."""
 
-    def stars(key, fp, rep):
-        a, b = link_sorted(key, fp.view(U64), max_bits)
+    def stars(key, fp, rep, table):
+        a, b = link_sorted(key, fp.view(U64), table, max_bits)
         used = np.unique(np.concatenate([a, b]))
         label = components(len(used), np.searchsorted(used, a), np.searchsorted(used, b))
         moved = np.flatnonzero(label != np.arange(len(used)))
         return pa.RecordBatch.from_arrays([pa.array(rep[used[label[moved]]]), pa.array(rep[used[moved]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [*[np.zeros(0, np.int64)] * 3, np.zeros((0, len(PIVOTS)), np.int8)]
         for batch in batches:
-            held = [np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate(held)]
+            table = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, len(PIVOTS))
+            held = [np.concatenate(x) for x in zip(held, [*(np.asarray(batch.column(i)) for i in range(3)), table])]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
             if whole:
                 yield stars(*(x[:whole] for x in held))
                 held = [x[whole:] for x in held]
         yield stars(*held)
 
-    return filed.select("key", "fp", "rep").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return filed.select("key", "fp", "rep", "pivots").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_links(classes: DataFrame, max_bits: int = 3, key_rows: int = 4096) -> DataFrame:
@@ -178,7 +195,7 @@ def near_links(classes: DataFrame, max_bits: int = 3, key_rows: int = 4096) -> D
     if max_bits > 3:
         raise ValueError("four quarters guarantee a common key for 3 differing bits at most")
     n = partitions(classes)
-    filed = _filed(classes.withColumn("mask", F.lit(0).cast("long")))
+    filed = _filed(durable(_tabled(classes)))
     found = None
     while True:
         counts = filed.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n"))

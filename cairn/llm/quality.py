@@ -1,8 +1,9 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``passage_words`` words; only the bag has a label. Every passage of the whole text
-is encoded from the classes of its characters (pairs of neighbouring classes), the lengths of its words, the share of
-its words that are new in the passage and in the document, and its size, by one tanh layer. A gated attention
+is encoded from its words and pairs of words (hashed), the classes of its characters (pairs of neighbouring classes),
+the lengths of its words, the share of its words that are new in the passage and in the document, and its size, by one
+tanh layer. A gated attention
 (tanh branch times sigmoid branch) weighs the passages of a bag, and a logistic layer scores the weighted sum. All
 weights are learned together from document labels, by full-batch Adam on the driver, from at most ``fit_rows``
 labelled documents and ``fit_passages`` evenly spaced passages of each; scoring reads every passage of every document
@@ -24,14 +25,16 @@ from pyspark.sql import functions as F
 
 from ._sample import stratified_ids
 from ._store import fresh
-from ._text import IS_SPACE, U64, Polynomial, chunks, utf8, words
+from ._text import IS_SPACE, U64, Polynomial, chunks, mix, utf8, words
 
 #: Classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 line break, 5 full stop or comma, 6 other signs, 7 beyond ASCII.
 _CLASS = np.full(256, 6, np.int64)
 for _name, _members in ((0, range(97, 123)), (1, range(65, 91)), (2, range(48, 58)), (3, (9, 32)), (4, range(10, 14)), (5, (44, 46)), (7, range(128, 256))):
     _CLASS[list(_members)] = _name
 _LENGTHS = 12
-FEATURES = 64 + _LENGTHS + 4
+#: Slots of hashed words and of hashed pairs of words.
+_WORDS, _PAIRS = 128, 64
+FEATURES = 64 + _LENGTHS + _WORDS + _PAIRS + 4
 
 
 def passages(data: np.ndarray, offsets: np.ndarray, passage_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +65,13 @@ def passages(data: np.ndarray, offsets: np.ndarray, passage_words: int) -> tuple
         length = np.minimum(ends - starts, _LENGTHS) - 1
         out[:, 64: 64 + _LENGTHS] = np.bincount(passage * _LENGTHS + length, minlength=total * _LENGTHS).reshape(total, -1) / some[:, None]
         hashes = Polynomial(data).of(starts, ends)
+        slots = 64 + _LENGTHS
+        words_in = np.bincount(passage * _WORDS + (hashes >> U64(57)).astype(np.int64), minlength=total * _WORDS)
+        out[:, slots: slots + _WORDS] = np.sqrt(words_in.reshape(total, _WORDS) / some[:, None])
+        both = passage[1:] == passage[:-1]
+        pair_of = (mix(hashes[:-1] + U64(1)) ^ hashes[1:]) * U64(0x9E3779B97F4A7C15) >> U64(58)
+        pairs_in = np.bincount(passage[1:][both] * _PAIRS + pair_of[both].astype(np.int64), minlength=total * _PAIRS)
+        out[:, slots + _WORDS: slots + _WORDS + _PAIRS] = np.sqrt(pairs_in.reshape(total, _PAIRS) / some[:, None])
         for column, group in ((-4, passage), (-3, rows)):
             order = np.lexsort((np.arange(len(hashes)), hashes, group))
             new = np.ones(len(order), bool)
@@ -98,7 +108,8 @@ class GatedAttention:
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
         """``bag`` ascends from 0; ``y`` is a 0/1 label for each bag. Labels weigh alike in sum."""
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, n, p = (x - self.mean) / self.std, len(y), self.p
+        x, n, p = x - self.mean, len(y), self.p
+        x /= self.std
         importance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
         first_moment, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for t in range(1, rounds + 1):
@@ -121,7 +132,7 @@ class GatedAttention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows: int = 3000, fit_passages: int = 64, passage_words: int = 64,
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows: int = 3000, fit_passages: int = 32, passage_words: int = 64,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> GatedAttention | float:
     """A model of ``labels`` (rows where ``use``, over the id, holds), or their mean where they have one value only."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.lit(True) if use is None else use))

@@ -55,3 +55,90 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.where("lang = 'zz'"))).collect()} == {"und"}
     assert langid.predict(docs.where("doc_id = 99"), model).count() == 0
     assert langid.family_of("de") == "germanic" and langid.family_of("tlh") == "tlh"
+
+
+def test_quality_features_equal_plain_counts():
+    """Sizes, hashed words and new words of passages, counted word by word."""
+    import pyarrow as pa
+
+    from cairn.llm._text import utf8
+
+    text = "one two two three one four five one"
+    x, owner = quality.passages(*utf8(pa.array([text, "one two"])), 3)
+    parts = [p.split() for p in ("one two two", "three one four", "five one", "one two")]
+    assert owner.tolist() == [0, 0, 0, 1] and np.allclose(np.expm1(x[:, -2]), [3, 3, 2, 2])
+    alone = {}
+    at = 64 + quality._LENGTHS
+    for w in {w for p in parts for w in p}:
+        one, _ = quality.passages(*utf8(pa.array([w])), 3)
+        alone[w] = int(np.flatnonzero(one[0, at: at + quality._WORDS])[0])
+    for row, words in zip(x, parts):
+        want = np.zeros(quality._WORDS)
+        for w in words:
+            want[alone[w]] += 1 / len(words)
+        assert np.allclose(row[at: at + quality._WORDS] ** 2, want, atol=1e-6)
+        assert np.isclose((row[at + quality._WORDS: at + quality._WORDS + quality._PAIRS] ** 2).sum(), (len(words) - 1) / len(words), atol=1e-6)
+        assert np.isclose(row[-4], len(set(words)) / len(words))
+    seen = [{"one", "two"}, {"three", "four"}, {"five"}, {"one", "two"}]
+    assert np.allclose(x[:, -3], [len(s) / len(p) for s, p in zip(seen, parts)])
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    gen = np.random.default_rng(1)
+    model = quality.GatedAttention()
+    x, bag = gen.standard_normal((6, quality.FEATURES)), np.array([0, 0, 0, 1, 2, 2])
+    p, want = model.p, []
+    for b in range(3):
+        h = [np.tanh(r @ p["W"] + p["b"]) for r in x[bag == b]]
+        e = np.array([(np.tanh(k @ p["V"]) / (1 + np.exp(-(k @ p["U"])))) @ p["q"] for k in h])
+        w = np.exp(e) / np.exp(e).sum()
+        want.append(1 / (1 + np.exp(-(sum(a * k for a, k in zip(w, h)) @ p["c"] + p["c0"][0]))))
+    assert np.allclose(model.score(x, bag, 3), want)
+
+
+def test_language_votes_equal_a_plain_count():
+    """Family by the greatest margin, then every pair of its languages votes; the sum of certainties settles ties."""
+    from itertools import combinations
+
+    gen = np.random.default_rng(2)
+    languages = ["de", "en", "nl", "fr", "es", "xx"]
+    x = np.abs(gen.standard_normal((120, 40)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.Hierarchy(x, [languages[i % 6] for i in range(120)])
+    got, score = model.predict(x)
+    for row, name, s in zip(x, got, score):
+        margin = [row @ w[:-1] + w[-1] for w in model.top]
+        members = model.families[model.names[int(np.argmax(margin))]]
+        votes = {m: 0.0 for m in members}
+        for a, b in combinations(members, 2):
+            p = 1 / (1 + np.exp(-3 * (row @ model.pairs[a, b][:-1] + model.pairs[a, b][-1])))
+            votes[a if p >= 0.5 else b] += 1
+            votes[a] += 1e-3 * p
+            votes[b] += 1e-3 * (1 - p)
+        assert name == max(members, key=votes.get) and 0 <= s <= 1
+
+
+def test_language_features_equal_plain_counts():
+    import pyarrow as pa
+
+    from cairn.llm._text import utf8
+
+    x = langid.features(*utf8(pa.array(["Ab ab", "", "12 ab", "ab", "ba"])))
+    assert np.allclose(np.linalg.norm(x, axis=1), [1, 0, 1, 1, 1])
+    assert np.count_nonzero(x[3]) == 1 and np.count_nonzero(x[0]) >= 3 and not (x[3] * x[4]).any()
+
+
+def test_very_long_text(spark):
+    """One text of some megabytes goes through every kernel whole."""
+    import hashlib
+
+    from cairn.llm import decontaminate, simhash
+
+    words = [f"w{int(hashlib.md5(str(i).encode()).hexdigest()[:6], 16) % 50_000}" for i in range(700_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c")], "doc_id long, text string")
+    item = " ".join(words[600_000:600_020])
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.first_word) for r in found] == [(1, 5, 600_000)]
+    assert simhash.near_duplicates(docs).count() == 2 and simhash.keep_one(docs, jaccard=0.8).count() == 2
+    assert quality.scores(docs, quality.GatedAttention()).count() == 2
+    assert langid.predict(docs, langid.fit(docs.selectExpr("doc_id", "text", "'en' AS lang"))).count() == 2

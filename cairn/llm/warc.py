@@ -2,7 +2,8 @@
 
 For every response record two records are derived: ``metadata`` (JSON of the response's WARC and HTTP headers and of
 what the page says of itself: title, meta fields, links) and ``conversion`` (the page's text lines). Both name the
-response in WARC-Refers-To and keep its target, date and payload digest; each has a digest of its own block. Record
+response in WARC-Refers-To and keep its target, date, payload digest and HTTP headers (in files as WARC-Source-*); each has
+a digest of its own block. Record
 ids are derived from the response's id, so reruns give the same files.
 
 ``read`` takes WARC files (plain or gzip, one member for each record or one for all) from any store Spark reads;
@@ -36,7 +37,7 @@ _END = "\r\n\r\n"
 RESPONSE = "page_id long, record_id string, target_uri string, date string, http_head string, payload binary"
 DERIVED = (
     "page_id long, url string, warc_type string, record_id string, refers_to string, date string, content_type string, "
-    "payload_digest string, block_digest string, content_length long, block string"
+    "payload_digest string, block_digest string, content_length long, source_headers string, block string"
 )
 
 
@@ -89,13 +90,13 @@ def _headers(head: str) -> dict[str, str]:
 def _derive(page_id, response: str, uri: str, date: str, head: str, payload: bytes) -> list[tuple]:
     html = payload.decode(_charset(head), "replace")
     payload_digest = digest(payload)
-    title = _TITLE.search(html)
+    title, source = _TITLE.search(html), _headers(head)
     about = {
         "Envelope": {
             "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": uri, "WARC-Date": date, "WARC-Payload-Digest": payload_digest},
             "HTTP-Response-Metadata": {
                 "Response-Line": head.split("\r\n")[0],
-                "Headers": _headers(head),
+                "Headers": source,
                 "Head": {
                     "Title": " ".join(unescape(title[1]).split()) if title else None,
                     "Metas": [{m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _FIELD.finditer(x)} for x in _META.findall(html)],
@@ -105,10 +106,10 @@ def _derive(page_id, response: str, uri: str, date: str, head: str, payload: byt
         }
     }
     blocks = (("metadata", "application/json", json.dumps(about, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", "\n".join(x.text for x in lines(html))))
-    out = []
+    out, listed = [], "\r\n".join(f"{k}: {v}" for k, v in source.items())
     for kind, content_type, block in blocks:
         raw = block.encode("utf-8", "replace")
-        out.append((page_id, uri, kind, record_id(kind, response), response, date, content_type, payload_digest, digest(raw), len(raw), raw.decode()))
+        out.append((page_id, uri, kind, record_id(kind, response), response, date, content_type, payload_digest, digest(raw), len(raw), listed, raw.decode()))
     return out
 
 
@@ -117,7 +118,7 @@ def derive(responses_: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = tuple(x.split()[0] for x in DERIVED.split(", "))
-        kinds = (pa.int64(), *[pa.string()] * 8, pa.int64(), pa.string())
+        kinds = (pa.int64(), *[pa.string()] * 8, pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = [r for x in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns)) for r in _derive(*x)]
@@ -133,7 +134,7 @@ def write(derived: DataFrame, path: str, compression: str = "gzip") -> None:
         F.lit("WARC/1.1\r\n"), field("WARC-Type", F.col("warc_type")), field("WARC-Record-ID", F.col("record_id")), field("WARC-Refers-To", F.col("refers_to")),
         field("WARC-Target-URI", F.col("url")), field("WARC-Date", F.col("date")), field("WARC-Payload-Digest", F.col("payload_digest")),
         field("WARC-Block-Digest", F.col("block_digest")), field("Content-Type", F.col("content_type")), field("Content-Length", F.col("content_length").cast("string")),
-        F.lit("\r\n"), F.col("block"),
+        F.when(F.col("source_headers") != "", F.concat(F.regexp_replace("source_headers", "(^|\r\n)", "$1WARC-Source-"), F.lit("\r\n"))).otherwise(""), F.lit("\r\n"), F.col("block"),
     )
     derived.select(record.alias("value")).write.option("lineSep", _END).option("compression", compression).text(path)
 

@@ -1,9 +1,11 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import htmltext, linkgraph, queries, warc
-from cairn.llm._html import common_lines, lines
+from cairn.llm._html import common_lines, lines, main_place
 
 from ..compare import duck, same
 
@@ -52,6 +54,53 @@ def test_every_page_meets_its_neighbour(spark):
     assert len(got) == len(pages) and all(r.text == f"story {r.page_id}" for r in got if r.page_id is not None and 2 <= r.page_id < 40)
 
 
+def lcs(a, b):
+    """Indices of ``a`` in a longest common subsequence, by the plain table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i][j - 1]:
+            j -= 1
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return set(out)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40, 400])
+def test_equals_brute_force_for_any_number_of_partitions(spark, sf_dir, parts):
+    """One sorted list of all pages, each aligned with the neighbour of the longer common path, by the plain table."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    frames = [(10_000 + i, f"http://host{i % 3}.org/{'abc'[i % 2]}/{i:03d}", f"<div>Welcome</div><div>Top {i % 2}</div><p>story {i}</p><div>All rights</div>") for i in range(60)]
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(frames, "page_id long, url string, html string"))
+    rows = sorted((*(r.host, r.path), r.page_id, r.url, r.html) for r in pages.withColumns({"host": htmltext.host_of(F.col("url")), "path": htmltext.path_of(F.col("url"))}).collect())
+    parsed, want, moved = [lines(r[4]) for r in rows], {}, 0
+    for k, own in enumerate(parsed):
+        near = {}
+        for at in (k + 1, k - 1):
+            if 0 <= at < len(rows) and rows[at][0] and rows[at][0] == rows[k][0]:
+                near[at] = len(os.path.commonprefix([rows[at][1], rows[k][1]]))
+        place = main_place(own)
+        shared = lcs([x.text for x in own], [x.text for x in parsed[max(near, key=near.get)]]) if near else set()
+        main = [i for i, x in enumerate(own) if x.place & place and not x.aside]
+        if 2 * sum(len(own[i].text) for i in main if i in shared) > sum(len(own[i].text) for i in main):
+            shared -= {i for i, x in enumerate(own) if x.place & place}
+        want[rows[k][2]] = " ".join(x.text for i, x in enumerate(own) if i not in shared and not x.aside and (not place or x.place & place))
+        moved += want[rows[k][2]] != " ".join(x.text for x in own if not x.aside and (not place or x.place & place))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and moved >= 60
+
+
 def test_common_lines_are_longest():
     rng = random.Random(0)
     for _ in range(300):
@@ -101,6 +150,8 @@ def test_warc_round_trip(spark, tmp_path):
         for r in rows:
             assert bytes(back[r.record_id].block).decode() == r.block and back[r.record_id].headers["WARC-Refers-To"] == r.refers_to
             assert warc.digest(bytes(back[r.record_id].block)) == r.block_digest == back[r.record_id].headers["WARC-Block-Digest"]
+            assert {k: v for k, v in back[r.record_id].headers.items() if k.startswith("WARC-Source-")} == dict(("WARC-Source-" + x).split(": ", 1) for x in r.source_headers.split("\r\n"))
+    assert all("Content-Type: text/html; charset=utf-8" in r.source_headers for r in rows)
     (meta,) = [r for r in rows if r.page_id == 1 and r.warc_type == "metadata"]
     assert '"Title": "T"' in meta.block and '"A@/href"' in meta.block and "text/html" in meta.block
 
@@ -117,3 +168,40 @@ def test_warc_responses_are_read(spark, tmp_path):
     got = warc.derive(found).collect()
     assert {r.refers_to for r in got} == {"<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"} and all("café" in r.block for r in got if r.warc_type == "metadata")
     assert {r.payload_digest for r in got} == {warc.digest(http.split(b"\r\n\r\n", 1)[1])} and {r.date for r in got} == {"2020-01-01T00:00:00Z"}
+
+
+def test_warc_records_equal_plain_ones(spark, sf_dir):
+    """Both records of every page of a whole table, made one by one."""
+    import base64
+    import hashlib
+    import json
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    sha = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    got = {(r.page_id, r.warc_type): r for r in queries.op8_warc_derivatives(spark, sf_dir).collect()}
+    assert len(got) == 2 * len(pages)
+    for p in pages:
+        meta, text = got[p.page_id, "metadata"], got[p.page_id, "conversion"]
+        assert meta.refers_to == text.refers_to and meta.record_id != text.record_id and {meta.url, text.url} == {p.url}
+        assert text.block == "\n".join(x.text for x in lines(p.html))
+        for r in (meta, text):
+            assert r.payload_digest == sha((p.html or "").encode()) and r.block_digest == sha(r.block.encode()) and r.content_length == len(r.block.encode())
+        envelope = json.loads(meta.block)["Envelope"]
+        assert envelope["WARC-Header-Metadata"]["WARC-Record-ID"] == meta.refers_to
+        assert envelope["HTTP-Response-Metadata"]["Headers"]["Content-Length"] == str(len((p.html or "").encode()))
+    assert len({r.refers_to for r in got.values()}) == len(pages)
+
+
+def test_warc_edge_cases(spark):
+    schema = "page_id long, url string, html string"
+    assert warc.derive(warc.responses(spark.createDataFrame([], schema))).count() == 0
+    twice = warc.derive(warc.responses(spark.createDataFrame([(1, "http://h/", "<p>a")] * 2, schema))).collect()
+    assert len(twice) == 4 and len({r.record_id for r in twice}) == 2  # repeated pages give records of the same ids
+    bare = spark.createDataFrame([(None, "<urn:uuid:9>", "", "", "", b"plain")], warc.RESPONSE)
+    assert {(r.warc_type, r.source_headers) for r in warc.derive(bare).collect()} == {("metadata", ""), ("conversion", "")}
+
+
+def test_repeated_pages_are_judged_each(spark):
+    rows = [(1, "http://a.example.com/en/1", "<a href='http://b.org/'>x</a>")] * 3 + [(2, "http://b.org/", None), (3, None, "x"), (3, "nohost", None)]
+    got = linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()
+    assert len(got) == 6 and {r.verdict for r in got if r.page_id == 1} == {"block"} and {(r.host, r.path, r.verdict) for r in got if r.page_id == 3} == {("", "", "allow")}

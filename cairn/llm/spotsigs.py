@@ -8,7 +8,7 @@ coefficient of their sets; two empty sets are alike.
 
 ``similar_pairs`` finds all likely copies: equal sets are one class; classes are partitioned by set length into bands
 whose bounds grow by 1 / threshold, so partners are in the same band or the next; they meet under the signatures of
-their prefixes (rarest hash order), are dropped by the length bound and verified. ``with_edited`` compares each text
+their prefixes (rarest signatures first), are dropped by the length bound and verified. ``with_edited`` compares each text
 with an edited form of itself and with the next document.
 
 Nulls: a null text is empty: no signatures. Repeated rows have the same fingerprint. Rows with a null id come last in
@@ -85,7 +85,11 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     n = F.size("sigs")
     band = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
     prefix = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    listed = classes.select("class_id", n.alias("n"), band.alias("band"), F.explode(F.slice("sigs", F.lit(1), prefix)).alias("s"))
+    # Prefixes are taken in the order of rarity, so that a signature of very many classes is in few of them.
+    each = classes.select("class_id", F.explode("sigs").alias("s"))
+    counts = durable(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")))
+    ordered = each.join(counts, "s").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("sigs"))
+    listed = ordered.select("class_id", n.alias("n"), band.alias("band"), F.explode(F.slice("sigs", F.lit(1), prefix)).alias("s"))
     # Partners' lengths differ by 1 / threshold at most: the longer looks in its own band and the one below.
     short = listed.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("s"), F.col("band").alias("at"))
     long = listed.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("s"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"))

@@ -12,7 +12,7 @@ their prefixes (rarest signatures first), are dropped by the length bound and ve
 with an edited form of itself and with the next document.
 
 Nulls: a null text is empty: no signatures. Repeated rows have the same fingerprint. Rows with a null id come last in
-the order of documents. Extra columns are ignored. An empty table gives an empty result.
+the order of documents, rows of equal id stand in the order of their texts' hashes. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,39 +101,62 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     return members, pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
 
 
+def _looked_up(values: list, at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), at)
+
+
 def _ranges(docs: DataFrame, n: int) -> tuple[Column, int]:
-    """The number of an id's range (null: 0) as an expression, by approximate quantiles looked up in two steps."""
-    cuts, least = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n + 1)], 10 * n), F.min("doc_id")).first()
-    cuts = sorted(k for k in set(cuts or []) if k > least)  # the smallest id shares the lowest range with null ids
-    if not cuts:
-        return F.lit(0), 1
-    step = max(1, round(len(cuts) ** 0.5))
-    groups = [cuts[k: k + step] for k in range(0, len(cuts), step)]
-    heads = F.array(*[F.lit(g[0]) for g in groups])
-    coarse = F.size(F.filter(heads, lambda x: x <= F.col("doc_id")))
-    fine = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.greatest(coarse, F.lit(1)))
-    number = F.when(coarse > 0, (coarse - 1) * step + F.size(F.filter(fine, lambda x: x <= F.col("doc_id")))).otherwise(0)
-    return F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(number), F.lit(0)), len(cuts) + 1
+    """The number of a row's range as an expression, ascending in the order of documents reversed, and their number.
+
+    Ids are cut at approximate quantiles, looked up in two steps. Rows without an id come first; they, and an id that
+    fills ranges of its own, are cut by the hash of the text, the largest hash first, so no key's rows are one range.
+    """
+    rows, nulls, least, cuts = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.percentile_approx("doc_id", [k / n for k in range(1, n + 1)], 10 * n)).first()
+    cuts = cuts or []
+    hot = {k for k in cuts if cuts.count(k) > 1} if len(set(cuts)) < len(cuts) else set()
+    starts = sorted({k for k in cuts if k > least} | {k + 1 for k in hot if k + 1 < 2**63})
+    first = [least, *starts] if least is not None else []
+    parts = [cuts.count(k) if k in hot else 1 for k in first]
+    without = -(-nulls * n // rows) if nulls else 0
+    bases = [without]
+    for m in parts:
+        bases.append(bases[-1] + m)
+    step = max(1, round(len(starts) ** 0.5))
+    groups = [starts[k: k + step] for k in range(0, len(starts), step)]
+    number = F.lit(0)
+    if groups:
+        coarse = F.size(F.filter(F.array(*[F.lit(g[0]).cast("long") for g in groups]), lambda x: x <= F.col("doc_id")))
+        fine = F.element_at(F.array(*[F.array(*[F.lit(v).cast("long") for v in g]) for g in groups]), F.greatest(coarse, F.lit(1)))
+        number = F.when(coarse > 0, (coarse - 1) * step + F.size(F.filter(fine, lambda x: x <= F.col("doc_id")))).otherwise(0)
+    own = F.col("doc_id").isNotNull()
+    m = F.when(own, _looked_up(parts, number)).otherwise(without) if parts else F.lit(without)
+    base = F.when(own, _looked_up(bases[:-1], number)).otherwise(0) if parts else F.lit(0)
+    share = F.shiftright((F.shiftright("h", 32) + (1 << 31)) * m, 32)  # floor of m times the hash's place among all
+    return base + (m - 1 - share), max(1, bases[-1])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, sigs, next_text, next_sigs): each row of (doc_id, text, sigs) with the next one, descending id.
+    """(doc_id, text, sigs, next_text, next_sigs): each row of (doc_id, text, sigs) with the next one: descending id,
+    rows without one last, equal ids by the hash of the text.
 
-    Rows are windowed by id range, never over all; the largest row of a range is copied to the range above, and the
-    largest of all to the lowest range, where it follows the last.
+    Rows are windowed by range, never over all; the first row of a range is copied to the range before it, and the
+    first of all to the last range, where it follows the last.
     """
-    number, n = _ranges(docs, min(4096, 4 * partitions(docs)))
-    ranged = docs.withColumn("range", number.cast("int"))
-    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    number, n = _ranges(hashed, min(4096, 4 * partitions(docs)))
+    ranged = hashed.withColumn("range", number.cast("int"))
+    least = F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "h")).alias("t")
+    tops = {r["range"]: r["t"] for r in ranged.groupBy("range").agg(least).collect()}
     used = sorted(tops)
     above = {k: used[(i + 1) % len(used)] for i, k in enumerate(used)}
-    listed = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range") + 1)
-    top, target = listed([tops.get(k) for k in range(n)]), listed([above.get(k) for k in range(n)])
+    at = F.col("range")
+    is_top = F.col("doc_id").eqNullSafe(_looked_up([tops[k][0] if k in tops else None for k in range(n)], at)) & (F.col("h") == _looked_up([tops[k][1] if k in tops else None for k in range(n)], at))
+    target = _looked_up([above.get(k) for k in range(n)], at)
     last = F.col("range") == (used[-1] if used else 0)
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("halo"))
     copy = F.struct(target.cast("int").alias("range"), F.when(last, 2).otherwise(1).alias("halo"))
-    dealt = ranged.withColumn("at", F.explode(F.when(F.col("doc_id") == top, F.array(own, copy)).otherwise(F.array(own)))).drop("range").select("*", "at.*").drop("at")
-    order = Window.partitionBy("range").orderBy(F.col("halo") == 2, F.col("doc_id").desc_nulls_last(), "text")
+    dealt = ranged.withColumn("at", F.explode(F.when(is_top, F.array(own, copy)).otherwise(F.array(own)))).drop("range").select("*", "at.*").drop("at")
+    order = Window.partitionBy("range").orderBy(F.col("halo") == 2, F.col("doc_id").desc_nulls_last(), "h", "text")
     following = F.coalesce(F.lead(F.struct("text", "sigs")).over(order), F.first(F.struct("text", "sigs")).over(order))
     return dealt.withColumn("next", following).where("halo = 0").select("doc_id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
 

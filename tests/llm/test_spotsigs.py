@@ -55,6 +55,19 @@ def test_many_ranges_agree(spark, sf_dir):
         assert got[r.doc_id] == hashlib.sha256((r.text[: len(r.text) - half] + rows[(k + 1) % len(rows)].text[:half]).encode()).hexdigest()
 
 
+def test_hot_ids_are_cut_by_hash(spark):
+    """A third of the rows has no id, a third one id: many ranges, the same order as one sorted list."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"text number {i} of the many {'é' * (i % 7)}") for i in range(600)] + [(2**63 - 1, "last"), (-5, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    listed = docs.withColumns({"sigs": F.array(F.lit(1)), "h": F.xxhash64("text")})
+    number, n = S._ranges(listed, 16)
+    held = [r["count"] for r in listed.groupBy(number.alias("k")).count().collect()]
+    assert len(held) > 14 and max(held) < 120
+    order = sorted(listed.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = {r.text: order[(k + 1) % len(order)].text for k, r in enumerate(order)}
+    assert {r.text: r.next_text for r in S.with_next(listed.drop("h")).collect()} == want
+
+
 def test_pairs_equal_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     members, pairs = S.similar_pairs(docs)

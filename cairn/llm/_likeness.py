@@ -126,11 +126,11 @@ def _close(pairs: DataFrame, jaccard: float) -> DataFrame:
     return pairs.select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, gram: int, jaccard: float) -> DataFrame:
+def _tested(pairs: DataFrame, texts: DataFrame, gram: int, jaccard: float) -> DataFrame:
     """Links (a, b) of the components of those pairs (a, b, ca, cb: rows and their components) that are as near as
     ``jaccard``, by the sets of the whole texts."""
-    needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "k1", "k2")
-    found = durable(_grams(texts.join(durable(needed), ["k1", "k2"]), gram).dropDuplicates(["sid"]))  # equal rows have equal keys
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    found = durable(_grams(texts.join(needed, "sid", "left_semi"), gram))
     left, right = (found.select(F.col("sid").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     near = pairs.join(left, "a").join(right, "b").where(both >= jaccard * (F.size("ga") + F.size("gb") - both) - 1e-9)
@@ -151,7 +151,7 @@ def _stars(touched: DataFrame, sets: DataFrame, texts: DataFrame, gram: int, jac
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     pairs = met.select(either("sid", "csid").alias("a"), either("csid", "sid").alias("b"), either("comp", "ccomp").alias("ca"), either("ccomp", "comp").alias("cb")).distinct()
     sa, sb = (sets.select(F.col("sid").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    return _tested(durable(_close(durable(pairs).join(sa, "a").join(sb, "b"), jaccard)), sets, texts, gram, jaccard)
+    return _tested(durable(_close(durable(pairs).join(sa, "a").join(sb, "b"), jaccard)), texts, gram, jaccard)
 
 
 def _long_sketches(texts: DataFrame, gram: int) -> DataFrame:
@@ -174,8 +174,7 @@ def _long_sketches(texts: DataFrame, gram: int) -> DataFrame:
 
 def _in_cells(touched: DataFrame, sets: DataFrame, texts: DataFrame, gram: int, jaccard: float) -> DataFrame:
     """Pairs (a, b, ca, cb) of rows of different components under one band that may be as near as ``jaccard``."""
-    keys = durable(sets.join(touched.select("sid").distinct(), "sid", "left_semi").select("sid", "k1", "k2"))
-    longer = durable(_long_sketches(texts.join(keys, ["k1", "k2"]), gram).dropDuplicates(["sid"]))
+    longer = durable(_long_sketches(texts.join(durable(touched.select("sid").distinct()), "sid", "left_semi"), gram))
     blocks = touched.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BAND_ROWS).cast("int").alias("blocks"))
     rows = touched.join(durable(blocks), "band").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
@@ -237,11 +236,14 @@ def similar_components(rows: DataFrame, known: DataFrame, texts: DataFrame, gram
         touched = touched.withColumn("turn", F.xxhash64("sid", F.lit(turn)))
         met = touched.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("turn").alias("first")).where("lo <> hi")
         touched = durable(touched.join(durable(met.select("band", "first")), "band"))
+        if not turn:  # all that is compared from here on: these texts are fetched once, by one plan at every size
+            keys = durable(sets.join(touched.select("sid").distinct(), "sid", "left_semi").select("sid", "k1", "k2"))
+            texts = durable(texts.dropDuplicates(["k1", "k2"]).join(keys.hint("merge"), ["k1", "k2"]).select("sid", "text"))
         if turn < STAR_ROUNDS:
             new = _stars(touched, sets, texts, gram, jaccard)
             moved = connected_components(new)
             touched = touched.drop("turn", "first").join(moved, touched.comp == moved.node, "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
         else:
-            new = _tested(durable(_in_cells(touched, sets, texts, gram, jaccard)), sets, texts, gram, jaccard)
+            new = _tested(durable(_in_cells(touched, sets, texts, gram, jaccard)), texts, gram, jaccard)
         links = links.unionByName(new)
     return connected_components(links)

@@ -183,5 +183,6 @@ def with_copies(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), max_copie
             several.select("row", "source_size", "target", (F.col("each") + F.col("extra")).alias("copies"))
         )
         numbers = durable(numbers.withColumnsRenamed({"row": names["row_of_mix"], **{n: names[n] for n in ("source_size", "target", "copies")}}), keep=True)
-    out = rows.join(numbers, names["row_of_mix"]).withColumn(names["taken"], F.col(names["size"]) * F.col(names["copies"]))
+    # Both sides have every row: a merge at every size.
+    out = rows.join(numbers.hint("merge"), names["row_of_mix"]).withColumn(names["taken"], F.col(names["size"]) * F.col(names["copies"]))
     return out.select(*docs.columns, *[names[n] for n in ("size", "source_size", "target", "copies", "taken")])

@@ -237,10 +237,10 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, key_rows: int =
             joined = similar_components(fps, durable(links), rows.select("k1", "k2", "text"), gram, jaccard)
         group = classes.join(joined, classes.fp == joined.node, "left").select(F.coalesce("component", "fp").alias("group"), "first")
         stay = durable(group.groupBy("group").agg(F.min("first").alias("row")).select("row.k1", "row.k2"))
-        # The rows to go are the fewer; stored, their size is known and decides whether the texts have to move.
+        # The rows to go are the fewer. Texts are shuffled to them once, by the same plan at every size.
         gone = durable(fps.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left_anti").toDF(k1, k2), keep=True)
         twice = durable(fps.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2").toDF(k1, k2), keep=True)
-    kept = keyed.join(gone, [k1, k2], "left_anti")
+    kept = keyed.join(gone.hint("merge"), [k1, k2], "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, [k1, k2], "left_anti").unionByName(kept.join(twice, [k1, k2], "left_semi").dropDuplicates([k1, k2]))
     return kept.select(*docs.columns)

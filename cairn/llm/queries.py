@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, linkgraph, mixing, quality, simhash, spotsigs, suffix_dedup, warc
+from . import bytebpe, decontaminate, htmltext, langid, lexical, linkgraph, merkle, mixing, quality, simhash, spotsigs, suffix_dedup, warc
 from ._sample import crc_mod
 from ._store import read
 
@@ -67,6 +68,19 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_edited(read(spark, sf_dir, "documents"))
 
 
+def op11_nested_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    vocabulary = bytebpe.Vocabulary.of(bytebpe.read_ranks(public_tokenizers.path(ranks)), public_tokenizers.PATTERN)
+    return bytebpe.digests(read(spark, sf_dir, "documents"), vocabulary)
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranking(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_page_differencing": op2_page_differencing,
@@ -78,8 +92,13 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_pivotal_mixing": op9_pivotal_mixing,
     "op10_spotsigs": op10_spotsigs,
+    "op11_nested_manifest": op11_nested_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_term_pipeline": op13_term_pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op4_link_graph": linkgraph.judge_sql(URL_RULES),
+    "op11_nested_manifest": merkle.VERIFIED_SQL,
+    "op13_term_pipeline": lexical.ranking_sql(50),
 }

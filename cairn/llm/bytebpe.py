@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from ._store import fresh
@@ -174,7 +175,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     added = [fresh(docs, name) for name in ("ids", "starts", "ends")]
     schema = docs.schema
     for name in added:
-        schema = schema.add(name, "array<int>")
+        schema = schema.add(name, ArrayType(IntegerType()))
     at, kept = len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> D
     held = tokens.sparkSession.sparkContext.broadcast(vocabulary)
     added = [fresh(tokens, name) for name in ("bytes", "decoded", "added")]
     schema = tokens.schema
-    for name, kind in zip(added, ("binary", "string", "array<string>")):
+    for name, kind in zip(added, (BinaryType(), StringType(), ArrayType(StringType()))):
         schema = schema.add(name, kind)
     at, kept = len(tokens.columns), tokens.columns
 

@@ -1,10 +1,12 @@
 import os
 import random
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import htmltext, linkgraph, queries, warc
+from cairn.llm import _html, htmltext, linkgraph, queries, warc
 from cairn.llm._html import common_lines, lines, main_place
 
 from ..compare import duck, same
@@ -32,14 +34,57 @@ def test_shared_lines_go_without_an_article(spark):
     assert got[99] == "Welcome to the site a b All rights reserved"
 
 
-def test_shared_lines_go_inside_the_main_element(spark):
-    page = "<article><div>Read our sister paper</div><p>{}</p></article>"
+def test_lines_of_the_main_element_stay(spark):
+    """Neighbours that say the same sentence keep it; what is outside the element goes, shared or not."""
+    page = "<div>Top of {}</div><article><p>Both say this</p><p>{}</p><div class='notice'>Sign up</div></article>"
     for kind in ("article", "main"):
-        html = [page.replace("article", kind).format(f"a story of its own, number {i} of {i * 7919}") for i in range(6)]
+        html = [page.replace("article", kind).format(i, f"a story of its own, number {i} of {i * 7919}") for i in range(6)]
         pages = [(i, f"http://{kind}/{i}", h) for i, h in enumerate(html)] + [(6 + i, f"http://copies/{i}", html[0]) for i in range(2)]
         got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-        assert all(got[i] == f"a story of its own, number {i} of {i * 7919}" for i in range(6))
-        assert got[6] == got[7] == "Read our sister paper a story of its own, number 0 of 0"
+        assert all(got[i] == f"Both say this a story of its own, number {k} of {k * 7919}" for i, k in enumerate([*range(6), 0, 0]))
+
+
+def test_no_line_of_an_article_is_lost(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in htmltext.extract(rows).collect()}
+    for r in rows.collect():
+        own = [x for x in lines(r.html) if not x.aside]
+        assert got[r.page_id] == " ".join(x.text for x in own if not main_place(own) or x.place & main_place(own))
+
+
+def test_tags_that_stay_open_take_linear_time():
+    n = 100_000
+    for html in ("<span>" * n + "</b>" * n, "<p><button>" + "<span>" * n + "<p></p>" * n, "<div>" * n + "x" + "</div>" * n, "<i>" * n + "<ul>" + "</i>" * n):
+        began = time.process_time()
+        lines(html)
+        assert time.process_time() - began < 20  # hours if each tag searched the stack
+    assert [x.text for x in lines("<div>" * n + "deep" + "</div>" * n)] == ["deep"]
+
+
+def test_alignment_takes_linear_space():
+    rng = random.Random(1)
+    a, b = ([f"line {rng.randrange(60_000)}" if rng.random() < 0.7 else "again" for _ in range(30_000)] for _ in range(2))
+    tracemalloc.start()
+    found, rest = common_lines(a, b), iter(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(found) > 5000 and all(a[i] in rest for i in found)
+
+
+@pytest.mark.parametrize("table", [1, 8, 64])
+def test_halved_alignments_are_longest(monkeypatch, table):
+    monkeypatch.setattr(_html, "_TABLE", table)
+    monkeypatch.setattr(_html, "_OFTEN", 2)
+    test_common_lines_are_longest()
+
+
+def test_long_repeated_and_no_pages(spark):
+    long = "<article>" + "<p>word after word</p>" * 100_000 + "</article>"
+    rows = [(1, "http://h/a", long), (1, "http://h/a", long), (2, "http://h/b", "<p>x</p>"), (2, "http://h/b", "<p>x</p>"), (3, "http://h/c", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars) for r in htmltext.extract(df).collect())
+    assert [g for g in got if g[0] == 1] == [(1, 100_000 * 16 - 1)] * 2 and len(got) == 5
+    assert htmltext.extract(df.limit(0)).count() == 0
 
 
 def test_every_page_meets_its_neighbour(spark):
@@ -86,10 +131,7 @@ def test_equals_brute_force_for_any_number_of_partitions(spark, sf_dir, parts):
             if 0 <= at < len(rows) and rows[at][0] and rows[at][0] == rows[k][0]:
                 near[at] = len(os.path.commonprefix([rows[at][1], rows[k][1]]))
         place = main_place(own)
-        shared = lcs([x.text for x in own], [x.text for x in parsed[max(near, key=near.get)]]) if near else set()
-        main = [i for i, x in enumerate(own) if x.place & place and not x.aside]
-        if 2 * sum(len(own[i].text) for i in main if i in shared) > sum(len(own[i].text) for i in main):
-            shared -= {i for i, x in enumerate(own) if x.place & place}
+        shared = lcs([x.text for x in own], [x.text for x in parsed[max(near, key=near.get)]]) if near and not place else set()
         want[rows[k][2]] = " ".join(x.text for i, x in enumerate(own) if i not in shared and not x.aside and (not place or x.place & place))
         moved += want[rows[k][2]] != " ".join(x.text for x in own if not x.aside and (not place or x.place & place))
     before = spark.conf.get("spark.sql.shuffle.partitions")

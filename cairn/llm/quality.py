@@ -6,8 +6,8 @@ the lengths of its words, the share of its words that are new in the passage and
 tanh layer. A gated attention
 (tanh branch times sigmoid branch) weighs the passages of a bag, and a logistic layer scores the weighted sum. All
 weights are learned together from document labels, by full-batch Adam on the driver, from at most ``fit_rows``
-labelled documents and ``fit_passages`` evenly spaced passages of each; scoring reads every passage of every document
-and runs in the scan's tasks without a shuffle.
+labelled documents, each with all its passages, which the driver holds once, in four bytes a feature; scoring reads
+every passage of every document and runs in the scan's tasks without a shuffle.
 
 Nulls: a null or blank text is one passage of no words and gets a score like any other; a null id is carried and not
 held out. Repeated rows are scored each, alike. Extra columns are ignored or, in ``keep_good``, kept. An empty table
@@ -82,6 +82,10 @@ def passages(data: np.ndarray, offsets: np.ndarray, passage_words: int) -> tuple
     return out, owner
 
 
+def _slices(n: int, step: int = 4096) -> list[slice]:
+    return [slice(k, k + step) for k in range(0, n, step)]
+
+
 class GatedAttention:
     """Encoder, gated attention and logistic layer over bags; plain numbers, so a fitted one is small and picklable."""
 
@@ -93,7 +97,11 @@ class GatedAttention:
 
     def _forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> dict:
         p = self.p
-        h = np.tanh(x @ p["W"] + p["b"])
+        # Features are standardised through the weights, so that there is no second matrix of them.
+        weights, bias = p["W"] / self.std[:, None], p["b"] - (self.mean / self.std) @ p["W"]
+        h = np.empty((len(x), len(bias)))
+        for rows in _slices(len(x)):
+            h[rows] = np.tanh(x[rows] @ weights + bias)
         tanh, gate = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (tanh * gate) @ p["q"]  # bounded by the norm of q: no overflow
         weight = np.exp(e)
@@ -103,13 +111,13 @@ class GatedAttention:
         return {"h": h, "tanh": tanh, "gate": gate, "weight": weight, "z": z, "logit": z @ p["c"] + p["c0"][0], "first": first}
 
     def score(self, x: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-self._forward((x - self.mean) / self.std, bag, n)["logit"]))
+        return 1 / (1 + np.exp(-self._forward(x, bag, n)["logit"]))
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
         """``bag`` ascends from 0; ``y`` is a 0/1 label for each bag. Labels weigh alike in sum."""
-        self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, n, p = x - self.mean, len(y), self.p
-        x /= self.std
+        self.mean = x.mean(axis=0, dtype=np.float64)
+        self.std = np.sqrt(sum(((x[rows] - self.mean) ** 2).sum(axis=0) for rows in _slices(len(x))) / len(x)) + 1e-3
+        n, p = len(y), self.p
         importance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
         first_moment, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for t in range(1, rounds + 1):
@@ -123,7 +131,9 @@ class GatedAttention:
             d_tanh = d_e[:, None] * p["q"] * f["gate"] * (1 - f["tanh"] ** 2)
             d_gate = d_e[:, None] * p["q"] * both * (1 - f["gate"])
             d_h = (weight[:, None] * d_z[bag] + d_tanh @ p["V"].T + d_gate @ p["U"].T) * (1 - h**2)
-            grad = {"W": x.T @ d_h, "b": d_h.sum(axis=0), "V": h.T @ d_tanh, "U": h.T @ d_gate, "q": both.T @ d_e, "c": f["z"].T @ d_logit, "c0": np.array([d_logit.sum()])}
+            d_w = sum(x[rows].astype(np.float64).T @ d_h[rows] for rows in _slices(len(x)))
+            d_w = (d_w - self.mean[:, None] * d_h.sum(axis=0)) / self.std[:, None]
+            grad = {"W": d_w, "b": d_h.sum(axis=0), "V": h.T @ d_tanh, "U": h.T @ d_gate, "q": both.T @ d_e, "c": f["z"].T @ d_logit, "c0": np.array([d_logit.sum()])}
             for k in p:
                 g = grad[k] + decay * p[k]
                 first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
@@ -132,7 +142,7 @@ class GatedAttention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows: int = 3000, fit_passages: int = 32, passage_words: int = 64,
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows: int = 3000, passage_words: int = 64,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> GatedAttention | float:
     """A model of ``labels`` (rows where ``use``, over the id, holds), or their mean where they have one value only."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.lit(True) if use is None else use))
@@ -145,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
                 x, owner = passages(d, o, passage_words)
                 rows = []
                 for i in range(to - first):
-                    own = x[np.searchsorted(owner, i): np.searchsorted(owner, i, "right")]
-                    rows.append(own[np.unique(np.linspace(0, len(own) - 1, min(len(own), fit_passages)).astype(int))].tobytes())
+                    rows.append(x[np.searchsorted(owner, i): np.searchsorted(owner, i, "right")].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, to - first), batch.column(1).slice(first, to - first), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
@@ -155,8 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, fit_rows:
     y = np.array([r.y for r in bags], float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in bags]
-    return GatedAttention().fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), y)
+    sizes = [len(r.x) // (4 * FEATURES) for r in bags]
+    x = np.empty((sum(sizes), FEATURES), np.float32)
+    at = len(x)
+    while bags:  # from the end, so that each row's copy goes when it has been read
+        own = np.frombuffer(bags.pop().x, np.float32).reshape(-1, FEATURES)
+        x[at - len(own): at] = own
+        at -= len(own)
+    return GatedAttention().fit(x, np.repeat(np.arange(len(sizes)), sizes), y)
 
 
 def scores(docs: DataFrame, model: GatedAttention | float, passage_words: int = 64, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

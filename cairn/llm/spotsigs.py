@@ -1,10 +1,11 @@
 """SpotSigs document fingerprints. DataFrame functions only.
 
-Common words (articles, prepositions, auxiliaries: ``ANTECEDENTS``) mark spots in a text; the ``chain`` content words
-that follow a spot, common words between them passed over, form a signature with the common word itself. The set of
-the signatures' 32-bit hashes, in order, is the fingerprint. A text with fewer than ``few`` spots takes the chains after
-every word instead, so that lists and very short texts have fingerprints too. Likeness of fingerprints is the Jaccard
-coefficient of their sets; two empty sets are alike.
+Common words (articles, prepositions, auxiliaries: ``ANTECEDENTS``) and the beginnings of lines mark spots in a text;
+the ``chain`` content words that follow a spot, common words and line ends between them passed over, form a signature
+with the spot's word itself; at the text's end there may be fewer of them. So every text with a content word has
+signatures by one scheme, lists and texts of other languages by their lines. The set of the signatures' 64-bit hashes,
+in order, is the fingerprint. Likeness of fingerprints is the Jaccard coefficient of their sets; two empty sets are
+alike.
 
 ``similar_pairs`` finds all likely copies: equal sets are one class; classes are partitioned by set length into bands
 whose bounds grow by 1 / threshold, so partners are in the same band or the next; they meet under the signatures of
@@ -30,6 +31,8 @@ ANTECEDENTS = (
     "au aux avec ce ces cette dans de du elle en est et il ils la le les leur mais ne ou par pas pour que qui sa se ses son sont sur un une "
     "al como con del el ella esta este fue ha la las lo los más no para pero por se sin su sus una y"
 )
+#: Stands for the beginning of a line.
+LINE = "¶"
 
 
 def _alternatives(words: list[str]) -> str:
@@ -45,26 +48,24 @@ def _alternatives(words: list[str]) -> str:
 
 
 def spot_pattern(antecedents: str, chain: int) -> str:
-    common = _alternatives(sorted(set(antecedents.split()))) + "(?![^ ])"
+    common = _alternatives(sorted({LINE, *antecedents.split()})) + "(?![^ ])"
     content = f"(?:{common} )*+(?!{common})[^ ]+ "
-    return f"(?<![^ ])(?=({common} {content * chain}))"
+    return f"(?<![^ ])(?=({common} (?:{content}){{1,{chain}}}))"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words, each followed by a space."""
-    return F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower-cased words and the marks of the lines' beginnings, each followed by a space."""
+    return F.concat(F.lit(f"{LINE} "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\n\r]+", f" {LINE} "), rf"[^\p{{L}}\p{{N}}{LINE}]+", " ")), F.lit(" "))
 
 
-def signatures(words: Column, antecedents: str = ANTECEDENTS, chain: int = 2, few: int = 3) -> Column:
+def signatures(words: Column, antecedents: str = ANTECEDENTS, chain: int = 2) -> Column:
     """The ordered set of signature hashes of a text given as ``words_of``."""
     spots = F.regexp_extract_all(words, F.lit(spot_pattern(antecedents, chain)), F.lit(1))
-    every = F.regexp_extract_all(words, F.lit("(?<![^ ])(?=((?:[^ ]+ ){1,%d}))" % (chain + 1)), F.lit(1))
-    hashed = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda x: F.crc32(x).cast("long"))))
-    return F.when(F.size(spots) >= few, hashed(spots)).otherwise(hashed(every))
+    return F.array_sort(F.array_distinct(F.transform(spots, lambda x: F.xxhash64(x))))
 
 
 def fingerprint(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

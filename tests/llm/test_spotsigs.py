@@ -6,21 +6,21 @@ from pyspark.sql import functions as F
 from cairn.llm import spotsigs as S
 
 
-def brute(text, chain=2, few=3):
-    common = set(S.ANTECEDENTS.split())
-    w = re.findall(r"[^\W_]+", (text or "").lower())
+def brute(text, chain=2):
+    common = {S.LINE, *S.ANTECEDENTS.split()}
+    w = [x for line in re.split(r"[\n\r]+", (text or "").lower()) for x in [S.LINE, *re.findall(r"[^\W_]+", line)]]
     out = []
     for i, a in enumerate(w):
         if a in common:
-            taken, n = [a], 0
+            taken, last, n = [a], 0, 0
             for x in w[i + 1:]:
                 taken.append(x)
-                n += x not in common
+                if x not in common:
+                    n, last = n + 1, len(taken)
                 if n == chain:
-                    out.append(" ".join(taken))
                     break
-    if len(out) < few:
-        out = [" ".join(w[i: i + chain + 1]) for i in range(len(w))]
+            if n:
+                out.append(" ".join(taken[:last]))
     return set(out)
 
 
@@ -29,7 +29,7 @@ def likeness(a, b):
 
 
 TEXT = "The cat sat on the mat, and the dog of Übergröße was not in the house. It is a fine day for a walk with friends"
-ROWS = [(1, TEXT), (2, TEXT.upper()), (3, None), (4, ""), (5, "alpha beta gamma delta"), (9, TEXT.replace("dog", "cow")), (7, "x"), (8, TEXT + " 😀 und der Hund läuft schnell"), (None, "the end of it all"), (12, TEXT)]
+ROWS = [(1, TEXT), (2, TEXT.upper()), (3, None), (4, ""), (5, "alpha beta gamma delta"), (9, TEXT.replace("dog", "cow")), (7, "x"), (8, TEXT + " 😀 und der Hund läuft schnell"), (None, "the end of it all"), (12, TEXT), (13, "one\ntwo three\r\n\nthe four\n"), (14, "the of and"), (15, "\n")]
 
 
 def test_equals_brute_force(spark):

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from ._store import fresh
@@ -173,9 +173,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     """``docs`` with ``ids`` and the character offsets ``starts`` and ``ends`` (arrays of int) of the text's tokens."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     added = [fresh(docs, name) for name in ("ids", "starts", "ends")]
-    schema = docs.schema
-    for name in added:
-        schema = schema.add(name, ArrayType(IntegerType()))
+    schema = StructType([*docs.schema, *(StructField(name, ArrayType(IntegerType())) for name in added)])
     at, kept = len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +192,8 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> D
     """``tokens`` with the joined ``bytes``, the ``decoded`` text and the array ``added`` of what each token adds to it."""
     held = tokens.sparkSession.sparkContext.broadcast(vocabulary)
     added = [fresh(tokens, name) for name in ("bytes", "decoded", "added")]
-    schema = tokens.schema
-    for name, kind in zip(added, (BinaryType(), StringType(), ArrayType(StringType()))):
-        schema = schema.add(name, kind)
+    kinds = (BinaryType(), StringType(), ArrayType(StringType()))
+    schema = StructType([*tokens.schema, *(StructField(name, kind) for name, kind in zip(added, kinds))])
     at, kept = len(tokens.columns), tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

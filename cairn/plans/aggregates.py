@@ -8,6 +8,7 @@ from cairn.functions import geometry as G
 from cairn.functions import hashing as H
 from cairn.operators import joins as J
 from cairn.operators import latest as L
+from cairn.operators import selection as S
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -23,24 +24,23 @@ def _latest(t):
     return L.latest(B.studies(t), ["subject"], "recorded", "study")
 
 
-def group_summary(df, group: str, value, threshold):
+def group_summary(df, group: str, value: str, threshold):
     """Per group over one value a subject: n, quartiles, extremes, count at or over a threshold."""
-    return df.groupBy(group).agg(
-        F.count(value).alias("n"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.percentile(value, 0.25), 6).alias("p25"), F.round(F.percentile(value, 0.75), 6).alias("p75"),
-        F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count_if(threshold).alias("over"),
-    )
+    wanted = {"median": S.linear(0.5), "p25": S.linear(0.25), "p75": S.linear(0.75)}
+    found = S.quantiles(df.select(group, value), [group], value, wanted, n=F.count(value), lowest=F.min(value), highest=F.max(value), over=F.count_if(threshold))
+    return found.select(group, "n", *[F.round(k, 6).alias(k) for k in wanted], "lowest", "highest", "over")
 
 
 @query("WITH " + _LATEST + " SELECT grp, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, min(value) AS lowest, max(value) AS highest, "
        "count(*) FILTER (value >= 250000) AS over FROM last GROUP BY grp")
 def agg_group_summary(t):
-    return group_summary(_latest(t), "grp", c("value"), c("value") >= 250000)
+    return group_summary(_latest(t), "grp", "value", c("value") >= 250000)
 
 
 @query("WITH " + _LATEST + " SELECT grp, count(angle) AS n, round(quantile_cont(angle, 0.5), 6) AS median, round(quantile_cont(angle, 0.25), 6) AS p25, round(quantile_cont(angle, 0.75), 6) AS p75, min(angle) AS lowest, max(angle) AS highest, "
        "count(*) FILTER (angle <= 90) AS over FROM (SELECT *, value / 3000 AS angle FROM last) GROUP BY grp")
 def agg_angle_summary(t):
-    return group_summary(_latest(t).withColumn("angle", c("value") / 3000), "grp", c("angle"), c("angle") <= 90)
+    return group_summary(_latest(t).withColumn("angle", c("value") / 3000), "grp", "angle", c("angle") <= 90)
 
 
 _PITCH = "CASE WHEN status <> 'P' THEN value / 10000 - 20 END"
@@ -50,35 +50,37 @@ _PITCH = "CASE WHEN status <> 'P' THEN value / 10000 - 20 END"
        "SELECT grp, count(*) AS n, round(quantile_cont(abs(pitch), 0.5), 6) AS median, max(abs(pitch)) AS highest, count(*) FILTER (abs(pitch) > 10) AS over FROM last GROUP BY grp")
 def agg_tilt_summary(t):
     pitched = B.studies(t).withColumn("pitch", F.expr(_PITCH)).where("pitch IS NOT NULL")
-    tilt = F.abs("pitch")
-    return L.latest(pitched, ["subject"], "recorded", "study").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(tilt, 0.5), 6).alias("median"), F.max(tilt).alias("highest"), F.count_if(tilt > 10).alias("over"))
+    tilts = L.latest(pitched, ["subject"], "recorded", "study").select("grp", F.abs("pitch").alias("tilt"))
+    found = S.quantiles(tilts, ["grp"], "tilt", {"median": S.linear(0.5)}, n=F.count(F.lit(1)), highest=F.max("tilt"), over=F.count_if(c("tilt") > 10))
+    return found.withColumn("median", F.round("median", 6))
 
 
 @query("WITH " + B.STUDIES + f" SELECT count(r) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.95), 6) AS p95, max(r) AS highest FROM (SELECT {_PITCH} AS r FROM studies)")
 def agg_rotation_summary(t):
-    r = F.expr(_PITCH)
-    return B.studies(t).agg(F.count(r).alias("n"), F.round(F.percentile(r, 0.5), 6).alias("median"), F.round(F.percentile(r, 0.95), 6).alias("p95"), F.max(r).alias("highest"))
+    r = B.studies(t).select(F.expr(_PITCH).alias("r"))
+    found = S.quantiles(r, [], "r", {"median": S.linear(0.5), "p95": S.linear(0.95)}, n=F.count("r"), highest=F.max("r"))
+    return found.select("n", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "highest")
 
 
 @query("SELECT p_brand, round(quantile_cont(p_retailprice, 0.1), 6) AS p10, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY p_brand")
 def agg_quantile_linear(t):
-    return t("part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", 0.1), 6).alias("p10"), F.round(F.percentile("p_retailprice", 0.9), 6).alias("p90"))
+    found = S.quantiles(t("part").select("p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", {"p10": S.linear(0.1), "p90": S.linear(0.9)})
+    return found.select("p_brand", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
 
 
 @query("SELECT p_brand, quantile_disc(p_retailprice, 0.05) AS p5, quantile_disc(p_retailprice, 0.5) AS p50, quantile_disc(p_retailprice, 0.95) AS p95 FROM part GROUP BY p_brand")
 def agg_quantile_nearest(t):
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY p_retailprice)")
-    return t("part").groupBy("p_brand").agg(rank(0.05).alias("p5"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    return S.quantiles(t("part").select("p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", {"p5": S.nearest(5), "p50": S.nearest(50), "p95": S.nearest(95)})
 
 
 @query("SELECT o_orderpriority, median(o_totalprice) AS median FROM orders GROUP BY o_orderpriority")
 def agg_median_avg(t):
-    return t("orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.5).alias("median"))
+    return S.quantiles(t("orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", {"median": S.linear(0.5)})
 
 
 @query("SELECT l_suppkey, -quantile_disc(-l_quantity, 0.5) AS upper FROM lineitem GROUP BY l_suppkey")
 def agg_median_upper(t):
-    return t("lineitem").groupBy("l_suppkey").agg((-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -l_quantity)")).alias("upper"))
+    return S.quantiles(t("lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity", {"upper": S.upper_median()})
 
 
 _PAIRS = B.STUDIES + ", " + B.AUTOMATIC + ", pairs AS (SELECT s.*, auto FROM studies s JOIN automatic a ON a.study = s.study)"
@@ -98,11 +100,10 @@ def agg_agreement(t):
        "SELECT arm, count(*) AS n, count(x) AS measured, count(*) FILTER (abs(x - y) / y <= 0.05) AS agreed, count(*) FILTER (x IS NULL) AS missed, round(median(abs(x - y)), 4) AS median, round(min(abs(x - y)), 4) AS lowest, round(max(abs(x - y)), 4) AS highest FROM arms GROUP BY arm")
 def agg_tolerance(t):
     arms = _pairs(t).select(F.expr("stack(3, 'plain', value, auto, 'scaled', value / 2, auto, 'open', CASE WHEN status = 'O' THEN value END, auto) AS (arm, x, y)"))
-    d = F.abs(c("x") - c("y"))
-    return arms.groupBy("arm").agg(
-        F.count(F.lit(1)).alias("n"), F.count("x").alias("measured"), F.count_if(d / c("y") <= 0.05).alias("agreed"), F.count_if(c("x").isNull()).alias("missed"),
-        F.round(F.percentile(d, 0.5), 4).alias("median"), F.round(F.min(d), 4).alias("lowest"), F.round(F.max(d), 4).alias("highest"),
-    )
+    arms = arms.withColumn("d", F.abs(c("x") - c("y")))
+    agreed, missed = F.count_if(c("d") / c("y") <= 0.05), F.count_if(c("x").isNull())
+    found = S.quantiles(arms, ["arm"], "d", {"median": S.linear(0.5)}, n=F.count(F.lit(1)), measured=F.count("x"), agreed=agreed, missed=missed, lowest=F.min("d"), highest=F.max("d"))
+    return found.select("arm", "n", "measured", "agreed", "missed", *[F.round(k, 4).alias(k) for k in ("median", "lowest", "highest")])
 
 
 @query("SELECT event_type AS code, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, code")
@@ -294,7 +295,7 @@ def pip_measurement_summary(t):
     matched = _pairs(t).agg(F.count(F.lit(1)).alias("matched"))
     total = B.automatic(t).agg(F.count(F.lit(1)).alias("total"))
     counts = matched.crossJoin(total).select("matched", (c("total") - c("matched")).alias("outside"))  # one row each
-    return group_summary(_latest(t), "grp", c("value"), c("value") >= 250000).crossJoin(F.broadcast(counts))
+    return group_summary(_latest(t), "grp", "value", c("value") >= 250000).crossJoin(F.broadcast(counts))
 
 
 cat.ORACLES["pip_measurement_summary"] = cat.ORACLES["pip_measurement_summary"].replace("WITH " + _LATEST, "WITH " + _LATEST + ", " + _PAIRS[len(B.STUDIES) + 2:])

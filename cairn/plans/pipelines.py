@@ -13,6 +13,7 @@ from cairn.operators import histograms as HG
 from cairn.operators import joins as J
 from cairn.operators import journal as JN
 from cairn.operators import rules as R
+from cairn.operators import selection as S
 from cairn.streaming import marking, retention
 
 from . import _bind as B
@@ -115,7 +116,9 @@ _OUTCOME = "CASE WHEN value > 450000 THEN 'failed' WHEN status = 'P' THEN 'refus
 
 @query("WITH " + B.STUDIES + f" SELECT {_OUTCOME} AS outcome, count(*) AS n, count(DISTINCT subject) AS subjects, -quantile_disc(-value, 0.5) AS upper_median FROM studies GROUP BY 1 ORDER BY n DESC, outcome")
 def pip_batch_outcomes(t):
-    s = B.studies(t).groupBy(F.expr(_OUTCOME).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("subjects"), (-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -value)")).alias("upper_median"))
+    s = B.studies(t).select(F.expr(_OUTCOME).alias("outcome"), "subject", "value")
+    subjects = s.groupBy("outcome", "subject").agg(F.lit(1)).groupBy("outcome").agg(F.count("subject").alias("subjects"))
+    s = S.quantiles(s, ["outcome"], "value", {"upper_median": S.upper_median()}, n=F.count(F.lit(1))).join(subjects, "outcome")
     return s.orderBy(F.desc("n"), "outcome")
 
 
@@ -129,8 +132,8 @@ def pip_pair_check(t):
 
 @query("WITH " + B.STUDIES + f" SELECT nation AS site, {_OUTCOME} AS outcome, count(*) AS n, quantile_disc(value, 0.05) AS p5, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM studies GROUP BY ALL")
 def pip_site_summary(t):
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return B.studies(t).groupBy(c("nation").alias("site"), F.expr(_OUTCOME).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), rank(0.05).alias("p5"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    s = B.studies(t).select(c("nation").alias("site"), F.expr(_OUTCOME).alias("outcome"), "value")
+    return S.quantiles(s, ["site", "outcome"], "value", {"p5": S.nearest(5), "p50": S.nearest(50), "p95": S.nearest(95)}, n=F.count(F.lit(1)))
 
 
 def _tags(t):

@@ -1,9 +1,10 @@
 """Voxel operators against dense arrays, and those against definitions, on random volumes that are no cubes."""
 
 import itertools
+import time
 
 import numpy as np
-
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,87 @@ def test_connectivity(grid):
     assert V.components(grid.where("false"), "vol", SHAPE).count() == 0
 
 
+@pytest.mark.parametrize("links", [1 << 18, 0])
+def test_components_of_many_slabs(spark, monkeypatch, links):
+    """Slabs of one or two slices; their links settled in one group a volume or over the cluster."""
+    shape = (6, 5, 9)
+    masks = rng.random((4, *shape[::-1])) < 0.45
+    rows = [tuple(map(int, (n, x, y, z))) for n, z, y, x in np.argwhere(masks)]
+    df = spark.createDataFrame(rows, "vol long, x int, y int, z int").repartition(5)
+    monkeypatch.setattr(V, "LINKS", links)
+    for voxels in (1, 60):
+        monkeypatch.setattr(V, "SLAB", voxels)
+        assert (dense(V.components(df, "vol", shape), "label", shape=masks.shape) == K.label(masks)).all()
+
+
+def test_components_in_slices(spark, monkeypatch):
+    shape = (7, 6, 3)
+    masks = rng.random((3, *shape[::-1])) < 0.5
+    df = spark.createDataFrame([tuple(map(int, (n, x, y, z))) for n, z, y, x in np.argwhere(masks)], "vol long, x int, y int, z int")
+    diagonal = [((2, 1), (3, 1)), ((2, 1), (3, -1)), ((2, -1), (3, 1)), ((2, -1), (3, -1))]
+    for offsets, corners in ((V.PLANE4, ()), (V.PLANE8, diagonal)):
+        want = np.where(masks, np.arange(1, masks[0].size + 1).reshape(masks.shape[1:]), masks[0].size + 1)
+        for _ in range(masks[0].size):
+            low = want
+            for steps in (*(((a, b),) for a in (2, 3) for b in (1, -1)), *corners):
+                moved = want
+                for axis, by in steps:
+                    moved = K.shifted(moved, axis, by, masks[0].size + 1)
+                low = np.minimum(low, moved)
+            want = np.where(masks, low, masks[0].size + 1)
+        got = dense(V.components(df, "vol", shape, offsets), "label", shape=masks.shape)
+        assert (got == np.where(masks, want, 0)).all()
+
+
+def test_one_large_volume(spark):
+    """64 x 64 x 200 voxels in several slabs and tasks: the labels of a plain flood over runs."""
+    shape = (64, 64, 200)
+    mask = rng.random(shape[::-1]) < 0.31
+    z, y, x = np.nonzero(mask)
+    df = spark.createDataFrame(pd.DataFrame({"vol": np.ones(len(x), np.int64), "x": x.astype(np.int32), "y": y.astype(np.int32), "z": z.astype(np.int32)}))
+    got = dense(V.components(df.withColumn("vol", F.lit(0)), "vol", shape), "label", shape=(1, *mask.shape))[0]
+    assert (got > 0).sum() == mask.sum()
+    for axis in range(3):
+        a, b = np.take(got, range(got.shape[axis] - 1), axis), np.take(got, range(1, got.shape[axis]), axis)
+        assert (a == b)[(a > 0) & (b > 0)].all()
+    place = np.arange(mask.size).reshape(mask.shape) + 1
+    label, first = np.unique(got[mask].astype(np.int64), return_index=True)
+    assert (label == place[mask][first]).all()  # named by its first voxel
+    assert (K.label(mask[None])[0] == got).all()
+
+
+def test_envelope_is_the_least_parabola():
+    for n in (1, 2, 9, 64):
+        for _ in range(60):
+            own = [float(x) for x in rng.choice([0.0, 1.0, 7.5, 100.0, np.inf], n)]
+            got = V._envelope(own, 1.3)
+            assert np.allclose(got, [min(own[j] + (1.3 * (i - j)) ** 2 for j in range(n)) for i in range(n)])
+
+
+def test_envelope_takes_linear_time():
+    times = {}
+    for n in (2_000, 64_000):
+        own = [float(x) for x in rng.choice([0.0, 50.0, np.inf], n, p=[0.01, 0.5, 0.49])]
+        began = time.process_time()
+        V._envelope(own, 1.0)
+        times[n] = time.process_time() - began
+    assert times[64_000] < 200 * max(times[2_000], 1e-4)  # 32 times the length; a thousand times if it were quadratic
+
+
+def test_conform_cuts_large_volumes(spark, monkeypatch):
+    """More than 5,000 voxels: the brightest thousandth lies above the cut; ranks found by refinement as well."""
+    shape = (20, 18, 16)
+    values = np.round(rng.gamma(2, 100, (2, *shape[::-1])), 2)
+    values[rng.random(values.shape) < 0.3] = 0
+    rows = [(int(n), int(x), int(y), int(z), float(values[n, z, y, x])) for n, z, y, x in np.ndindex(values.shape)]
+    df = spark.createDataFrame(rows, "vol long, x int, y int, z int, v double")
+    want = K.conform(values, (1.0, 1.0, 1.0), 16)
+    assert (want == 255).sum() >= 4
+    for most in (1 << 16, 100):
+        monkeypatch.setattr(V.SEL, "MOST", most)
+        assert np.allclose(dense(V.conform(df, "vol", "v", shape, (1.0, 1.0, 1.0), 16), "v", shape=want.shape), want)
+
+
 def test_along_lines(grid):
     got = dense(V.distance(grid.withColumn("m", F.col("v") > -1), "vol", "m", MM), "mm")
     assert np.allclose(got, K.distance(VALUES > -1, mm(MM)))

@@ -68,11 +68,20 @@ def src_dicom_scan(t):
 
 
 
-@query("SELECT page_id, CASE WHEN depth > 5 THEN 'tooDeep' WHEN n > 200000 THEN 'tooMany' WHEN length(html) > 4000 THEN 'tooLarge' ELSE 'read' END AS outcome FROM (SELECT *, row_number() OVER (ORDER BY url, page_id) AS n, length(url) - length(replace(url, '/', '')) AS depth FROM pages)")
+_PATH = "regexp_extract(url, '^[a-z]+://([^?#]*)', 1) || '#' || page_id"
+_WALK = (
+    "SELECT '{0}' AS walk, path, CASE WHEN n > {2} THEN 'tooMany' WHEN size > 4000 THEN 'tooLarge' ELSE 'read' END AS outcome FROM (SELECT *, row_number() OVER (ORDER BY depth, folder, name, path) AS n FROM f WHERE depth <= {1}) WHERE n <= {2} + 1 "
+    "UNION ALL SELECT '{0}', array_to_string(folder[1:{1} + 1], '/'), 'tooDeep' FROM f WHERE depth > {1} AND (SELECT count(*) FROM f WHERE depth <= {1}) <= {2} GROUP BY 1, 2"
+)
+
+
+@query(f"WITH p AS (SELECT {_PATH} AS path, length(html) AS size, string_split(path, '/') AS parts FROM pages), f AS (SELECT path, size, parts[1:-2] AS folder, parts[-1] AS name, len(parts) - 1 AS depth FROM p) "
+       + " UNION ALL ".join([_WALK.format("deep", 1, 10**9), _WALK.format("shallow", 2, 10**9), _WALK.format("short", 12, 30)]))
 def src_walk_limits(t):
-    """Limits of a walk: depth, number (counted before size) and size."""
-    pages = t("pages").select("page_id", "url", F.length("html").alias("size"), (F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit("")))).alias("depth"))
-    return files.limited(pages, c("depth"), c("size"), ["url", "page_id"], max_depth=5, max_files=200000, max_bytes=4000).select("page_id", "outcome")
+    """Walks over the pages' addresses as paths: folders too deep, files too large, and a budget of files that ends one."""
+    sized = t("pages").select(F.expr(_PATH).alias("path"), F.length("html").alias("size"))
+    walks = [files.walk(sized, depth, most, 4000).select(F.lit(name).alias("walk"), "path", "outcome") for name, depth, most in (("deep", 1, 10**9), ("shallow", 2, 10**9), ("short", 12, 30))]
+    return walks[0].unionByName(walks[1]).unionByName(walks[2])
 
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.sources import archives, dicom, documents, nifti, sinks
+from cairn.sources import archives, dicom, documents, files, nifti, sinks
 
 
 def element(group, number, kind, value):
@@ -96,3 +96,41 @@ def test_sinks(spark, tmp_path):
     assert [r.k for r in sinks.write_idempotent(df, df.where("k = 'k1'"), "k", "c").collect()] == ["k2"]
     with pytest.raises(Exception, match="another content"):
         sinks.write_idempotent(df, spark.createDataFrame([("k1", "z")], "k string, c string"), "k", "c").collect()
+
+
+def walked(paths, max_depth, max_files, max_bytes):
+    """The walk by an explicit queue of folders."""
+    sizes, out, queue, seen = dict(paths), [], [((), 0)], 0
+    while queue:
+        folder, depth = queue.pop(0)
+        if depth > max_depth:
+            out.append(("/".join(folder), "tooDeep"))
+            continue
+        below = [p.split("/") for p in sizes if tuple(p.split("/")[: len(folder)]) == folder]
+        queue += [((*folder, name), depth + 1) for name in sorted({p[len(folder)] for p in below if len(p) > len(folder) + 1})]
+        for p in sorted("/".join(p) for p in below if len(p) == len(folder) + 1):
+            seen += 1
+            if seen > max_files:
+                return [*out, (p, "tooMany")]
+            out.append((p, "tooLarge" if sizes[p] > max_bytes else "read"))
+    return out
+
+
+def test_walk_reaches_each_limit(spark, tmp_path):
+    paths = [("a", 5), ("b/a", 5), ("b/c/a", 50), ("b/c/d/e", 5), ("b/c/d/f", 5), ("b/c/g/h/i", 5), ("b/c/z", 5), ("B/é", 500), ("b-/x", 5), ("b/c.x/d/e", 1), ("z", 700)]
+    df = spark.createDataFrame(paths, "path string, size long").repartition(4)
+    kinds = set()
+    for depth in (0, 1, 2, 3, 9):
+        for most in (0, 1, 2, 5, 7, 11, 100):
+            want = walked(paths, depth, most, 400)
+            got = [tuple(r) for r in files.walk(df, depth, most, 400).collect()]
+            assert sorted(got) == sorted(want), (depth, most)
+            assert sum(o == "tooMany" for _, o in got) <= 1
+            kinds |= {o for _, o in got}
+    assert kinds == {"read", "tooDeep", "tooMany", "tooLarge"}
+    assert files.walk(df.limit(0)).count() == 0
+    for path, size in paths:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x" * size)
+    got = files.walk(files.listing(spark, str(tmp_path)), 2, 100, 400).collect()
+    assert sorted((r.path.replace("%C3%A9", "é"), r.outcome) for r in got) == sorted(walked(paths, 2, 100, 400))

@@ -5,6 +5,7 @@ import io
 import json
 import struct
 import tarfile
+import zlib
 
 import numpy as np
 import pytest
@@ -134,3 +135,86 @@ def test_walk_reaches_each_limit(spark, tmp_path):
         (tmp_path / path).write_bytes(b"x" * size)
     got = files.walk(files.listing(spark, str(tmp_path)), 2, 100, 400).collect()
     assert sorted((r.path.replace("%C3%A9", "é"), r.outcome) for r in got) == sorted(walked(paths, 2, 100, 400))
+
+
+def elements(order="<", kinds=True, **values):
+    """Elements by attribute name, in the order of their tags, with their kinds or without."""
+    out = b""
+    for tag, name in sorted(dicom.TAGS.items()):
+        if name not in values:
+            continue
+        v = values[name]
+        v = struct.pack(order + "H", v) if isinstance(v, int) else v if isinstance(v, bytes) else v.encode()
+        v += b"\0" * (len(v) % 2)
+        long = name in dicom.BINARY
+        head = (b"OW" if long else b"LO") + (struct.pack(order + "HI", 0, len(v)) if long else struct.pack(order + "H", len(v))) if kinds else struct.pack(order + "I", len(v))
+        out += struct.pack(order + "2H", *tag) + head + v
+    return out
+
+
+def nested(order="<", kinds=True, kind=b"SQ"):
+    """A sequence of open length: an item of open length that holds one of known length, and decoys of known tags."""
+    tag = lambda g, e, size: struct.pack(order + "2HI", g, e, size)
+    within = kinds and kind != b"UN"
+    begin = lambda g, e, size, k: struct.pack(order + "2H", g, e) + (k + struct.pack(order + "HI", 0, size) if within else struct.pack(order + "I", size))
+    decoy = elements(order, within, series="wrong", modality="CT")
+    inner = tag(0xFFFE, 0xE000, len(decoy)) + decoy
+    body = tag(0xFFFE, 0xE000, 0xFFFFFFFF) + decoy + begin(0x0008, 0x1199, len(inner), b"SQ") + inner + begin(0x0008, 0x1115, 0xFFFFFFFF, b"SQ") + tag(0xFFFE, 0xE0DD, 0) + tag(0xFFFE, 0xE00D, 0) + inner
+    head = struct.pack(order + "2H", 0x0008, 0x1140) + (kind + struct.pack(order + "HI", 0, 0xFFFFFFFF) if kinds else struct.pack(order + "I", 0xFFFFFFFF))
+    return head + body + tag(0xFFFE, 0xE0DD, 0)
+
+
+def file_of(body, syntax=dicom.EXPLICIT):
+    uid = syntax.encode() + b"\0" * (len(syntax) % 2)
+    return b"\0" * 128 + b"DICM" + struct.pack("<2H", 2, 0x10) + b"UI" + struct.pack("<H", len(uid)) + uid + body
+
+
+SLICE = dict(instance="1", modality="MR", series="9.9", rows=2, columns=3, bits=16, signed=1, slope="2", intercept="-1")
+
+
+@pytest.mark.parametrize("syntax", [dicom.EXPLICIT, dicom.IMPLICIT, dicom.BIG, dicom.DEFLATED])
+@pytest.mark.parametrize("kind", [b"SQ", b"UN"])
+def test_sequences_of_open_length_are_passed(syntax, kind):
+    order, kinds = (">" if syntax == dicom.BIG else "<"), syntax != dicom.IMPLICIT
+    pixels = np.arange(-3, 3).astype(order + "i2").tobytes()
+    known = elements(order, kinds, **SLICE, pixels=pixels)
+    cut = len(elements(order, kinds, instance="1", modality="MR"))
+    body = known[:cut] + nested(order, kinds, kind) + known[cut:]
+    if syntax == dicom.DEFLATED:
+        packer = zlib.compressobj(wbits=-15)
+        body = packer.compress(body) + packer.flush()
+    found = dicom.attributes(file_of(body, syntax))
+    assert (found["modality"], found["series"], found["rows"], found["pixels"]) == ("MR", "9.9", "2", pixels)
+    assert dicom.decoded({"float_pixels": None} | found).tolist() == [-7, -5, -3, -1, 1, 3]
+    assert dicom.attributes(file_of(body, syntax), pixels=False)["pixels"] == b""
+
+
+def test_cut_and_compressed_files(spark):
+    whole = file_of(elements(**SLICE, pixels=b"\0" * 12))
+    fragments = struct.pack("<2H", 0x7FE0, 0x10) + b"OB" + struct.pack("<HI", 0, 0xFFFFFFFF) + struct.pack("<2HI", 0xFFFE, 0xE000, 0) + struct.pack("<2HI", 0xFFFE, 0xE000, 4) + b"abcd" + struct.pack("<2HI", 0xFFFE, 0xE0DD, 0)
+    made = {"a": whole, "b": whole[:-3], "c": file_of(elements(**(SLICE | {"instance": "2"})) + fragments, "1.2.840.10008.1.2.4.50"), "d": b"", "e": file_of(nested()[:-4]), "f": file_of(elements(series="7", rows=1)), "g": file_of(elements(series="7", instance="5", body_part="neck", pixels=b"")), "h": file_of(elements(series="7", instance="6"))}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "path string, content binary")
+    found = dicom.rejections(dicom.parsed(df))
+    got = {r.path: r.rejection for r in found.collect()}
+    assert got == {"a": None, "b": "unreadable", "c": None, "d": "notDicom", "e": "unreadable", "f": "noPixels", "g": "notHead", "h": "noPixels"}
+    assert {r.path: r.refusal for r in dicom.placed(found.where("path = 'c'")).collect()} == {"c": "compressed"}
+    assert dicom.parsed(df.limit(0)).count() == 0 and dicom.volumes(found.limit(0)).count() == 0
+
+
+def test_series_that_are_no_volume(spark):
+    good = dict(rows=2, columns=3, bits=16, signed=0, orientation="1\\0\\0\\0\\1\\0", pixels=b"\1\0" * 6)
+    bad = {
+        "fine": [{}, {}], "compressed": [{}, {"syntax": "1.2.840.10008.1.2.4.70"}], "bits": [{}, {"bits": 32}], "samples": [{"samples": 3}, {}], "noDimensions": [{"rows": 0}, {}], "tooManyVoxels": [{"rows": 60000, "columns": 60000}, {}],
+        "otherDimensions": [{}, {"rows": 1}, {"signed": 1}], "otherFormat": [{}, {"signed": 1}, {"rows": 1}], "shortPixels": [{}, {"pixels": b"\1\0" * 5}, {"rows": 3}],
+    }
+    rows = []
+    for code, parts in bad.items():
+        for k, part in enumerate(parts):
+            v = good | {"series": code, "instance": f"{code}{k}", "position": f"0\\0\\{-k}"} | part
+            rows.append((f"{code}/{k}", bytearray(file_of(elements(**{n: x for n, x in v.items() if n != "syntax"}), v.get("syntax", dicom.EXPLICIT)))))
+    files_ = dicom.parsed(spark.createDataFrame(rows, "path string, content binary").repartition(5))
+    got = dicom.placed(files_).collect()
+    assert {r.series: r.refusal for r in got} == {code: None if code == "fine" else code for code in bad}
+    assert [(r.path, r.place) for r in sorted(got) if r.series == "fine"] == [("fine/0", 1), ("fine/1", 0)]  # along the normal, not by name
+    (v,) = dicom.volumes(files_).collect()
+    assert (v.series, v.slices, v.voxels) == ("fine", 2, [1.0] * 12) and dicom.slices(files_).count() == 2

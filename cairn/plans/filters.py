@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 from cairn.functions import text as T
+from cairn.operators import bloom
 from cairn.operators import rules as R
+from cairn.operators.store import durable
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -173,21 +177,46 @@ def flt_secret_leak(t):
 def leaking(texts, secrets, gram: int = 5):
     """Rows of ``texts`` (with ``text``), once for each row of ``secrets`` (item_id, secret, neutral) that leaks there.
 
-    Keys: the whole value for neutral secrets, tokens for short numbers, and for all others the first ``gram``
-    characters; shorter ones, by their own length, are looked up among the text's runs of that length.
+    Keys: the whole value for neutral secrets, tokens for short numbers, and for all others the first ``gram`` bytes (7
+    at most), or all of a shorter one, as a number with their length. A scan of the texts keeps the keys that a Bloom
+    filter of the secrets' keys lets pass; only these become rows, meet the secrets by a join and are verified.
     """
     low = F.lower("secret")
     kind = F.when(c("neutral"), 0).when(T.short_number(c("secret")), 1).otherwise(2)
-    value = F.when(c("kind") == 0, low).when(c("kind") == 1, T.bare_number(c("secret"))).otherwise(F.left(low, F.lit(gram)))
-    keyed = secrets.withColumn("kind", kind).withColumn("value", value).where("value IS NOT NULL").withColumn("h", F.xxhash64("kind", "value"))
-    sizes = [r.n for r in keyed.where("kind = 2").select(F.length("value").alias("n")).distinct().collect()]
-    text = F.lower("text")
-    runs = [F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit("")) for n in sorted(sizes)]
-    probes = [(0, F.array(F.lower(F.trim("text")))), (1, T.numeric_tokens(c("text"))), *((2, r) for r in runs)]
-    hashes = lambda k, found: F.transform(found, lambda x: F.xxhash64(F.lit(k), x))
-    hashed = F.array_distinct(F.concat(*[hashes(k, found) for k, found in probes]))
+    size = F.least(F.octet_length(low), F.lit(gram)).cast("long")
+    packed = F.coalesce(F.conv(F.hex(F.substring(F.encode(low, "UTF-8"), 1, gram)), 16, 10).cast("long"), F.lit(0)) + size * F.lit(1 << 56)
+    value = F.when(c("kind") == 0, low).when(c("kind") == 1, T.bare_number(c("secret")))
+    keyed = secrets.withColumn("kind", kind).where("secret IS NOT NULL").withColumn("h", F.when(c("kind") == 2, packed).otherwise(F.xxhash64("kind", value)))
+    keyed = durable(keyed.select("item_id", "secret", "neutral", "kind", "h", F.when(c("kind") == 2, size).alias("size")))
+    sizes = sorted(r[0] for r in keyed.where("kind = 2").select("size").distinct().collect())
+    held = texts.sparkSession.sparkContext.broadcast(bloom.table(keyed, "h"))
+
+    def scan(batches):
+        for batch in batches:
+            keys, low, others = batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)
+            ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset: low.offset + len(low) + 1]
+            data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]].astype(np.int64)
+            ends = ends - ends[0]
+            rows, found = [np.repeat(np.arange(len(keys)), others.value_lengths().to_numpy(zero_copy_only=False))], [others.flatten().to_numpy(zero_copy_only=False)]
+            owner = np.repeat(np.arange(len(keys)), np.diff(ends))
+            for n in sizes:
+                number, count = np.zeros(max(0, len(data) - n + 1), np.int64), max(0, len(data) - n + 1)
+                for k in range(n):
+                    number = number << 8 | data[k: k + count]
+                own = owner[:count] if n else np.arange(len(keys))
+                number = number if n else np.zeros(len(keys), np.int64)
+                inside = own == owner[n - 1: n - 1 + count] if n > 1 else np.ones(len(own), bool)
+                rows.append(own[inside])
+                found.append(number[inside] + (n << 56))
+            row, h = np.concatenate(rows), np.concatenate(found)
+            some = bloom.may_hold(held.value, h)
+            row, h = np.unique(np.stack([row[some], h[some]]), axis=1)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(h)], ["text_key", "h"])
+
     rows = texts.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    met = rows.select("text_key", F.explode(hashed).alias("h")).join(keyed, "h").select("text_key", "item_id", "secret", "neutral").distinct()
+    whole = F.array_append(F.transform(T.numeric_tokens(c("text")), lambda x: F.xxhash64(F.lit(1), x)), F.xxhash64(F.lit(0), F.lower(F.trim("text"))))
+    met = rows.select("text_key", F.lower("text").alias("low"), whole.alias("others")).mapInArrow(scan, "text_key long, h long")
+    met = durable(met.join(keyed, "h").select("text_key", "item_id", "secret", "neutral").distinct())
     return rows.join(met, "text_key").where(T.leaks(c("text"), c("secret"), c("neutral")))
 
 

@@ -12,8 +12,10 @@ from cairn.functions.uid import remapped
 from cairn.operators import histograms as HG
 from cairn.operators import joins as J
 from cairn.operators import journal as JN
+from cairn.operators import publish
 from cairn.operators import rules as R
 from cairn.operators import selection as S
+from cairn.operators.store import fresh_path
 from cairn.streaming import marking, retention
 
 from . import _bind as B
@@ -94,10 +96,13 @@ def pip_dataset_demographics(t):
 
 @query("SELECT o_custkey, count(DISTINCT o_orderkey) AS studies, count(l_orderkey) AS files, substr(sha256(string_agg(coalesce(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice::DECIMAL(18,2), ''), '|' ORDER BY coalesce(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice::DECIMAL(18,2), ''))), 1, 16) AS content FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def pip_dataset_build(t):
-    """The frozen dataset: studies and files of each subject, with a hash of their contents."""
+    """The frozen dataset, staged and published in one step: studies and files of each subject, with a hash of their contents."""
     j = t("orders").join(t("lineitem"), c("o_orderkey") == c("l_orderkey"), "left")
     name = F.coalesce(F.concat(c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string"), F.lit("-"), c("l_partkey").cast("string"), F.lit("-"), c("l_extendedprice").cast("decimal(18,2)").cast("string")), F.lit(""))
-    return j.groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("studies"), F.count("l_orderkey").alias("files"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "|"), 256), 1, 16).alias("content"))
+    root = fresh_path(j.sparkSession)
+    publish.replace(j.select("o_custkey", "o_orderkey", "l_orderkey", name.alias("name")), root)
+    name = c("name")
+    return publish.read(j.sparkSession, root).groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("studies"), F.count("l_orderkey").alias("files"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "|"), 256), 1, 16).alias("content"))
 
 
 @query("WITH " + B.SERIES + f", f AS (SELECT study, bool_or(volume) AS volumetric, bool_or(p = 'Coronal') AS angle, bool_or(weighting = 'Flair') AS lesions FROM (SELECT *, {PLANE_SQL} AS p FROM series) GROUP BY study), n AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('9:' || o_custkey), o_custkey) AS k FROM (SELECT DISTINCT o_custkey FROM orders)) "

@@ -9,6 +9,8 @@ from cairn.operators import histograms as HG
 from cairn.operators import joins as J
 from cairn.operators import journal as JN
 from cairn.operators import latest as L
+from cairn.operators import publish
+from cairn.operators.store import fresh_path
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -158,9 +160,11 @@ def win_chain_build(t):
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, event_id, '{{\"event\":\"' || (SELECT payload FROM ordered o WHERE o.user_id = chain.user_id AND o.n = chain.n) || '\",\"previousHash\":\"' || prev || '\",\"hash\":\"' || hash || '\"}}' AS line FROM chain")
 def sink_append_chain(t):
-    """The journal's lines as they are written, each with the hash of the one before it."""
+    """The journals' lines, each with the hash of the one before it, appended to a published table and read from it."""
     rows = JN.chained(_journal(t), "user_id", "event_id", "payload")
-    return rows.select("user_id", "event_id", F.to_json(F.struct(c("payload").alias("event"), c("prev").alias("previousHash"), "hash")).alias("line"))
+    root = fresh_path(rows.sparkSession)
+    publish.update(rows.sparkSession, root, lambda head: (rows, False, lambda staged: {}))
+    return publish.read(rows.sparkSession, root).select("user_id", "event_id", F.to_json(F.struct(c("payload").alias("event"), c("prev").alias("previousHash"), "hash")).alias("line"))
 
 
 _TAMPERED = "(user_id * 7 + n) % 97 = 5"

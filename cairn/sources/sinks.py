@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import publish
+
 
 def canonical_json(value: Column) -> Column:
     """Fields in the struct's order, nulls written out."""
@@ -43,5 +45,17 @@ def write_idempotent(new: DataFrame, stored: DataFrame | None, key: str, content
     return joined.where(new_row).drop("__k", "__c")
 
 
+def append_idempotent(new: DataFrame, root: str, key: str, content: str) -> None:
+    """Publishes the rows of ``new`` that the table below ``root`` lacks, all or none; see ``write_idempotent``. Two writers of
+    the same key can't both store it: the second begins again from what the first has published."""
+    spark = new.sparkSession
+
+    def make(head: publish.Manifest):
+        stored = publish.read(spark, root, head.version) if head.version else None
+        return write_idempotent(new, stored, key, content), False, lambda staged: {}
+
+    publish.update(spark, root, make)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ";", header: bool = True) -> None:
     df.write.option("sep", sep).option("quote", '"').option("escape", '"').option("header", header).csv(path)

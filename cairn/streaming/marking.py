@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 State = tuple[int, list[float]]
 
@@ -51,15 +52,55 @@ def folded(events: DataFrame, key: str, order: str, full: int) -> DataFrame:
     return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
-def folded_stream(events: DataFrame, key: str, order: str, full: int) -> DataFrame:
-    """The same over a stream: the state of a session is kept between batches, and each batch gives its news."""
+_OUT = "k long, plane int, n_points int, complete boolean"
+_NEWS = ["k", "plane", "n_points", "complete"]
 
-    def run(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        plane, points = kept.get if kept.exists else (-1, [])
-        state: State = (plane, list(points))
-        for row in pd.concat(list(batches)).sort_values(order).itertuples():
-            state = step(state, row.action, int(row.plane), float(row.x), full)
-        kept.update(state)
-        yield pd.DataFrame([(group[0], state[0], len(state[1]), len(state[1]) >= full)], columns=[key, "plane", "n_points", "complete"])
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, plane int, n_points int, complete boolean", "plane int, points array<double>", "update", GroupStateTimeout.NoTimeout)
+class _Session(StatefulProcessor):
+    """The fold of one session. Events wait, by number, until the watermark has passed them, so that late ones are folded in
+    order and repeated ones once; a session without events for ``idle_ms`` of event time is forgotten."""
+
+    def __init__(self, full: int, idle_ms: int):
+        self.full, self.idle_ms = full, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "n long", "ms long, action string, plane int, x double")
+        self.marks = handle.getValueState("marks", "plane int, points array<double>, n long, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.marks.get()[2] if self.marks.exists() else None
+        for part in rows:
+            for n, ms, action, plane, x in zip(part["n"], part["ms"], part["action"], part["plane"], part["x"]):
+                if (last is None or n > last) and not self.waiting.containsKey((int(n),)):
+                    self.waiting.updateValue((int(n),), (int(ms), action, int(plane), float(x)))
+                    self.handle.registerTimer(int(ms))
+        yield pd.DataFrame(columns=_NEWS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        plane, points, last, ms = self.marks.get() if self.marks.exists() else (-1, [], -(2**63), at)
+        due = sorted((k[0], *v) for k, v in self.waiting.iterator() if v[0] <= at)
+        state: State = (plane, list(points))
+        for n, when, action, to, x in due:
+            state = step(state, action, to, x, self.full)
+            self.waiting.removeKey((n,))
+            last, ms = max(last, n), max(ms, when)
+        if due:
+            self.marks.update((state[0], state[1], last, ms))
+            self.handle.registerTimer(ms + self.idle_ms)
+            yield pd.DataFrame([(key[0], state[0], len(state[1]), len(state[1]) >= self.full)], columns=_NEWS)
+        else:
+            if at >= ms + self.idle_ms and not any(True for _ in self.waiting.keys()):
+                self.marks.clear()
+            yield pd.DataFrame(columns=_NEWS)
+
+
+def folded_stream(events: DataFrame, key: str, order: str, time: str, full: int, delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """The same over a stream: (key, plane, n_points, complete) of a session whenever the watermark, ``delay`` behind the
+    newest event ``time``, has passed events of it. The state of a session goes when nothing has come for ``idle_ms`` of
+    event time; what comes later than the watermark is dropped, as everywhere in Spark. Needs the RocksDB state store."""
+    ms = (F.unix_micros(time) / 1000).cast("long")
+    rows = events.withWatermark(time, delay).select(F.col(key).cast("long").alias("k"), F.col(order).cast("long").alias("n"), time, ms.alias("ms"), "action", F.col("plane").cast("int").alias("plane"), F.col("x").cast("double").alias("x"))
+    out = rows.groupBy("k").transformWithStateInPandas(_Session(full, idle_ms), _OUT, "Update", "EventTime")
+    return out.withColumnRenamed("k", key)

@@ -166,6 +166,18 @@ def vox_conform(t):
 
 
 
+@query(f"{_V}, blocks AS (SELECT vol // 125 AS block, v FROM voxels), k AS (SELECT block, min(v) AS low, floor(count(*) FILTER (v > 0) * 0.001)::BIGINT AS above FROM blocks GROUP BY block), "
+       "n AS (SELECT block, v, row_number() OVER (PARTITION BY block ORDER BY v DESC) AS n FROM blocks), h AS (SELECT n.block, low, v AS high FROM n JOIN k ON k.block = n.block AND n.n = 1 + above) "
+       "SELECT block, sum(q) AS total, count(*) FILTER (q = 255) AS at_top FROM (SELECT b.block, CASE WHEN v = 0 THEN 0 ELSE least(greatest(round_even((v - low) * (255 / greatest(high - low, 1e-12)), 0), 0), 255) END AS q FROM blocks b JOIN h ON h.block = b.block) GROUP BY block")
+def vox_conform_cut(t):
+    """Volumes of 20 x 20 x 20 voxels conformed, where the brightest thousandth of the filled voxels is cut."""
+    i = 64 * (c("vol") % 125) + c("x") + 4 * c("y") + 16 * c("z")
+    blocks = B.voxels(t).select(F.floor(c("vol") / 125).alias("block"), (i % 20).cast("int").alias("x"), (F.floor(i / 20) % 20).cast("int").alias("y"), F.floor(i / 400).cast("int").alias("z"), "v")
+    cube = V.conform(blocks, "block", "v", (20, 20, 20), (1.0, 1.0, 1.0), 20)
+    return cube.groupBy("block").agg(F.sum("v").alias("total"), F.count_if(c("v") == 255).alias("at_top"))
+
+
+
 _W = "CASE abs(a.z - b.z) WHEN 0 THEN 1 ELSE exp(-((a.z - b.z) ** 2) / 2.0) END"
 
 

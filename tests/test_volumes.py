@@ -169,6 +169,16 @@ def test_one_large_volume(spark):
     assert (K.label(mask[None])[0] == got).all()
 
 
+def test_chamfer_lengths_take_two_passes():
+    for _ in range(40):
+        off = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        got, at = V._chamfer(off), np.argwhere(off)
+        for p in np.ndindex(off.shape):
+            d = np.abs(at - p)
+            want = (d.max(axis=1) + (2**0.5 - 1) * d.min(axis=1)).min() if len(at) else np.inf
+            assert np.isclose(got[p], want)
+
+
 def test_envelope_is_the_least_parabola():
     for n in (1, 2, 9, 64):
         for _ in range(60):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.operators import segmentation as SG
 from cairn.operators import volumes as V
 from cairn.operators.store import durable
 
@@ -350,3 +351,16 @@ def mea_slice_evans(t):
     widest = one.groupBy("vol", "y").agg(extent(c("v") <= 0.0).alias("w")).groupBy("vol").agg(F.max("w").alias("w"))
     skull = one.groupBy("vol").agg(extent(c("v") > -0.2).alias("skull"))
     return widest.join(skull, "vol").select("vol", F.round(c("w") / c("skull"), 9).alias("evans"))
+
+
+#: The paths' rules at the size of the tables' volumes.
+PATH_RULES = SG.Rules(depth=0.9, closing_voxels=1, growth=1.2, least_ml=0.002, core_closing=1.0, core_thickness=0.9, core_depth=0.9, core_ml=0.001, core_growth=1.2, core_rim=1.0, shell=(0.9, 2), smoothing=2.0, smoothed_margin=0.9, least_voxels=1, most_fluid=0.6, least_side=0.1)
+
+
+@query()
+def vox_segment_paths(t):
+    """Every volume's segmentation path or refusal, and the voxels found."""
+    grid = B.voxels(t)
+    mask, verdicts = SG.segment(grid, "vol", "v", _SHAPE, _MM, rules=PATH_RULES)
+    sizes = mask.groupBy("vol").agg(F.count(F.lit(1)).alias("voxels"))
+    return verdicts.join(sizes, "vol", "left").select("vol", "path", "refusal", F.coalesce("voxels", F.lit(0)).alias("voxels"))

@@ -210,7 +210,12 @@ def leaking(texts, secrets, gram: int = 5):
                 found.append(number[inside] + (n << 56))
             row, h = np.concatenate(rows), np.concatenate(found)
             some = bloom.may_hold(held.value, h)
-            row, h = np.unique(np.stack([row[some], h[some]]), axis=1)
+            row, h = row[some], h[some]
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            row, h = row[new], h[new]
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(h)], ["text_key", "h"])
 
     rows = texts.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))

@@ -178,9 +178,9 @@ def of_components(labels: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return labels.join(chosen.select(key, "label"), [key, "label"], "left_semi").select(key, *AXES)
 
 
-def reconstruct(seeds: DataFrame, within: DataFrame, key: str, shape: Shape) -> DataFrame:
+def reconstruct(seeds: DataFrame, within: DataFrame, key: str, shape: Shape, offsets: tuple[Shape, ...] = FACES) -> DataFrame:
     """What of ``within`` is connected to a seed in it."""
-    labels = durable(components(within, key, shape))
+    labels = durable(components(within, key, shape, offsets))
     return of_components(labels, labels.join(seeds.select(key, *AXES), [key, *AXES], "left_semi").select(key, "label").distinct(), key)
 
 
@@ -344,27 +344,29 @@ def project_back(df: DataFrame, key: str, value: str, side: int, shape: Shape, s
     return _looked_up(df, key, value, shape, lambda i, a: F.rint((i - (shape[a] - 1) / 2) * F.lit(spacing[a]) + (side - 1) / 2), (side,) * 3)
 
 
-def _chamfer(off: np.ndarray) -> np.ndarray:
-    """The chamfer length (steps of 1 and the root of 2) from each pixel of a slice to the nearest one that is set, in two passes."""
+def _chamfer(off: np.ndarray, pixel: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """The chamfer length (steps of a pixel's width, height and diagonal) from each pixel of a slice to the nearest one that is set, in two passes."""
     d = np.where(off, 0.0, np.inf)
-    at = np.arange(d.shape[1], dtype=float)
+    (wide, high), diagonal = pixel, math.hypot(*pixel)
+    at = np.arange(d.shape[1], dtype=float) * wide
     for rows in (range(len(d)), range(len(d) - 1, -1, -1)):
         above = None
         for y in rows:
             row = d[y]
             if above is not None:
-                row = np.minimum(row, above + 1)
-                row[1:] = np.minimum(row[1:], above[:-1] + 2**0.5)
-                row[:-1] = np.minimum(row[:-1], above[1:] + 2**0.5)
+                row = np.minimum(row, above + high)
+                row[1:] = np.minimum(row[1:], above[:-1] + diagonal)
+                row[:-1] = np.minimum(row[:-1], above[1:] + diagonal)
             row = np.minimum.accumulate(row - at) + at
             row = (np.minimum.accumulate((row + at)[::-1]))[::-1] - at
             d[y] = above = row
     return d
 
 
-def opened(mask: DataFrame, key: str, shape: Shape, radius: float) -> DataFrame:
-    """Opening per slice: voxels within the chamfer length ``radius`` of one whose surroundings so far are all mask; what
-    lies outside the slice counts as mask. A slice is one row, and a length takes two passes over it, whatever the radius."""
+def opened(mask: DataFrame, key: str, shape: Shape, radius: float, pixel: tuple[float, float] = (1.0, 1.0), at_least: bool = False) -> DataFrame:
+    """Opening per slice: voxels within the chamfer length ``radius`` of one whose surroundings so far are all mask (with
+    ``at_least``, that is ``radius`` or more from the rest); what lies outside the slice counts as mask. Lengths are in
+    units of ``pixel``. A slice is one row, and a length takes two passes over it, whatever the radius."""
     nx, ny, _ = shape
     kind = mask.schema[key].dataType.simpleString()
     rows = mask.groupBy(key, "z").agg(F.collect_set((F.col("x") + nx * F.col("y")).cast("int")).alias("places"))
@@ -375,8 +377,8 @@ def opened(mask: DataFrame, key: str, shape: Shape, radius: float) -> DataFrame:
             for k, places in enumerate(batch.column(2)):
                 own = np.zeros(nx * ny, bool)
                 own[np.asarray(places.values)] = True
-                core = own & (_chamfer(~own.reshape(ny, nx)).ravel() > radius + 1e-9)
-                kept = np.flatnonzero(own & (_chamfer(core.reshape(ny, nx)).ravel() <= radius + 1e-9)) if core.any() else found[0]
+                core = own & (_chamfer(~own.reshape(ny, nx), pixel).ravel() > radius + (-1e-9 if at_least else 1e-9))
+                kept = np.flatnonzero(own & (_chamfer(core.reshape(ny, nx), pixel).ravel() <= radius + 1e-9)) if core.any() else found[0]
                 found.append(kept)
                 owner.append(np.full(len(kept), k))
             at, of = np.concatenate(found), pa.array(np.concatenate(owner))

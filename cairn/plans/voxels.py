@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.operators import evans as EV
 from cairn.operators import segmentation as SG
 from cairn.operators import volumes as V
 from cairn.operators.store import durable
 
 from . import _bind as B
 from ._catalogue import Catalogue
+from .windows import _OTSU
 
 cat = Catalogue()
 query = cat.query
@@ -324,23 +326,100 @@ def vox_overlay_review(t):
     return B.voxels(t).select("vol", "x", "y", "z", F.when(c("v") > 0.2, 1).when(c("v") > 0.1, 2).otherwise(0).alias("overlay"))
 
 
-@query()
+#: Heads are 4 embeddings, a slice of 8 x 8 voxels each; most of a head is bright.
+_HEAD_SHAPE = (8, 8, 4)
+_HEADS = (
+    "WITH RECURSIVE " + B.VOXELS.replace("voxels AS", "small AS", 1) + ", plain AS (SELECT vol // 4 AS vol, ((x + 4 * y + 16 * z) % 8)::INT AS x, ((x + 4 * y + 16 * z) // 8)::INT AS y, (vol % 4)::INT AS z, v FROM small), "
+    "voxels AS (SELECT vol, x, y, z, 1 + least(v, 0.02::DOUBLE) AS v FROM plain), heads AS (SELECT DISTINCT vol FROM plain), " + _OTSU + ", thr AS (SELECT vol, lo + (bin + 1.0::DOUBLE) * (hi - lo) / 256 AS threshold FROM q JOIN lim USING (vol) "
+    "QUALIFY row_number() OVER (PARTITION BY vol ORDER BY variance DESC, bin) = 1), g AS (SELECT vol, x, y, z, v, threshold, v > threshold AS bright FROM voxels JOIN thr USING (vol))"
+)
+EVANS_RULES = EV.Rules(frontal=(0.0, 0.7), frontal_of_slices=(0.25, 0.75), midline_reach=0.9, least_side=0.45, separation=0.9, widest_band=1.8, opening=1.0)
+
+#: From mask m: the widest central line h (vol, plane, line, first, last) whose step from the front is between two shares of its extent.
+_HORNS = (
+    "ext AS (SELECT vol, min(y) AS low, max(y) - min(y) AS span FROM m GROUP BY vol), mid AS (SELECT vol, z, avg(a) AS middle FROM (SELECT vol, z, (min(x) + max(x)) / 2 AS a FROM g WHERE bright GROUP BY vol, z, y) GROUP BY vol, z), "
+    "r AS (SELECT vol, z, x, y, x AS sx, y AS sy FROM m UNION SELECT n.vol, n.z, n.x, n.y, r.sx, r.sy FROM r JOIN m n ON n.vol = r.vol AND n.z = r.z AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1), "
+    "central AS (SELECT DISTINCT r.vol, r.z, r.x, r.y FROM r JOIN mid ON mid.vol = r.vol AND mid.z = r.z WHERE abs(sx - middle) <= 0.9 / 0.9), "
+    "h AS (SELECT vol, z AS plane, y AS line, first, last FROM (SELECT vol, z, y, min(x) AS first, max(x) AS last FROM central GROUP BY ALL) JOIN ext USING (vol) JOIN mid USING (vol, z) "
+    "WHERE y - low BETWEEN floor(span * {0}::DOUBLE) AND floor(span * {1}::DOUBLE) AND first <= middle - 0.5 AND last >= middle + 0.5 QUALIFY row_number() OVER (PARTITION BY vol ORDER BY last - first DESC, z, y - low) = 1)"
+)
+#: From h and tissue u of its slices: the widest inner line sk of the skull.
+_SKULL = (
+    "lit AS (SELECT g.vol, g.x, g.y FROM g JOIN h ON h.vol = g.vol AND g.z = h.plane WHERE bright), core AS (SELECT vol, x, y FROM u a WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 AND (SELECT count(*) FROM u n WHERE n.vol = a.vol AND abs(n.x - a.x) + abs(n.y - a.y) = 1) = 4), "
+    "seed AS (SELECT vol, x, y FROM core JOIN h USING (vol) QUALIFY row_number() OVER (PARTITION BY vol ORDER BY abs(x - floor((first + last) / 2)) + abs(y - line), y, x) = 1), "
+    "reach AS (SELECT vol, x, y FROM seed UNION SELECT k.vol, k.x, k.y FROM reach s JOIN core k ON k.vol = s.vol AND abs(k.x - s.x) + abs(k.y - s.y) = 1), "
+    "brain AS (SELECT vol, x, y FROM reach UNION SELECT u.vol, u.x, u.y FROM u JOIN reach s ON u.vol = s.vol AND abs(u.x - s.x) + abs(u.y - s.y) = 1 WHERE u.x BETWEEN 1 AND 6 AND u.y BETWEEN 1 AND 6), "
+    "bands AS (SELECT e.vol, e.y, f, l, min(f - 1 - lit.x) FILTER (lit.x < f) AS lb, min(lit.x - l - 1) FILTER (lit.x > l) AS rb FROM (SELECT vol, y, min(x) AS f, max(x) AS l FROM brain GROUP BY ALL) e JOIN lit ON lit.vol = e.vol AND lit.y = e.y GROUP BY ALL), "
+    "sk AS (SELECT vol, y AS skull_line, f - lb / 2 AS skull_first, l + rb / 2 AS skull_last FROM bands WHERE lb < 2 AND rb < 2 QUALIFY row_number() OVER (PARTITION BY vol ORDER BY l - f + 1 + (lb + rb) / 2 DESC, y) = 1)"
+)
+
+
+def _evans_sql(width: str, earlier: str = "", more: str = "") -> str:
+    """Every volume's row from h and sk."""
+    cells = ", ".join(f"CASE WHEN refusal IS NULL THEN {k} END AS {k}" for k in ("plane", "line", "first", "last", "skull_line", "skull_first", "skull_last"))
+    return (
+        f"every AS (SELECT heads.vol, {width} AS width, h.* EXCLUDE (vol), sk.* EXCLUDE (vol), CASE {earlier} WHEN h.plane IS NULL THEN 'frontalHornsNotFound' WHEN sk.skull_line IS NULL THEN 'innerSkullNotFound' END AS refusal "
+        f"FROM heads LEFT JOIN h ON h.vol = heads.vol LEFT JOIN sk ON sk.vol = heads.vol {more}) SELECT vol, refusal, CASE WHEN refusal IS NULL THEN round(width / (skull_last - skull_first + 1), 9) END AS evans, {cells} FROM every"
+    )
+
+
+def _head_voxels(t):
+    i = c("x") + 4 * c("y") + 16 * c("z")
+    return B.voxels(t).select(F.floor(c("vol") / 4).alias("vol"), (i % 8).cast("int").alias("x"), F.floor(i / 8).cast("int").alias("y"), (c("vol") % 4).cast("int").alias("z"), "v")
+
+
+def _evans_heads(t) -> EV.Heads:
+    return EV.Heads(_head_voxels(t).withColumn("v", 1 + F.least("v", F.lit(0.02))), "vol", "v", _HEAD_SHAPE, _MM, EVANS_RULES)
+
+
+def _head_list(t, *more):
+    """(vol, more) of every head."""
+    return t("embeddings").select(F.floor(c("vec_id") / 4).alias("vol")).distinct().select("vol", *more)
+
+
+def _evans_rows(found):
+    return found.select("vol", "refusal", F.round("evans", 9).alias("evans"), "plane", "line", "first", "last", "skull_line", "skull_first", "skull_last")
+
+
+_T1 = "{}vol % 7 <> 0"
+
+
+@query(f"{_HEADS}, m AS (SELECT vol, x, y, z FROM plain WHERE v < -0.05), {_HORNS.format(0.0, 0.7)}, u AS (SELECT g.vol, g.x, g.y FROM g JOIN h ON h.vol = g.vol AND g.z = h.plane WHERE bright OR g.v - 1 < -0.05), {_SKULL}, "
+       + _evans_sql("last - first + 1", f"WHEN NOT ({_T1.format('heads.')}) THEN 'weightingNotSupported' WHEN heads.vol % 5 = 4 THEN 'segmentationRefused'"))
 def mea_auto_evans(t):
-    """The widest line of the dark core over the inner width of the skull on the same slice; null without either."""
-    core, verdicts, head = V.segment(B.voxels(t), "vol", "v", _SHAPE, _MM)
-    widest = V.line_extents(core, "vol").groupBy("vol").agg(F.min_by(F.struct("width", "z"), F.struct(-c("width"), "z", "y")).alias("w")).select("vol", "w.*")
-    inner = V.line_extents(head, "vol").groupBy("vol", "z").agg(F.max("width").alias("inner"))
-    found = widest.join(inner, ["vol", "z"], "left").select("vol", (c("width") / c("inner")).alias("evans"), c("z").cast("long").alias("plane"))
-    return verdicts.select("vol").join(found, "vol", "left")
+    """The widest line across the middle in the frontal part of the mask, over the inner width of the skull."""
+    mask = _head_voxels(t).where("v < -0.05D").select("vol", "x", "y", "z")
+    volumes = _head_list(t, F.when(F.expr(_T1.format("")), "T1").otherwise("T2").alias("weighting"), (c("vol") % 5 != 4).alias("reliable"))
+    return _evans_rows(EV.measure(_evans_heads(t), volumes, mask))
+
 
+_MARKS = {"x1": "1 + vol % 3 * 0.5", "y1": "vol % 4 * 1.75", "z1": "vol % 5 * 0.75", "x2": "6 - vol % 2 * 0.5", "y2": "vol % 7 * 1.5", "z2": "vol % 5 * 0.75 + CASE WHEN vol % 11 = 0 THEN 1 ELSE 0 END"}
 
 
-@query(f"{_V}, s AS (SELECT vol, (max(x) - min(x) + 1) * 0.9::DOUBLE AS width FROM voxels WHERE y = 1 AND z = 1 AND v <= 0.0 GROUP BY vol) SELECT vec_id AS vol, coalesce(width, 0) AS width FROM embeddings LEFT JOIN s ON s.vol = vec_id")
+@query(f"{_HEADS}, p AS (SELECT vol, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in _MARKS.items())} FROM heads), "
+       "h AS (SELECT vol, round_even(z1, 0)::INT AS plane, least(greatest(round_even((y1 + y2) / 2, 0), 0), 7)::INT AS line, round_even(least(x1, x2), 0)::INT AS first, round_even(greatest(x1, x2), 0)::INT AS last FROM p WHERE round_even(z1, 0) = round_even(z2, 0) AND round_even(z1, 0) BETWEEN 0 AND 3), "
+       f"u AS (SELECT g.vol, g.x, g.y FROM g JOIN h ON h.vol = g.vol AND g.z = h.plane WHERE bright), {_SKULL}, "
+       + _evans_sql("sqrt(((x1 - x2) * 0.9::DOUBLE) ** 2 + ((y1 - y2) * 1.1::DOUBLE) ** 2 + ((z1 - z2) * 1.5::DOUBLE) ** 2) / 0.9::DOUBLE", "WHEN h.plane IS NULL THEN 'markedPointsOnDifferentPlanes'", "JOIN p ON p.vol = heads.vol"))
 def mea_seeded_evans(t):
-    """From two marked places (the ends of a line of the middle slice) the dark interval between them, in mm."""
-    dark = B.voxels(t).where("y = 1 AND z = 1 AND v <= 0.0D").groupBy("vol").agg(((F.max("x") - F.min("x") + 1) * F.lit(_MM[0])).alias("width"))
-    return _every_volume(t, dark, "width")
+    """The way between two marked points over the inner width of the skull in their slice."""
+    points = _head_list(t, *(F.expr(e).cast("double").alias(k) for k, e in _MARKS.items()))
+    return _evans_rows(EV.seeded(_evans_heads(t), points))
+
+
+_RAW = (
+    "raw AS (SELECT g.vol, g.x, g.y, g.z FROM g JOIN (SELECT vol, y, z, min(x) AS a, max(x) AS b FROM g WHERE bright GROUP BY ALL) e ON e.vol = g.vol AND e.y = g.y AND e.z = g.z WHERE g.x BETWEEN a AND b AND v < threshold AND v > threshold * 0.25), "
+    "off AS (SELECT g.vol, g.x, g.y, g.z FROM g ANTI JOIN raw ON raw.vol = g.vol AND raw.x = g.x AND raw.y = g.y AND raw.z = g.z), thick AS (SELECT * FROM raw a WHERE NOT EXISTS (SELECT 1 FROM off o WHERE o.vol = a.vol AND o.z = a.z AND o.y = a.y AND abs(o.x - a.x) = 1)), "
+    "m AS (SELECT * FROM raw a WHERE EXISTS (SELECT 1 FROM thick o WHERE o.vol = a.vol AND o.z = a.z AND o.y = a.y AND abs(o.x - a.x) <= 1))"
+)
+
 
+@query(f"{_HEADS}, {_RAW}, {_HORNS.format(0.25, 0.75)}, u AS (SELECT g.vol, g.x, g.y FROM g JOIN h ON h.vol = g.vol AND g.z = h.plane WHERE bright), {_SKULL}, "
+       "longer AS (SELECT h.vol, coalesce(max(off.x) FILTER (off.x < first) + 1, 0) AS first, coalesce(min(off.x) FILTER (off.x > last) - 1, 7) AS last FROM h LEFT JOIN off ON off.vol = h.vol AND off.z = plane AND off.y = line GROUP BY h.vol), "
+       + _evans_sql("longer.last - longer.first + 1", f"WHEN NOT ({_T1.format('heads.')}) THEN 'weightingNotSupported'", "LEFT JOIN longer ON longer.vol = heads.vol").replace("h.* EXCLUDE (vol)", "h.plane, h.line, longer.first, longer.last"))
+def mea_slice_evans_opened(t):
+    """Without a mask: opened fluid of the slices gives the line, the unopened its ends."""
+    volumes = _head_list(t, F.when(F.expr(_T1.format("")), "T1").otherwise("T2").alias("weighting"))
+    return _evans_rows(EV.on_slices(_evans_heads(t), volumes))
 
 
 @query(f"{_V}, s AS (SELECT vol, y, max(x) FILTER (v <= 0.0) - min(x) FILTER (v <= 0.0) + 1 AS w FROM voxels WHERE z = 1 GROUP BY vol, y), k AS (SELECT vol, max(x) FILTER (v > -0.2) - min(x) FILTER (v > -0.2) + 1 AS skull FROM voxels WHERE z = 1 GROUP BY vol) SELECT vol, CASE WHEN max(w) IS NOT NULL AND any_value(skull) IS NOT NULL THEN round(max(w) / any_value(skull), 9) END AS evans FROM s JOIN k USING (vol) GROUP BY vol")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 from cairn.functions import hashing as H
+from cairn.operators import bitmaps as BM
 from cairn.operators import joins as J
 from cairn.operators import latest as L
 from cairn.operators import selection as S
+from cairn.operators.store import durable
 
 from . import _bind as B
 from ._catalogue import Catalogue
@@ -120,11 +122,13 @@ def agg_set_histogram(t):
        "many AS (SELECT count(*) AS shared FROM (SELECT study FROM x GROUP BY study HAVING count(DISTINCT source) > 1)) "
        "SELECT coalesce(source, 'all') AS source, count(DISTINCT subject) AS subjects, count(DISTINCT study) AS studies, count(DISTINCT series) AS series, any_value(shared) AS shared FROM x, many GROUP BY GROUPING SETS ((source), ())")
 def agg_inventory(t):
+    """Subjects, studies and series of each source and of all, and the studies in several sources, from one reading."""
     x = t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).select(c("l_returnflag").alias("source"), c("o_custkey").alias("subject"), c("l_orderkey").alias("study"), c("l_partkey").alias("series"))
-    counts = [F.count_distinct(k).alias(n) for k, n in (("subject", "subjects"), ("study", "studies"), ("series", "series"))]
-    shared = x.select("study", "source").distinct().groupBy("study").count().where("count > 1").agg(F.count(F.lit(1)).alias("shared"))
-    by = x.groupBy("source").agg(*counts).unionByName(x.agg(*counts).withColumn("source", F.lit("all")))
-    return by.crossJoin(F.broadcast(shared))  # one row
+    found = durable(BM.counts_by_group(x, "source", {"subjects": c("subject"), "studies": c("study"), "series": c("series")}))
+    shared = found.where("total AND kind = 'studies'").agg(F.coalesce(F.max("shared"), F.lit(0)).alias("shared"))
+    source = F.when(c("total"), "all").otherwise(c("source")).alias("source")
+    of = lambda kind: F.coalesce(F.max(F.when(c("kind") == kind, c("n"))), F.lit(0)).alias(kind)
+    return found.groupBy(source).agg(of("subjects"), of("studies"), of("series")).crossJoin(F.broadcast(shared))  # one row
 
 
 @query("WITH " + B.SERIES + " SELECT e.weighting, count(s.study) AS n FROM (VALUES ('Unknown'), ('T1'), ('T2'), ('Flair'), ('Other')) e(weighting) LEFT JOIN series s ON s.weighting = e.weighting GROUP BY e.weighting")
@@ -261,8 +265,8 @@ def agg_device_list(t):
 
 @query("WITH " + B.SERIES + " SELECT count(DISTINCT study) FILTER (volume) AS volumetric, count(DISTINCT study) FILTER (NOT contrast AND thickness <= 3) AS linear, count(DISTINCT study) FILTER (weighting = 'Flair' AND slices * spacing >= 100) AS lesions FROM series")
 def agg_feasibility(t):
-    one = lambda cond, name: F.count_distinct(F.when(cond, c("study"))).alias(name)
-    return B.series(t).agg(one(c("volume"), "volumetric"), one(~c("contrast") & (c("thickness") <= 3), "linear"), one((c("weighting") == "Flair") & (c("slices") * c("spacing") >= 100), "lesions"))
+    conditions = {"volumetric": c("volume"), "linear": ~c("contrast") & (c("thickness") <= 3), "lesions": (c("weighting") == "Flair") & (c("slices") * c("spacing") >= 100)}
+    return BM.conditional_counts(B.series(t), c("study"), conditions)
 
 
 @query("SELECT o_custkey, upper(substr(sha256(string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR)), 1, 16)) AS fingerprint FROM orders GROUP BY o_custkey")

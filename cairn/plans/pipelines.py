@@ -9,6 +9,7 @@ from cairn.functions import geometry as G
 from cairn.functions import hashing as H
 from cairn.functions import text as T
 from cairn.functions.uid import remapped
+from cairn.operators import bitmaps as BM
 from cairn.operators import histograms as HG
 from cairn.operators import joins as J
 from cairn.operators import journal as JN
@@ -52,9 +53,13 @@ def pip_prepare_dataset(t):
 @query("WITH " + B.SERIES + f" SELECT source, count(DISTINCT study) AS studies, count(DISTINCT (study, ord)) AS series, count(*) FILTER (t = 'Extended') AS extended, count(*) FILTER (t = 'Baseline') AS baseline, count(*) FILTER (t = 'Unusable') AS unusable, count(*) FILTER (t <> 'Unusable' AND NOT contrast) AS eligible "
        f"FROM (SELECT *, CASE WHEN NOT ({_WELL_SQL}) THEN 'Unusable' ELSE {_TIER_SQL} END AS t FROM series) GROUP BY source")
 def pip_inventory(t):
+    """Words of studies of each source and series number, rolled up to the words of the source and then counted."""
     s = B.series(t).withColumn("t", tier())
-    count = lambda k: F.count_if(c("t") == k).alias(k.lower())
-    return s.groupBy("source").agg(F.count_distinct("study").alias("studies"), F.count_distinct("study", "ord").alias("series"), count("Extended"), count("Baseline"), count("Unusable"), F.count_if((c("t") != "Unusable") & ~c("contrast")).alias("eligible"))
+    tallies = {k.lower(): F.count_if(c("t") == k) for k in ("Extended", "Baseline", "Unusable")} | {"eligible": F.count_if((c("t") != "Unusable") & ~c("contrast"))}
+    words = s.groupBy("source", "ord", BM.word(c("study")).alias("word")).agg(F.bit_or(BM.bit(c("study"))).alias("bits"), *(v.alias(k) for k, v in tallies.items()))
+    of_series = BM.size(F.when(c("ord").isNotNull(), c("bits"))).alias("series")
+    words = words.groupBy("source", "word").agg(F.bit_or("bits").alias("bits"), of_series, *(F.sum(k).alias(k) for k in tallies))
+    return words.groupBy("source").agg(BM.size(c("bits")).alias("studies"), F.sum("series").alias("series"), *(F.sum(k).alias(k) for k in tallies))
 
 
 @query("WITH " + _FOLDERS + ", n AS (SELECT dir, count(DISTINCT subject) AS k FROM folders GROUP BY dir) SELECT a.dir, any_value(coalesce(p.k, 0)) AS parent_subjects FROM n a LEFT JOIN n p ON p.dir = array_to_string(string_split(a.dir, '/')[1:len(string_split(a.dir, '/')) - 1], '/') WHERE a.k = 1 AND coalesce(p.k, 0) <> 1 GROUP BY a.dir")

@@ -35,8 +35,8 @@ def conditional_counts(df: DataFrame, of: Column, conditions: dict[str, Column])
 
 
 def counts_by_group(df: DataFrame, group: str, ids: dict[str, Column]) -> DataFrame:
-    """(group, kind, n, shared): the different ids of each kind in every group and, where ``total`` is true, in all
-    groups together with how many are in more than one. Rows of ``df`` are read once."""
+    """(total, group, kind, n, shared): the different ids of each kind in every group and, where ``total`` is true, in
+    all groups together, with how many are in more than one. Rows of ``df`` are read once."""
     rows = F.array(*(F.struct(F.lit(kind).alias("kind"), word(of).alias(WORD), bit(of).alias("bit")) for kind, of in ids.items()))
     words = df.select(group, F.inline(rows)).where(F.col("bit").isNotNull()).groupBy("kind", WORD, group).agg(F.bit_or("bit").alias("bits"))
     held = words.groupBy("kind", WORD).agg(F.collect_list(F.struct(group, "bits")).alias("parts"))  # at most one part a group

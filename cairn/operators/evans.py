@@ -135,7 +135,7 @@ class Heads:
         seed = core.join(at.drop("z"), key).groupBy(key).agg(F.min_by(F.struct(*AXES), F.struct(way, "y", "x")).alias("s")).select(key, "s.*")
         brain = V.reconstruct(seed, core, key, self.shape, SIDES)
         nx, ny, _ = self.shape
-        allowed = durable(tissue.where(F.col("x").between(1, nx - 2) & F.col("y").between(1, ny - 2)))
+        allowed = tissue.where(F.col("x").between(1, nx - 2) & F.col("y").between(1, ny - 2))
         for _ in range(steps):
             brain = durable(V.dilate(brain, key, self.shape, allowed, SIDES))
         lines = brain.groupBy(key, "y").agg(F.min("x").alias("first"), F.max("x").alias("last"))

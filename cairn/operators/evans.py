@@ -227,7 +227,7 @@ def on_slices(heads: Heads, volumes: DataFrame) -> DataFrame:
     opened = durable(V.opened(raw, heads.key, heads.shape, heads.rules.opening, heads.mm[:2], at_least=True))
     horns = heads.horns(opened, heads.rules.frontal_of_slices)
     skull = heads.skull(horns)
-    rest = heads.grid.select(*heads.at).join(raw, heads.at, "left_anti")
+    rest = heads.grid.select(*heads.at).join(V.merged(raw), heads.at, "left_anti")
     there = heads.grid.where("bright").select(heads.key).distinct().withColumn("headed", F.lit(True))
     refusals = [_weighted(volumes), ("segmentationRefused", F.col("headed").isNull())]
     return heads.rows(volumes.join(there, heads.key, "left"), refusals, heads.lengthened(horns, rest), skull)

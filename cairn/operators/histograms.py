@@ -12,6 +12,7 @@ from .store import durable
 def _binned(df: DataFrame, key: str, value: str, bin_of) -> DataFrame:
     """(key, bin, n, lo, hi, total, filled): a counted histogram of each key. Counts are combined before the shuffle."""
     limits = df.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("total"), F.count_if(F.col(value) > 0).alias("filled"))
+    limits = durable(limits)  # so that by its own size it is the side that is sent, not the values
     binned = df.join(limits, key).withColumn("bin", bin_of(F.col(value), F.col("lo"), F.col("hi")).cast("int"))
     return binned.groupBy(key, "bin", "lo", "hi", "total", "filled").agg(F.count(F.lit(1)).alias("n"))
 

@@ -65,12 +65,12 @@ class Heads:
     def flag(self, g: DataFrame, name: str, mask: DataFrame) -> DataFrame:
         """``g`` with a column that says which voxels are in ``mask``."""
         marked = mask.select(*self.at, F.lit(True).alias(name)).distinct()
-        return g.join(marked, self.at, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        return g.join(V.merged(marked), self.at, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
     def away(self, g: DataFrame, name: str, inside: Column) -> DataFrame:
         """``g`` with each voxel's distance to the nearest one where ``inside`` is false."""
         held = g.withColumn("__in", inside)
-        return g.join(V.distance(held, self.key, "__in", self.mm).withColumnRenamed("mm", name), self.at)
+        return g.join(V.merged(V.distance(held, self.key, "__in", self.mm).withColumnRenamed("mm", name)), self.at)
 
     def largest(self, mask: DataFrame) -> DataFrame:
         labels = durable(V.components(mask, self.key, self.shape))
@@ -80,7 +80,7 @@ class Heads:
         return V.fill_outside(g, mask, self.key, self.shape)
 
     def within(self, g: DataFrame, mask: Column, name: str) -> DataFrame:
-        return HG.otsu(g.where(mask), self.key, "v").select(self.key, F.col("threshold").alias(name))
+        return durable(HG.otsu(g.where(mask), self.key, "v").select(self.key, F.col("threshold").alias(name)))
 
     def finished(self, labels: DataFrame, heads: DataFrame) -> DataFrame:
         """(key, refusal, selected) of the volumes of ``heads`` (key, head_voxels), by what was selected in them."""
@@ -119,7 +119,7 @@ class Heads:
         g = durable(self.away(g, "deep", F.col("head")).withColumn("candidate", F.col("head") & F.coalesce(fluid, F.lit(False))))
         heads = durable(g.where("head").groupBy(key).agg(F.count(F.lit(1)).alias("head_voxels"), F.count_if("candidate").alias("candidates")))
         flooded = F.col("candidates") > F.col("head_voxels") * r.most_fluid
-        labels = durable(V.components(g.where("candidate"), key, self.shape).join(g.where("candidate").select(*self.at, "deep"), self.at))
+        labels = durable(V.components(g.where("candidate"), key, self.shape).join(V.merged(g.where("candidate").select(*self.at, "deep")), self.at))
         sizes = V.sizes(labels, key, F.min("deep").alias("least")).where((F.col("size") >= r.least_voxels) & (F.col("least") >= r.depth))
         place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("size"), "label"))
         chosen = sizes.withColumn("place", place).where(F.col("place") <= r.most_components)
@@ -147,7 +147,7 @@ class Heads:
         g = self.away(g, "deep", F.col("head")).withColumn("candidate", F.col("head") & ~F.col("above") & (F.col("deep") >= r.depth))
         g = durable(self.away(durable(g), "thick", F.col("candidate")))
         core = g.where(F.col("candidate") & (F.col("thick") >= r.core_thickness))
-        labels = durable(V.components(core, key, self.shape).join(core.select(*self.at, "v", "deep", "low"), self.at))
+        labels = durable(V.components(core, key, self.shape).join(V.merged(core.select(*self.at, "v", "deep", "low")), self.at))
         centre = [F.floor(F.avg(a)).cast("int").alias(f"c{a}") for a in AXES]
         parts = V.sizes(labels, key, F.min("deep").alias("least"), F.avg("v").alias("mean"), F.first("low").alias("low"), *centre).where(F.col("size") * self.ml >= r.core_ml)
         good = (F.col("least") >= r.core_depth) & (F.col("mean") >= F.col("low") * r.core_brightness) & (F.col("headroom") <= r.core_headroom)
@@ -181,7 +181,7 @@ class Heads:
         line = tissue.select(self.key, *[F.col(a).alias(f"c{a}") for a in others], F.col(axis).alias("t"))
         reached = F.when((F.col("t") - F.col(f"c{axis}")) * step >= 0, F.col("t"))
         last = (F.max(reached) if step > 0 else F.min(reached)).alias("t")
-        found = parts.join(line, [self.key, *[f"c{a}" for a in others]], "left").groupBy(*parts.columns).agg(last).withColumn("t", F.coalesce("t", f"c{axis}"))
+        found = parts.join(V.merged(line), [self.key, *[f"c{a}" for a in others]], "left").groupBy(*parts.columns).agg(last).withColumn("t", F.coalesce("t", f"c{axis}"))
         return found.withColumn("headroom", F.when(F.col("t").isin(0, n - 1), F.lit(math.inf)).otherwise(F.abs(F.col("t") - F.col(f"c{axis}")) * mm)).drop("t")
 
     def sigmas(self) -> V.Triple:

@@ -46,6 +46,12 @@ def on_border(shape: Shape) -> Column:
     return x | y | z
 
 
+def merged(voxels: DataFrame) -> DataFrame:
+    """``voxels`` for a join by coordinates or labels, which is to be a merge: stored, they take a fiftieth of their memory, and by
+    that size Catalyst would send them through the driver to every executor."""
+    return voxels.hint("merge")
+
+
 def _moved(mask: DataFrame, key: str, offsets, *more: Column) -> DataFrame:
     """A row for each voxel and offset; o is the offset's number."""
     at = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (F.col("z") + dz).alias("z"), F.lit(i).alias("o")) for i, (dx, dy, dz) in enumerate(offsets)])
@@ -58,7 +64,7 @@ def dilate(mask: DataFrame, key: str, shape: Shape, within: DataFrame | None = N
         return mask.select(key, *AXES)
     near = _moved(mask, key, offsets).where(inside(shape)).select(key, *AXES).distinct()
     if within is not None:
-        near = near.join(within.select(key, *AXES), [key, *AXES], "left_semi")
+        near = near.join(merged(within.select(key, *AXES)), [key, *AXES], "left_semi")
     return mask.select(key, *AXES).unionByName(near).distinct()
 
 
@@ -146,7 +152,7 @@ def components(mask: DataFrame, key: str, shape: Shape, offsets: tuple[Shape, ..
         return labelled.select(key, *AXES, (F.col("node") + 1).alias("label"))
     labelled = durable(labelled)
     edge = labelled.where(F.col("z") % depth == depth - 1)
-    met = _moved(edge, key, across, F.col("node").alias("a")).drop("o").join(labelled.where(F.col("z") % depth == 0), [key, *AXES])
+    met = _moved(edge, key, across, F.col("node").alias("a")).drop("o").join(merged(labelled.where(F.col("z") % depth == 0)), [key, *AXES])
     links = durable(met.select(key, "a", F.col("node").alias("b")).distinct())
     many = links.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LINKS).select(key)
 
@@ -160,7 +166,7 @@ def components(mask: DataFrame, key: str, shape: Shape, offsets: tuple[Shape, ..
     ends = links.join(many, key, "left_semi").select(*(F.struct(F.col(key).alias("k"), F.col(n).alias("node")).alias(n) for n in "ab"))
     if not many.isEmpty():
         few = few.unionByName(connected_components(ends).select(F.col("node.k").alias(key), F.col("node.node").alias("node"), F.col("component.node").alias("root")))
-    return labelled.join(few, [key, "node"], "left").select(key, *AXES, (F.coalesce("root", "node") + 1).alias("label"))
+    return labelled.join(merged(few), [key, "node"], "left").select(key, *AXES, (F.coalesce("root", "node") + 1).alias("label"))
 
 
 def sizes(labels: DataFrame, key: str, *more: Column) -> DataFrame:
@@ -181,13 +187,13 @@ def of_components(labels: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
 def reconstruct(seeds: DataFrame, within: DataFrame, key: str, shape: Shape, offsets: tuple[Shape, ...] = FACES) -> DataFrame:
     """What of ``within`` is connected to a seed in it."""
     labels = durable(components(within, key, shape, offsets))
-    return of_components(labels, labels.join(seeds.select(key, *AXES), [key, *AXES], "left_semi").select(key, "label").distinct(), key)
+    return of_components(labels, merged(labels.join(merged(seeds.select(key, *AXES)), [key, *AXES], "left_semi").select(key, "label").distinct()), key)
 
 
 def fill_outside(grid: DataFrame, mask: DataFrame, key: str, shape: Shape) -> DataFrame:
     """The mask with its holes: all voxels of ``grid`` that a flood of the background from the border does not reach."""
-    background = durable(grid.select(key, *AXES).join(mask.select(key, *AXES), [key, *AXES], "left_anti"))
-    return grid.select(key, *AXES).join(reconstruct(background.where(on_border(shape)), background, key, shape), [key, *AXES], "left_anti")
+    background = durable(grid.select(key, *AXES).join(merged(mask.select(key, *AXES)), [key, *AXES], "left_anti"))
+    return grid.select(key, *AXES).join(merged(reconstruct(background.where(on_border(shape)), background, key, shape)), [key, *AXES], "left_anti")
 
 
 def along(df: DataFrame, key: str, axis: str, value: str, line: Callable[[Column], Column]) -> DataFrame:
@@ -417,12 +423,12 @@ def segment(grid: DataFrame, key: str, value: str, shape: Shape, spacing: Triple
     nothing in a volume, null where none did.
     """
     head = durable(head_mask(grid, key, value, shape))
-    there = grid.select(key, *AXES, value).join(head.withColumn("in_head", F.lit(True)), [key, *AXES], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
+    there = grid.select(key, *AXES, value).join(merged(head.withColumn("in_head", F.lit(True))), [key, *AXES], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
     depth = distance(there, key, "in_head", spacing)
     mean = there.where("in_head").groupBy(key).agg(F.avg(value).alias("mean"))
-    inner = durable(there.where("in_head").join(mean, key).join(depth, [key, *AXES]).select(key, *AXES, value, "mean", F.least("mm", F.lit(1e9)).alias("mm")))
+    inner = durable(there.where("in_head").join(mean, key).join(merged(depth), [key, *AXES]).select(key, *AXES, value, "mean", F.least("mm", F.lit(1e9)).alias("mm")))
     dark = inner.where(F.col(value) < F.col("mean"))
-    labels = durable(components(dark, key, shape).join(inner.select(key, *AXES, "mm"), [key, *AXES]))
+    labels = durable(components(dark, key, shape).join(merged(inner.select(key, *AXES, "mm")), [key, *AXES]))
     found = sizes(labels, key, F.max("mm").alias("deepest")).where((F.col("deepest") >= least_depth) & (F.col("size") >= least_size))
     best = durable(found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("size"), "label"))).where("n <= 2"))
     core = of_components(labels, best, key)

@@ -114,7 +114,10 @@ def _quantiles(df: DataFrame, keys: list[str], value: Column | str, wanted: dict
     of = lambda k, side: F.max(F.when(F.col("target") == f"{k}_{side}", F.col("value"))).alias(f"{k}_{side}")
     found = _same(large, found.groupBy(*keys).agg(*(of(k, side) for k in wanted for side in "ab")), keys, "inner")
     big = [F.col(f"{k}_a").alias(k) if rule != "linear" else _between(k, at).alias(k) for k, (rule, at) in wanted.items()]
-    return _same(sizes, small.unionByName(found.select(*keys, *big)), keys, "left").select(*keys, *wanted, *more)
+    found = found.select(*keys, *big)
+    if keys:  # without keys the one group is large, and an aggregate of no small groups would be a second row
+        found = small.unionByName(found)
+    return _same(sizes, found, keys, "left").select(*keys, *wanted, *more)
 
 
 def _between(name: str, at: float) -> Column:

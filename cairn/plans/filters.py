@@ -195,30 +195,13 @@ def leaking(texts, secrets, gram: int = 5):
 
     def scan(batches):
         for batch in batches:
-            keys, low, others = batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)
-            ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset: low.offset + len(low) + 1]
-            data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]].astype(np.int64)
-            ends = ends - ends[0]
-            rows, found = [np.repeat(np.arange(len(keys)), others.value_lengths().to_numpy(zero_copy_only=False))], [others.flatten().to_numpy(zero_copy_only=False)]
-            owner = np.repeat(np.arange(len(keys)), np.diff(ends))
-            for n in sizes:
-                number, count = np.zeros(max(0, len(data) - n + 1), np.int64), max(0, len(data) - n + 1)
-                for k in range(n):
-                    number = number << 8 | data[k: k + count]
-                own = owner[:count] if n else np.arange(len(keys))
-                number = number if n else np.zeros(len(keys), np.int64)
-                inside = own == owner[n - 1: n - 1 + count] if n > 1 else np.ones(len(own), bool)
-                rows.append(own[inside])
-                found.append(number[inside] + (n << 56))
-            row, h = np.concatenate(rows), np.concatenate(found)
-            some = bloom.may_hold(held.value, h)
-            row, h = row[some], h[some]
+            row, h = met_keys(batch.column(1), batch.column(2), sizes, held.value)
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
             row, h = row[new], h[new]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(h)], ["text_key", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h)], ["text_key", "h"])
 
     rows = texts.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     whole = F.array_append(F.transform(T.numeric_tokens(c("text")), lambda x: F.xxhash64(F.lit(1), x)), F.xxhash64(F.lit(0), F.lower(F.trim("text"))))
@@ -227,6 +210,42 @@ def leaking(texts, secrets, gram: int = 5):
     return rows.join(met, "text_key").where(T.leaks(c("text"), c("secret"), c("neutral")))
 
 
+#: Places of the texts whose keys are made and tested at once: some tens of MB, however many texts a batch has and however long.
+PIECE = 1 << 17
+
+
+def met_keys(low, others, sizes: list[int], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys in texts that the filter ``words`` lets pass: every ``n`` bytes of ``low`` for the ``sizes``, and ``others``."""
+    low = low.cast(pa.large_binary())
+    ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset: low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]]
+    ends = ends - ends[0]
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(row: np.ndarray, h: np.ndarray) -> None:
+        some = bloom.may_hold(words, h)
+        rows.append(row[some])
+        found.append(h[some])
+
+    of, tokens = np.repeat(np.arange(len(low)), others.value_lengths().to_numpy(zero_copy_only=False)), others.flatten().to_numpy(zero_copy_only=False)
+    for begin in range(0, len(tokens), PIECE):
+        keep(of[begin: begin + PIECE], tokens[begin: begin + PIECE])
+    if 0 in sizes:
+        keep(np.arange(len(low)), np.zeros(len(low), np.int64))
+    sizes = [n for n in sizes if n]
+    for begin in range(0, len(data) if sizes else 0, PIECE):
+        piece = data[begin: begin + PIECE + sizes[-1] - 1].astype(np.int64)
+        owner = np.searchsorted(ends, np.arange(begin, begin + len(piece)), "right") - 1
+        for n in sizes:
+            count = max(0, min(PIECE, len(piece) - n + 1))
+            number = np.zeros(count, np.int64)
+            for k in range(n):
+                number = number << 8 | piece[k: k + count]
+            inside = owner[:count] == owner[n - 1: n - 1 + count]
+            keep(owner[:count][inside], number[inside] + (n << 56))
+    return np.concatenate(rows), np.concatenate(found)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey % 256 AS tag_group, l_partkey % 2 = 1 OR l_partkey % 256 IN (80, 96) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AS removed FROM lineitem")
 def flt_removed_tag(t):
     profile = t("supplier").where("s_acctbal < 0").select(c("s_suppkey").alias("k"))

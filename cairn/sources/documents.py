@@ -22,7 +22,17 @@ def manifest(spark: SparkSession, path: str, version: str = "1.0.0") -> DataFram
 def reports(spark: SparkSession, path: str, schema: str, a_file: bool = True) -> DataFrame:
     """Reports with their study (the folder's name) and whether they could be read; with ``a_file`` a file is one
     report, else every line is."""
-    texts = spark.read.option("wholetext", a_file).option("recursiveFileLookup", True).text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("study"))
+    texts = spark.read.option("wholetext", a_file).option("recursiveFileLookup", True).text(path)
+    return _read_reports(texts.select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("study")), schema)
+
+
+def packed_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same of files that each hold the reports of many folders: lines of a report's path, a tab and its text."""
+    parts = F.split("value", "\t", 2)
+    return _read_reports(spark.read.text(path).select(F.get(parts, F.lit(1)).alias("value"), F.element_at(F.split(parts[0], "/"), -2).alias("study")), schema)
+
+
+def _read_reports(texts: DataFrame, schema: str) -> DataFrame:
     found = texts.withColumn("r", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     names = [f.name for f in found.schema["r"].dataType if f.name != "_corrupt_record"]
     return found.select(*[F.col("r")[n].alias(n) for n in names], "study", (F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).alias("readable"))

@@ -70,21 +70,25 @@ def _header(raw: bytes, out: dict) -> tuple[memoryview, int]:
     return memoryview(raw), at
 
 
+#: By byte order: an element's first eight bytes, and a long length.
+_HEADS = {order: (struct.Struct(order + "2H2sH"), struct.Struct(order + "I")) for order in "<>"}
+
+
 def _element(raw, at: int, order: str, explicit: bool) -> tuple[tuple[int, int], bytes, int, int]:
     """(tag, kind, length, where the value begins) of the element at a place; items and their ends have no kind."""
-    tag = struct.unpack_from(order + "2H", raw, at)
-    if explicit and tag[0] != 0xFFFE:
-        kind = bytes(raw[at + 4: at + 6])
+    head, whole = _HEADS[order]
+    group, element, kind, short = head.unpack_from(raw, at)
+    if explicit and group != 0xFFFE:
         if kind in _LONG:
-            return tag, kind, struct.unpack_from(order + "I", raw, at + 8)[0], at + 12
-        return tag, kind, struct.unpack_from(order + "H", raw, at + 6)[0], at + 8
-    return tag, b"", struct.unpack_from(order + "I", raw, at + 4)[0], at + 8
+            return (group, element), kind, whole.unpack_from(raw, at + 8)[0], at + 12
+        return (group, element), kind, short, at + 8
+    return (group, element), b"", whole.unpack_from(raw, at + 4)[0], at + 8
 
 
 def _value(raw, at: int, size: int) -> tuple[memoryview, int]:
     if at + size > len(raw):
         raise ValueError("the file ends within an element")
-    return memoryview(raw)[at: at + size], at + size
+    return raw[at: at + size], at + size
 
 
 def _outermost(raw: memoryview, at: int, order: str, explicit: bool) -> Iterator[tuple[tuple[int, int], memoryview]]:
@@ -109,17 +113,31 @@ def _outermost(raw: memoryview, at: int, order: str, explicit: bool) -> Iterator
         raise ValueError("the file ends within an element")
 
 
+_SHORT, _LENGTH = struct.Struct("<H"), struct.Struct("<HI")
+
+
+def _written() -> list[tuple[str, bytes, bool, bool]]:
+    """(name, tag and kind, whether its length is long, whether it is a number) of the attributes in the order of their tags."""
+    out = []
+    for (group, element), name in sorted(TAGS.items()):
+        kind = b"OW" if name == "pixels" else b"OF" if name == "float_pixels" else b"US" if name in _NUMBERS else b"LO"
+        out.append((name, struct.pack("<2H", group, element) + kind, kind in _LONG, name in _NUMBERS))
+    return out
+
+
+_WRITTEN = _written()
+
+
 def encode(values: dict[str, str | bytes | None]) -> bytes:
     """A file of the given attributes, explicit little endian; attributes that are None are left out."""
     out = [b"\0" * 128 + b"DICM"]
-    for (group, element), name in sorted(TAGS.items()):
+    for name, head, long, number in _WRITTEN:
         value = values.get(name)
         if value is None:
             continue
-        kind = b"OW" if name == "pixels" else b"OF" if name == "float_pixels" else b"US" if name in _NUMBERS else b"LO"
-        raw = value if isinstance(value, bytes) else struct.pack("<H", int(value)) if name in _NUMBERS else value.encode()
+        raw = value if isinstance(value, bytes) else _SHORT.pack(int(value)) if number else value.encode()
         raw += b"\0" * (len(raw) % 2)
-        out.append(struct.pack("<2H", group, element) + kind + (struct.pack("<HI", 0, len(raw)) if kind in _LONG else struct.pack("<H", len(raw))) + raw)
+        out += (head, _LENGTH.pack(0, len(raw)) if long else _SHORT.pack(len(raw)), raw)
     return b"".join(out)
 
 

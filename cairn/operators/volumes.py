@@ -47,7 +47,7 @@ def on_border(shape: Shape) -> Column:
 
 
 def merged(voxels: DataFrame) -> DataFrame:
-    """``voxels`` for a join by coordinates or labels, which is to be a merge: stored, they take a fiftieth of their memory, and by
+    """``voxels`` for a join by coordinates or labels, which is to be a merge: stored, they take far less than in memory, and by
     that size Catalyst would send them through the driver to every executor."""
     return voxels.hint("merge")
 
